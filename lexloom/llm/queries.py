@@ -13,6 +13,18 @@ def op1_token_counts(spark, d):
     return token_counts(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_secret_scan(spark, d):
+    from lexloom.llm.secret_scan import secrets
+
+    return secrets(table(spark, d, "documents"))
+
+
+def op5_pii(spark, d):
+    from lexloom.llm.pii import personal
+
+    return personal(table(spark, d, "documents"))
+
+
 def op6_mixing(spark, d):
     from lexloom.llm.mixing import mix
 
@@ -27,7 +39,7 @@ def op9_quality_rules(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op6_mixing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op5_pii, op6_mixing, op9_quality_rules)}
 
 
 def oracle_sql():
