@@ -19,6 +19,12 @@ def op3_secret_scan(spark, d):
     return secrets(table(spark, d, "documents"))
 
 
+def op4_decontamination(spark, d):
+    from lexloom.llm.decontamination import decontaminate
+
+    return decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op5_pii(spark, d):
     from lexloom.llm.pii import personal
 
@@ -31,6 +37,12 @@ def op6_mixing(spark, d):
     return mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark, d):
+    from lexloom.llm.warc import archive
+
+    return archive(table(spark, d, "pages"))
+
+
 def op9_quality_rules(spark, d):
     from lexloom.llm.quality_rules import quality, train
 
@@ -39,7 +51,7 @@ def op9_quality_rules(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op5_pii, op6_mixing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op9_quality_rules)}
 
 
 def oracle_sql():
