@@ -6,10 +6,9 @@ behind the placeholders must map one to one, so that a passage with other
 numbers and names is caught and one that merely has the same frame with mixed-up
 slots is not. Windows need `min_literal` tokens that are no placeholders.
 
-The corpus is read twice: once for hashes (only an 8-byte hash and a position
-leave the scan, met at once by the broadcast window hashes of the benchmark),
-and once for those documents that had a hit. The benchmark's windows are
-broadcast in blocks of at most `BLOCK_WINDOWS`.
+The corpus is read once: each window's hash meets the broadcast window hashes of
+the benchmark inside the scan's own stage, and only hits leave it. The
+benchmark's hashes are broadcast in blocks of at most `BLOCK_WINDOWS`.
 
 Defined results: null and empty texts, and benchmark items of fewer than n
 words, match nothing; each input row gives one output row, repeated rows alike;
@@ -61,8 +60,8 @@ def starts(n: int) -> Column:
     return F.when(F.size("c") >= n, F.sequence(F.lit(1), F.size("c") - (n - 1))).otherwise(F.array().cast("array<int>"))
 
 
-def windows(df: DataFrame, n: int) -> Column:
-    """(at, h) of each window; h is null for windows of too many placeholders, by a prefix count."""
+def windows(n: int) -> Column:
+    """x: (at, h) of each window of template tokens."""
     return F.explode(F.transform(starts(n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("c", i, F.lit(n))).alias("h")))).alias("x")
 
 
@@ -78,15 +77,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_literal:
     items = written(items, "decontamination-windows")
     blocks = max(1, -(-items.count() // BLOCK_WINDOWS))
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("t"))
-    scanned = tokens(rows, "t").select("row", windows(rows, n)).select("row", "x.at", "x.h")
+    scanned = tokens(rows, "t").select("row", "w", "c", windows(n)).select("row", "w", "c", "x.at", "x.h")
     hits = None
     for b in range(blocks):
         part = items.where(F.pmod("h", F.lit(blocks)) == b).select("h").distinct()
-        found = scanned.join(F.broadcast(part), "h", "left_semi")
+        # the arrays are carried past the join by reference: only hits are cut out and leave the stage
+        found = scanned.join(F.broadcast(part), "h", "left_semi").select("row", "at", "h", F.slice("w", F.col("at"), F.lit(n)).alias("dw"), F.slice("c", F.col("at"), F.lit(n)).alias("dc"))
         hits = found if hits is None else hits.union(found)
-    hits = written(hits, "decontamination-hits")
-    again = tokens(rows.join(hits.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]), "t").select("row", "w", "c")
-    seen = again.join(hits.distinct(), "row").select("row", "h", F.slice("w", F.col("at"), F.lit(n)).alias("dw"), F.slice("c", F.col("at"), F.lit(n)).alias("dc"))
+    seen = written(hits, "decontamination-hits").dropDuplicates(["row", "at"])
     met = seen.join(items, "h").where("dc = bc")
     slot = lambda i: F.struct(F.element_at("bc", i).alias("k"), F.lower(F.element_at("bw", i)).alias("b"), F.lower(F.element_at("dw", i)).alias("d"))
     pairs = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.lit(n)), slot), lambda s: s["k"].startswith("<")))
