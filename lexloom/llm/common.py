@@ -60,6 +60,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids (8 to 16 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of `df` whose key is among `ids`; the ids are broadcast only after a count of them."""
+    from pyspark.sql import functions as F
+
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by `written` that nothing reads any more."""
     for df in tables:

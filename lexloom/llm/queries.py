@@ -50,8 +50,14 @@ def op9_quality_rules(spark, d):
     return quality(docs, train(docs, table(spark, d, "labels")))
 
 
+def op10_ngram_join(spark, d):
+    from lexloom.llm.ngram_join import classes
+
+    return classes(table(spark, d, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op9_quality_rules, op10_ngram_join)}
 
 
 def oracle_sql():
