@@ -27,10 +27,12 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpoint_dir
+from lexloom.llm.common import checkpoint_dir, written
 
 #: Cells of the id histogram that shards are cut from; the driver holds this many rows at most.
 CELLS = 4096
+#: Digests of repeated payloads (about 80 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_DIGESTS = 200_000
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard's name space for URLs
 
 
@@ -39,6 +41,8 @@ def planned(pages: DataFrame, shard_bytes: int, revisit_from: int, key: str, url
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.encode(html, "UTF-8"), F.lit(b"")).alias("payload"))
     sized = rows.select("id", F.length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("same"))
     first = sized.where(F.col("n") >= revisit_from).groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("copies")).where("copies > 1 and last is not null").drop("copies")
+    first = written(first, "warc-copies")
+    side = F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first
     lo, hi = sized.agg(F.min("id"), F.max("id")).first()
     lo, span = lo or 0, (hi or 0) - (lo or 0) + 1
     cell = F.coalesce(F.floor((F.col("id") - lo) * F.lit(CELLS) / F.lit(span)), F.lit(0)).cast("int")
@@ -49,7 +53,7 @@ def planned(pages: DataFrame, shard_bytes: int, revisit_from: int, key: str, url
         at += n
         shard_of[c] = shards - 1
     table = F.array(*[F.lit(shard_of.get(c, 0)) for c in range(max(shard_of, default=0) + 1)])
-    out = rows.withColumn("digest", F.sha1("payload")).withColumn("same", F.sha2("payload", 256)).join(first, "same", "left")
+    out = rows.withColumn("digest", F.sha1("payload")).withColumn("same", F.sha2("payload", 256)).join(side, "same", "left")
     target = F.when((F.length("payload") >= revisit_from) & (F.col("id") < F.col("last")), F.col("last"))
     # a null id cannot be the largest: it revisits, too
     target = F.when((F.length("payload") >= revisit_from) & F.col("id").isNull(), F.col("last")).otherwise(target)
