@@ -64,11 +64,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 BROADCAST_IDS = 2_000_000
 
 
-def narrowed(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of `df` whose key is among `ids`; the ids are broadcast only after a count of them."""
+def narrowed(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows of `df` whose key is (or, for left_anti, is not) among `ids`; the ids are broadcast only after a count of them."""
     from pyspark.sql import functions as F
 
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
 def dropped(*tables: DataFrame) -> None:

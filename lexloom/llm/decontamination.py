@@ -20,11 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import written
+from lexloom.llm.common import narrowed, written
 
 WINDOW, MIN_LITERAL = 10, 5
 #: Windows of the benchmark that one pass over the corpus broadcasts (24 bytes each).
 BLOCK_WINDOWS = 1_000_000
+#: A column name that no input has.
+ROW = "__lexloom_row"
 #: Units of measure and currency.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres "
@@ -103,5 +105,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs`, all columns, that meet no benchmark item."""
-    bad = matches(docs, benchmark, key=key, text=text, **options).select(F.col("row").alias("__row")).distinct()
-    return docs.join(bad, F.xxhash64(docs[key], docs[text]) == F.col("__row"), "left_anti")
+    bad = matches(docs, benchmark, key=key, text=text, **options).select(F.col("row").alias(ROW)).distinct()
+    return narrowed(docs.withColumn(ROW, F.xxhash64(key, text)), written(bad, "contaminated"), ROW, "left_anti").drop(ROW)

@@ -143,20 +143,36 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return fit(*training_rows(df, labels, key, text, label, max_rows))
 
 
+def verdict(text: str | None, model: QualityModel | None, keep_at: float) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good of one text."""
+    text = text or ""
+    raw = text.encode("utf-8", "replace")
+    words = raw.split()
+    n, again = len(words), repeated(words)
+    failed = n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n
+    p = None if model is None else round(float(model.probability(features(raw, words))), 6)
+    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), again, failed, not failed and (p is None or p >= keep_at), p
+
+
+def passing(df: DataFrame, model: QualityModel | None, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of `df`, all columns, whose text is kept."""
+    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield b.filter(pa.array([verdict(t, sent.value, keep_at)[6] for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def quality(df: DataFrame, model: QualityModel | None, key: str = "doc_id", text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """Per row: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good (null without a model)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def score(rows: dict) -> dict:
-        model, out = sent.value, []
-        for text in rows["text"]:
-            text = text or ""
-            raw = text.encode("utf-8", "replace")
-            words = raw.split()
-            n, again = len(words), repeated(words)
-            failed = n < MIN_WORDS or 100 * again > MAX_REPEAT_PERCENT * n
-            p = None if model is None else round(float(model.probability(features(raw, words))), 6)
-            out.append((n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), again, failed, not failed and (p is None or p >= keep_at), p))
+        out = [verdict(t, sent.value, keep_at) for t in rows["text"]]
         names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept p_good".split()
         return {key: rows[key]} | {c: [o[i] for o in out] for i, c in enumerate(names)}
 

@@ -56,8 +56,14 @@ def op10_ngram_join(spark, d):
     return classes(table(spark, d, "documents"))
 
 
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op9_quality_rules, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op9_quality_rules, op10_ngram_join, pipeline)}
 
 
 def oracle_sql():

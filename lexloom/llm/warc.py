@@ -84,7 +84,7 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes: int = 8 << 20, revisit_from: int = 1000, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll_bytes: int = 8 << 20, revisit_from: int = 1000, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write the archives below `folder` (a URI that pyarrow's file systems open) and the manifest; returns the manifest."""
     rows, shards = planned(pages, shard_bytes, revisit_from, key, url, html)
     # Tasks get whole shards by number, so no hash deals two large shards to one task by chance.
@@ -137,10 +137,14 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes
 
 def records(data: bytes):
     """(headers, block) of each record, one gzip member at a time."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        data = z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):
+            piece = view[at : at + (1 << 16)]
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        raw = b"".join(parts)
         head, _, block = raw.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, block[: int(fields["Content-Length"])]
