@@ -13,6 +13,12 @@ def op1_token_counts(spark, d):
     return token_counts(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_repeat_removal(spark, d):
+    from lexloom.llm.repeat_removal import without_repeats
+
+    return without_repeats(table(spark, d, "documents"))
+
+
 def op3_secret_scan(spark, d):
     from lexloom.llm.secret_scan import secrets
 
@@ -63,7 +69,7 @@ def pipeline(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op9_quality_rules, op10_ngram_join, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op9_quality_rules, op10_ngram_join, pipeline)}
 
 
 def oracle_sql():
