@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from lexloom.llm.common import table
 
@@ -49,6 +50,16 @@ def op7_warc(spark, d):
     return archive(table(spark, d, "pages"))
 
 
+def op8_license_scan(spark, d):
+    """Documents have no paths: source and language make directories of 50 documents each, and a short text with a notice is its directory's LICENSE."""
+    from lexloom.llm.license_scan import licenses
+
+    notice = F.coalesce((F.length("text") < 600) & F.col("text").rlike("(?i)licen[cs]ed? under|released under"), F.lit(False))
+    name = F.concat(F.when(notice, "LICENSE-").otherwise("text-"), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 50).cast("string"), name)
+    return licenses(table(spark, d, "documents").withColumn("path", path))
+
+
 def op9_quality_rules(spark, d):
     from lexloom.llm.quality_rules import quality, train
 
@@ -69,7 +80,7 @@ def pipeline(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op9_quality_rules, op10_ngram_join, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op8_license_scan, op9_quality_rules, op10_ngram_join, pipeline)}
 
 
 def oracle_sql():
