@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import held, ngrams, words
+from lexloom.plans.dialect import Plans
 from lexloom.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+P = Plans()
+QUERIES, ORACLES = P.queries, P.oracles
+both, add = P.both, P.add
 
 
 def grams(df, key: str, n: int):
@@ -35,3 +37,82 @@ def grams_sql(a: str, t: str, key: str, n: int) -> str:
 for _n in (5, 8, 13):
     QUERIES[f"contam_docs_{_n}"] = _docs(_n)
     ORACLES[f"contam_docs_{_n}"] = f"with {grams_sql('dg', 'documents', 'doc_id', _n)}, {grams_sql('bg', 'benchmark', 'item_id', _n)} select doc_id, count(*) n_grams from dg where g in (select g from bg) group by 1"
+
+
+def _items(n: int):
+    """Items with the number of documents that share a gram; the small side's grams are what is joined to."""
+
+    def query(spark, d):
+        bench = grams(table(spark, d, "benchmark"), "item_id", n)
+        docs = grams(table(spark, d, "documents"), "doc_id", n)
+        hits = docs.join(bench, "g").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+        return table(spark, d, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+    return query
+
+
+for _n in (5, 8, 13):
+    add(f"contam_items_{_n}", _items(_n), f"with {grams_sql('dg', 'documents', 'doc_id', _n)}, {grams_sql('bg', 'benchmark', 'item_id', _n)}, h as (select item_id, count(distinct doc_id) n_docs from dg join bg using (g) group by 1) select item_id, coalesce(n_docs, 0) n_docs from benchmark left join h using (item_id)")
+
+
+def _index_size(spark, d):
+    out = None
+    for n in (5, 8, 13):
+        row = grams(table(spark, d, "documents"), "doc_id", n).agg(F.lit(n).cast("long").alias("n"), F.countDistinct("g").alias("grams"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+add("contam_index_size", _index_size, "with " + ", ".join(grams_sql(f"g{n}", "documents", "doc_id", n) for n in (5, 8, 13)) + " " + " union all ".join(f"select {n}::bigint n, count(distinct g) grams from g{n}" for n in (5, 8, 13)))
+
+
+def _rates(spark, d):
+    """Item level: share of items hit; token level: share of the items' grams that the corpus has."""
+    bench = grams(table(spark, d, "benchmark"), "item_id", 8)
+    found = grams(table(spark, d, "documents"), "doc_id", 8).join(bench.select("g").distinct(), "g", "left_semi").select("g").distinct().withColumn("hit", F.lit(1))
+    per = bench.join(found, "g", "left").groupBy("item_id").agg(F.count("*").alias("n_grams"), F.count("hit").alias("n_hit"))
+    return per.select("item_id", "n_grams", "n_hit", (F.col("n_hit").cast("double") / F.col("n_grams")).alias("share"))
+
+
+add("contam_rates", _rates, f"with {grams_sql('dg', 'documents', 'doc_id', 8)}, {grams_sql('bg', 'benchmark', 'item_id', 8)}, f as (select distinct g from dg) select item_id, count(*) n_grams, count(f.g) n_hit, count(f.g)::double / count(*) share from bg left join f using (g) group by 1")
+
+
+def _sweep(spark, d):
+    out = None
+    for n in (5, 8, 13):
+        row = _items(n)(spark, d).agg(F.lit(n).cast("long").alias("n"), F.count_if(F.col("n_docs") > 0).alias("flagged"), F.count("*").alias("items"))
+        out = row if out is None else out.union(row)
+    return out.select("*", (F.col("flagged").cast("double") / F.col("items")).alias("rate"))
+
+
+add(
+    "contam_sweep", _sweep,
+    "with " + ", ".join(f"{grams_sql(f'd{n}', 'documents', 'doc_id', n)}, {grams_sql(f'b{n}', 'benchmark', 'item_id', n)}" for n in (5, 8, 13))
+    + ", r as (" + " union all ".join(f"select {n}::bigint n, (select count(distinct item_id) from b{n} where g in (select g from d{n})) flagged" for n in (5, 8, 13)) + ") select n, flagged, (select count(*) from benchmark) items, flagged::double / (select count(*) from benchmark) rate from r",
+)
+both("contam_short_items", "select item_id, SIZE(WORDS(text)) n_words, SIZE(WORDS(text)) < 13 blind_at_13, SIZE(WORDS(text)) < 8 blind_at_8 from benchmark")
+both("contam_whitespace_rate", """with bw as (select item_id, WSWORDS(text) w from benchmark), bg as (select distinct item_id, JOINED(PIECE(w, i, 8), ' ') g from (select item_id, w, EACH(SEQ(1, SIZE(w) - 7)) i from bw where SIZE(w) >= 8) x),
+dw as (select doc_id, WSWORDS(text) w from documents), dg as (select distinct JOINED(PIECE(w, i, 8), ' ') g from (select doc_id, w, EACH(SEQ(1, SIZE(w) - 7)) i from dw where SIZE(w) >= 8) x),
+h as (select distinct item_id from bg join dg on bg.g = dg.g) select count(*) hit, DBL(count(*)) / max(n) rate from h cross join (select count(*) n from benchmark) b""".replace("PIECE(w, i, 8)", "PIECE(w, i, i + 7)"), """with bw as (select item_id, WSWORDS(text) w from benchmark), bg as (select distinct item_id, JOINED(PIECE(w, i, 8), ' ') g from (select item_id, w, explode(sequence(1, size(w) - 7)) i from bw where size(w) >= 8) x),
+dw as (select doc_id, WSWORDS(text) w from documents), dg as (select JOINED(PIECE(w, i, 8), ' ') g from (select doc_id, w, explode(sequence(1, size(w) - 7)) i from dw where size(w) >= 8) x),
+h as (select distinct item_id from bg left semi join dg on bg.g = dg.g) select count(*) hit, DBL(count(*)) / max(n) rate from h cross join (select count(*) n from benchmark) b""")
+both("contam_recall_by_group", "with h as (select b.item_id, SIZE(WORDS(b.text)) < 30 short_item, max(case when d.doc_id is null then 0 else 1 end) flag from benchmark b left join documents d on contains(d.text, substring(b.text, 1, 60)) group by b.item_id, b.text) select short_item, count(*) n, DBL(sum(flag)) / count(*) recall from h group by short_item")
+both("canary_hits", "select doc_id from documents where contains(text, 'canary GUID') or contains(text, 'token = ')")
+both("bloom_sizing", "select n, BIG(ceil(-n * LN(p) / (LN(2) * LN(2)))) bits, R6(-LN(p) / LN(2)) hashes from (values (1000000, 0.01e0), (1000000000, 0.01e0), (1000000000, 0.001e0)) v(n, p)")
+
+# TF-IDF: idf = ln(N / (1 + df)) + 1, weights (1 + ln tf) idf, vectors of length one; terms unseen in the corpus weigh ln(N) + 1
+_TFIDF = """with n as (select DBL(count(*)) n from documents),
+dt as (select doc_id, term, count(*) tf from (select doc_id, EACH(WORDS(text)) term from documents) t group by doc_id, term),
+bt as (select item_id, term, count(*) tf from (select item_id, EACH(WORDS(text)) term from benchmark) t group by item_id, term),
+idf as (select term, LN(max(n) / (1 + count(*))) + 1 idf from dt cross join n group by term),
+dw as (select doc_id, dt.term, (1 + LN(tf)) * idf w from dt join idf on dt.term = idf.term),
+bw as (select item_id, bt.term, (1 + LN(tf)) * coalesce(idf, LN(n) + 1) w from bt cross join n left join idf on bt.term = idf.term),
+dn as (select doc_id, sqrt(sum(w * w)) s from dw group by doc_id), bn as (select item_id, sqrt(sum(w * w)) s from bw group by item_id),
+dot as (select item_id, doc_id, sum(bw.w * dw.w) dot from bw join dw on bw.term = dw.term group by item_id, doc_id),
+cos as (select dot.item_id, dot.doc_id, R6(dot / (bn.s * dn.s)) c from dot join bn on dot.item_id = bn.item_id join dn on dot.doc_id = dn.doc_id)"""
+both("tfidf_idf", _TFIDF.split("dw as")[0].rstrip(" ,\n") + " select term, R6(idf) idf from idf")
+both("tfidf_max_similarity", _TFIDF + " select item_id, max(c) max_cos from cos group by item_id")
+both("fuzzy_threshold", _TFIDF + ", m as (select item_id, max(c) c from cos group by item_id), g as (select m.item_id, c, max(case when d.doc_id is null then 0 else 1 end) leaked from m join benchmark b on m.item_id = b.item_id left join documents d on contains(d.text, substring(b.text, 1, 60)) group by m.item_id, c), t as (select max(c) + 1e-9 thr from g where leaked = 0) select leaked, count(*) n, min(c) lo, R6(avg(c)) mean, max(c) hi, COUNT_IF(c >= thr) flagged from g cross join t group by leaked")
+_DOT = {"spark": "aggregate(zip_with(a.embedding, b.embedding, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, v) -> s + v)", "duck": "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i]::double))"}
+_NN = "with q as (select * from embeddings where vec_id % 20 = 0), p as (select a.vec_id a, b.vec_id b, R6({dot}) dot from q a join embeddings b on a.vec_id <> b.vec_id), r as (select a, b, dot, row_number() over (partition by a order by dot desc, b) rn from p) select a, b, dot from r where rn <= 3"
+both("embedding_neighbours", _NN.format(dot=_DOT["duck"]), _NN.format(dot=_DOT["spark"]))
