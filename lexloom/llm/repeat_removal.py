@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import narrowed, written
 from lexloom.llm.suffix_arrays import permuted_prefixes, suffix_array
 
-LENGTH, K = 50, 16
+LENGTH, K = 50, 20
 #: Text bytes handled at a time; a longer text is cut into overlapping pieces of this size.
 SLICE = 1 << 21
 #: Bytes of blobs that one reducing task is to hold, and of blocks in one suffix array.
-BLOB_BYTES, SHARD_BYTES = 24 << 20, 1 << 20
+BLOB_BYTES, SHARD_BYTES = 6 << 20, 1 << 20
 #: Blocks under one anchor that go to one shard at most.
 HOT_BLOCKS = 4096
 LAST = (1 << 63) - 1
@@ -283,8 +283,8 @@ def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (id, uid, text) -> (uid, at, size): stretches of bytes that a smaller document also has; they overlap."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # blocks are about 25 bytes for every 18 of text
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 25 / 18 / BLOB_BYTES) + 1)
+    # blocks are about 25 bytes for every 16 of text
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 25 / 16 / BLOB_BYTES) + 1)
     rows = written(settled(dealt(docs, length, parts), length, parts), "blocks")
     spark.sparkContext._jvm.System.gc()  # the blobs' shuffle files go
     open_ = rows.where("h is not null")

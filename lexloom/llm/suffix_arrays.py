@@ -29,26 +29,24 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     """Of symbols >= 1, followed by one 0 at the end."""
     s = np.asarray(s, np.int64)
     if len(s) < 3:
-        return np.array([1, 0][:len(s)] if len(s) == 2 else range(len(s)), np.int64)
-    if s.max() > 1 << 10:
-        return np.array(_by_entry(s.tolist(), int(s.max()) + 1), np.int64)
+        return np.arange(len(s))[::-1]
     is_s = smaller(s)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    first = _by_bucket(s, is_s, lms[np.argsort(s[lms], kind="stable")])
+    largest = int(s.max())
+    induce = _by_bucket if largest <= 1 << 10 and len(s) > 16 * largest else _by_entry
+    first = induce(s, is_s, lms[np.argsort(s[lms], kind="stable")])
     mark = np.zeros(len(s), bool)
     mark[lms] = True
     order = first[mark[first]]
-    if len(lms) > 1:
-        names = np.empty(len(s), np.int64)
-        names[order] = _named(s, is_s, lms, order)
-        reduced = names[lms]
-        if reduced.max() + 1 < len(lms):
-            at = suffix_array(reduced) if reduced.max() > 1 << 10 else np.array(_by_entry(reduced.tolist(), int(reduced.max()) + 1), np.int64)
-        else:
-            at = np.empty(len(lms), np.int64)
-            at[reduced] = np.arange(len(lms))
-        order = lms[at]
-    return _by_bucket(s, is_s, order)
+    names = np.empty(len(s), np.int64)
+    names[order] = _named(s, is_s, lms, order)
+    reduced = names[lms]  # the end mark is the last and smallest LMS suffix, so this string has an end mark, too
+    if reduced.max() + 1 < len(lms):
+        at = suffix_array(reduced)
+    else:
+        at = np.empty(len(lms), np.int64)
+        at[reduced] = np.arange(len(lms))
+    return induce(s, is_s, lms[at])
 
 
 def _named(s, is_s, lms, order) -> np.ndarray:
@@ -117,68 +115,31 @@ def _by_bucket(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate([x for c in range(k) for x in (larger[c][0], lists_s[c][0][::-1])])
 
 
-def _by_entry(s: list[int], k: int) -> list[int]:
-    """The same for large alphabets. The string need not end in a unique symbol: an end before all symbols is understood."""
-    n = len(s)
-    if n == 1:
-        return [0]
-    is_s = [False] * n
-    for i in range(n - 2, -1, -1):
-        is_s[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and is_s[i + 1])
-    count = [0] * (k + 1)
-    for c in s:
-        count[c + 1] += 1
-    for c in range(k):
-        count[c + 1] += count[c]
-    lms = [i for i in range(1, n) if is_s[i] and not is_s[i - 1]]
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = count[1:]
-        for i in reversed(order):
-            c = s[i]
+def _by_entry(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same, entry by entry."""
+    ends = np.cumsum(np.bincount(s))
+    text, small, n = s.tolist(), is_s.tolist(), len(s)
+    sa, tail = [-1] * n, ends.tolist()
+    for i in reversed(lms.tolist()):
+        c = text[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = [0, *ends[:-1].tolist()]
+    for j in range(n):
+        i = sa[j] - 1
+        if i >= 0 and not small[i]:
+            c = text[i]
+            sa[head[c]] = i
+            head[c] += 1
+    tail = ends.tolist()
+    for j in range(n - 1, -1, -1):
+        i = sa[j] - 1
+        if i >= 0 and small[i]:
+            c = text[i]
             tail[c] -= 1
             sa[tail[c]] = i
-        head = count[:-1]
-        c = s[n - 1]  # what stands before the end is larger
-        sa[head[c]] = n - 1
-        head[c] += 1
-        for j in range(n):
-            i = sa[j] - 1
-            if i >= 0 and not is_s[i]:
-                c = s[i]
-                sa[head[c]] = i
-                head[c] += 1
-        tail = count[1:]
-        for j in range(n - 1, -1, -1):
-            i = sa[j] - 1
-            if i >= 0 and is_s[i]:
-                c = s[i]
-                tail[c] -= 1
-                sa[tail[c]] = i
-        return sa
-
-    if not lms:
-        return induce([])
-    sa = induce(lms)
-    rank = {p: i for i, p in enumerate(lms)}
-    stop = [*lms[1:], n]
-    names, name, last = [0] * len(lms), -1, None
-    for p in sa:
-        r = rank.get(p)
-        if r is None:
-            continue
-        piece = s[p : stop[r] + 1] if stop[r] < n else [*s[p:], -1]
-        if piece != last:
-            name, last = name + 1, piece
-        names[r] = name
-    if name + 1 < len(lms):
-        order = _by_entry(names, name + 1)
-    else:
-        order = [0] * len(lms)
-        for r, x in enumerate(names):
-            order[x] = r
-    return induce([lms[r] for r in order])
+    sa[0] = n - 1
+    return np.array(sa, np.int64)
 
 
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
