@@ -6,9 +6,9 @@ behind the placeholders must map one to one, so that a passage with other
 numbers and names is caught and one that merely has the same frame with mixed-up
 slots is not. Windows need `min_literal` tokens that are no placeholders.
 
-The corpus is read once: each window's hash meets the broadcast window hashes of
-the benchmark inside the scan's own stage, and only hits leave it. The
-benchmark's hashes are broadcast in blocks of at most `BLOCK_WINDOWS`.
+The corpus is read twice: once for hashes (an 8-byte hash and a position for each
+window, met in the scan's own stage by the broadcast hashes of the benchmark, in
+blocks of at most `BLOCK_WINDOWS`), and once for the documents that had a hit.
 
 Defined results: null and empty texts, and benchmark items of fewer than n
 words, match nothing; each input row gives one output row, repeated rows alike;
@@ -42,14 +42,11 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def kind(token: Column) -> Column:
     """The placeholder of a token, or the token in lower case."""
-    c, second = F.substring(token, 1, 1), F.substring(token, 2, 1)
-    low = F.lower(token)
-    return (
-        F.when(c.between("0", "9"), F.lit("<num>"))
-        .when((c != F.lower(c)) & (second == F.lower(second)), F.lit("<name>"))
-        .when(low.isin(UNITS), F.lit("<unit>"))
-        .otherwise(low)
-    )
+    low, number = F.lower(token), (token >= "0") & (token < ":")
+    plain = F.when(number, F.lit("<num>")).when(token.isin(UNITS), F.lit("<unit>")).otherwise(token)
+    second = F.substring(token, 2, 1)
+    name = (F.substring(token, 1, 1) != F.substring(low, 1, 1)) & (second == F.lower(second))
+    return F.when(token == low, plain).otherwise(F.when(number, F.lit("<num>")).when(name, F.lit("<name>")).when(low.isin(UNITS), F.lit("<unit>")).otherwise(low))
 
 
 def tokens(df: DataFrame, text: str) -> DataFrame:
@@ -79,14 +76,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_literal:
     items = written(items, "decontamination-windows")
     blocks = max(1, -(-items.count() // BLOCK_WINDOWS))
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("t"))
-    scanned = tokens(rows, "t").select("row", "w", "c", windows(n)).select("row", "w", "c", "x.at", "x.h")
+    scanned = tokens(rows, "t").select("row", windows(n)).select("row", "x.at", "x.h")
     hits = None
     for b in range(blocks):
         part = items.where(F.pmod("h", F.lit(blocks)) == b).select("h").distinct()
-        # the arrays are carried past the join by reference: only hits are cut out and leave the stage
-        found = scanned.join(F.broadcast(part), "h", "left_semi").select("row", "at", "h", F.slice("w", F.col("at"), F.lit(n)).alias("dw"), F.slice("c", F.col("at"), F.lit(n)).alias("dc"))
+        found = scanned.join(F.broadcast(part), "h", "left_semi")
         hits = found if hits is None else hits.union(found)
-    seen = written(hits, "decontamination-hits").dropDuplicates(["row", "at"])
+    hits = written(written(hits, "decontamination-hits").groupBy("row").agg(F.collect_set(F.struct("at", "h")).alias("x")), "decontamination-hits")
+    again = tokens(narrowed(rows, hits.select("row"), "row").dropDuplicates(["row"]).join(hits, "row"), "t")
+    # windows are cut before they become rows: an explode copies what is selected beside it
+    cut = lambda x: F.struct(x["h"].alias("h"), F.slice("w", x["at"], F.lit(n)).alias("dw"), F.slice("c", x["at"], F.lit(n)).alias("dc"))
+    seen = again.select("row", F.explode(F.transform("x", cut)).alias("y")).select("row", "y.h", "y.dw", "y.dc")
     met = seen.join(items, "h").where("dc = bc")
     slot = lambda i: F.struct(F.element_at("bc", i).alias("k"), F.lower(F.element_at("bw", i)).alias("b"), F.lower(F.element_at("dw", i)).alias("d"))
     pairs = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.lit(n)), slot), lambda s: s["k"].startswith("<")))
