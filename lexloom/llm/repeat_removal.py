@@ -40,7 +40,7 @@ from lexloom.llm.suffix_arrays import permuted_prefixes, suffix_array
 
 LENGTH, K = 50, 20
 #: Text bytes handled at a time; a longer text is cut into overlapping pieces of this size.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Bytes of blobs that one reducing task is to hold, and of blocks in one suffix array.
 BLOB_BYTES, SHARD_BYTES = 6 << 20, 1 << 20
 #: Blocks under one anchor that go to one shard at most.
