@@ -31,8 +31,8 @@ MACROS = {
     "COUNT_RE": ("cast(regexp_count(%s, %s) as bigint)", "cast(len(regexp_extract_all(%s, %s)) as bigint)"),
     "FIRST_RE": ("regexp_extract(%s, %s, %s)", "regexp_extract(%s, %s, %s)"),
     "BYTES": ("cast(octet_length(%s) as bigint)", "cast(strlen(%s) as bigint)"),
-    "IDIV": ("(%s div %s)", "(%s // %s)"),
-    "MOD": ("(%s %% %s)", "(%s %% %s)"),
+    "IDIV": ("((%s) div (%s))", "((%s) // (%s))"),
+    "MOD": ("((%s) %% (%s))", "((%s) %% (%s))"),
     "DBL": ("cast(%s as double)", "cast(%s as double)"),
     "BIG": ("cast(%s as bigint)", "cast(%s as bigint)"),
     "MAX_BY": ("max_by(%s, %s)", "max_by(%s, %s)"),
@@ -40,6 +40,7 @@ MACROS = {
     "JOINED": ("array_join(%s, %s)", "array_to_string(%s, %s)"),
     "PIECE": ("slice(%s, %s, %s)", "list_slice(%s, %s, %s)"),
     "LN": ("ln(%s)", "ln(%s)"),
+    "R9": ("round(cast(%s as double), 9)", "round(cast(%s as double), 9)"),
     "R6": ("round(cast(%s as double), 6)", "round(cast(%s as double), 6)"),
 }
 
