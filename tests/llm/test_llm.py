@@ -171,7 +171,7 @@ def test_pii_base_is_literal_and_trees_learn(spark, odd, empty):
 
 def test_mixing_meets_targets(spark, odd, empty):
     rows = mixing.mix(odd).collect()
-    assert len(rows) == len(odd_texts()) and sorted(rows) == sorted(mixing.mix(odd).collect())
+    assert len(rows) == len(odd_texts()) and sorted(rows, key=repr) == sorted(mixing.mix(odd).collect(), key=repr)
     by = defaultdict(list)
     for r in rows:
         by[r.source].append(r)
