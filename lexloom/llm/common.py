@@ -69,12 +69,3 @@ def narrowed(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     from pyspark.sql import functions as F
 
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by `written` that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

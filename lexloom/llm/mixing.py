@@ -55,7 +55,9 @@ def mix(df: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "sourc
     rows = written(
         df.select(
             F.col(key).alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("k"),
+            # the first 32 bits of an md5, which other engines have, too; then a second hash that tells texts of one id apart
+            F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long").alias("k"),
+            F.xxhash64(text).alias("k2"),
         ),
         "mix",
     )
@@ -63,13 +65,13 @@ def mix(df: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "sourc
     plan = written(targets(sizes, cap).withColumn("n_ranges", F.ceil(F.col("n_docs") / RANGE_ROWS).cast("long")), "mix-plan")
     side = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     # A key range is a slice of the hash's values, so ranges are even and in the keys' order.
-    slot = F.floor((F.shiftright("k", 32) + F.lit(1 << 31)) * F.col("n_ranges") / F.lit(float(1 << 32)))
+    slot = F.floor(F.col("k") * F.col("n_ranges") / F.lit(float(1 << 32)))
     same = F.expr("a.source <=> b.source")
-    ranged = rows.alias("a").join(side.alias("b"), same).select("id", "k", "size", "a.source", "source_size", "target", "n_docs", slot.alias("slot"))
+    ranged = rows.alias("a").join(side.alias("b"), same).select("id", "k", "k2", "size", "a.source", "source_size", "target", "n_docs", slot.alias("slot"))
     sums = ranged.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     by_source = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before_slot", F.coalesce(F.sum("slot_size").over(by_source), F.lit(0))).drop("slot_size")
-    inside = Window.partitionBy("source", "slot").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "slot").orderBy("k", "id", "k2").rowsBetween(Window.unboundedPreceding, -1)
     run = ranged.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = F.expr("r.source <=> s.source and r.slot = s.slot")
     run = run.alias("r").join(sums.alias("s"), same).select("r.*", (F.col("before") + F.col("before_slot")).alias("start"))

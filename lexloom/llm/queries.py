@@ -83,5 +83,48 @@ def queries():
     return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op8_license_scan, op9_quality_rules, op10_ngram_join, pipeline)}
 
 
+#: DuckDB SQL of the queries that SQL can express; the others depend on trained models or on a tokenizer's merges, or are
+#: too slow on whole tables (op2), and are tested against brute force.
+OP6 = r"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+'))::bigint size from documents),
+s as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 rank from d group by source),
+w as (select *, (rank % 3 + 1)::double weight, 3.0e0 * source_size most from s),
+o as (select *, sum(source_size) over ()::double - coalesce(sum(most) over (order by case when most > 0 then weight / most end desc nulls first, rank rows between unbounded preceding and 1 preceding), 0) lft,
+  sum(weight) over (order by case when most > 0 then weight / most end desc nulls first, rank rows between current row and unbounded following) wl,
+  row_number() over (order by case when most > 0 then weight / most end desc nulls first, rank) k from w),
+l as (select arg_min(lft / wl, k) level from o where not lft / wl * weight > most),
+t as (select source, source_size, least(most, level * weight) target from o cross join l),
+r as (select d.*, t.source_size, t.target, coalesce(sum(size) over (partition by d.source order by ('0x' || substr(md5('17:' || doc_id), 1, 8))::bigint, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint start from d join t on d.source is not distinct from t.source),
+e as (select *, case when source_size > 0 then floor(floor(target) / source_size)::bigint else 0 end epochs from r)
+select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, floor(target)::bigint - epochs * source_size - start)))::bigint taken from e"""
+OP7 = """with p as (select page_id, coalesce(html, '') html, strlen(coalesce(html, '')) n from pages), m as (select html, max(page_id) last from p where n >= 1000 group by 1)
+select p.page_id, n::bigint payload_bytes, sha1(p.html) payload_digest, case when last > p.page_id then 'revisit' else 'response' end record_type, case when last > p.page_id then last end refers_to from p left join m on m.html = p.html"""
+OP10 = r"""with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\v\f\r]+') w from documents),
+sh as materialized (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+c as materialized (select doc_id, count(*) n from sh group by 1), i as materialized (select x.doc_id a, y.doc_id b, count(*) k from sh x join sh y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+pairs as materialized (select a, b from i join c p on p.doc_id = a join c q on q.doc_id = b where 100 * k >= 80 * (p.n + q.n - k)), e as (select a, b from pairs union all select b, a from pairs),
+r(doc_id, m) as (select doc_id, doc_id from documents union select e.b, r.m from r join e on r.doc_id = e.a and r.m < e.b)
+select d.doc_id, coalesce(c.n, 0)::bigint n_shingles, l.m component_id from documents d left join c on c.doc_id = d.doc_id join (select doc_id, min(m) m from r group by 1) l on l.doc_id = d.doc_id"""
+
+
+def op4_sql() -> str:
+    from lexloom.llm.decontamination import MIN_LITERAL, TOKEN, UNITS, WINDOW
+
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    kind = f"case when t[1] between '0' and '9' then '<num>' when t[1] <> lower(t)[1] and substr(t, 2, 1) = lower(substr(t, 2, 1)) then '<name>' when lower(t) in ({units}) then '<unit>' else lower(t) end"
+    token = TOKEN.replace("'", "''")
+    side = lambda a, k, t: (
+        f"{a}0 as materialized (select {k}, w, list_transform(w, lambda t: {kind}) c from (select {k}, regexp_extract_all(coalesce(text, ''), '{token}') w from {t}) x where len(w) >= {WINDOW}), "
+        f"{a} as materialized (select {k}, w[i:i + {WINDOW - 1}] w, c[i:i + {WINDOW - 1}] c from (select {k}, w, c, unnest(range(1, len(w) - {WINDOW - 2})) i from {a}0) x)"
+    )
+    return (
+        f"with {side('d', 'doc_id', 'documents')}, {side('b', 'item_id', 'benchmark')}, "
+        f"bs as (select distinct * from b where len(list_filter(c, lambda t: not starts_with(t, '<'))) >= {MIN_LITERAL}), "
+        f"m as (select doc_id, item_id, list_distinct(list_filter(list_transform(range(1, {WINDOW + 1}), lambda i: [bs.c[i], lower(bs.w[i]), lower(d.w[i])]), lambda s: starts_with(s[1], '<'))) p from d join bs on d.c = bs.c), "
+        "ok as (select doc_id, item_id, count(*) n from m where len(list_distinct(list_transform(p, lambda s: [s[1], s[2]]))) = len(p) and len(list_distinct(list_transform(p, lambda s: [s[1], s[3]]))) = len(p) group by 1, 2), "
+        "h as (select doc_id, sum(n)::bigint n_windows, list_sort(list(item_id)) items from ok group by 1) "
+        "select documents.doc_id, h.doc_id is not null contaminated, coalesce(n_windows, 0)::bigint n_windows, coalesce(items, []) items from documents left join h on h.doc_id = documents.doc_id"
+    )
+
+
 def oracle_sql():
-    return {}
+    return {"op4_decontamination": op4_sql(), "op6_mixing": OP6, "op7_warc": OP7, "op10_ngram_join": OP10}
