@@ -18,7 +18,7 @@ both("sft_lengths", "select conv_id, BIG(sum(1 + BYTES(text) + case when role =
 both("sft_mask_counts", _T + "select conv_id, BIG(sum(case when role = 'assistant' then n + 1 else 0 end)) correct, BIG(sum(case when role = 'assistant' then n else 0 end)) no_eos, BIG(sum(1 + n + case when role = 'assistant' then 1 else 0 end)) no_mask, BIG(sum(case when turn = last_turn then n + 1 else 0 end)) last_turn from t group by conv_id")
 both("sft_mask_share", _T + "select DBL(sum(case when turn = last_turn then n + 1 else 0 end)) / sum(case when role = 'assistant' then n + 1 else 0 end) last_turn_share, DBL(sum(1 + n)) / sum(case when role = 'assistant' then n + 1 else 0 end) no_mask_share from t")
 both("sft_show_mask", "select conv_id, turn, case when role = 'assistant' then concat('[', text, '<end>]') else text end shown from conversations")
-both("sft_golden_counts", "select BIG(sum(case when a then n + 1 else 0 end)) correct, BIG(sum(case when a then n else 0 end)) no_eos, BIG(max(case when a then n + 1 else 0 end)) last_turn from (values (40, false), (120, true), (25, false), (200, true), (60, false), (150, true)) v(n, a)")
+both("sft_golden_counts", "select BIG(sum(case when a then n + 1 else 0 end)) correct, BIG(sum(case when a then n else 0 end)) no_eos, BIG(MAX_BY(n + 1, case when a then i end)) last_turn from (values (1, 40, false), (2, 120, true), (3, 25, false), (4, 200, true), (5, 60, false), (6, 150, true)) v(i, n, a)")
 both("sft_truncated", "select conv_id, turn, least(256, BYTES(text)) kept, greatest(0, BYTES(text) - 256) cut from conversations where role = 'assistant'")
 both("forged_markers", "select role, COUNT_IF(text like '%<user>%' or text like '%<assistant>%' or text like '%<end>%') forged, count(*) n from conversations group by role")
 _L = "with c as (select conv_id, BIG(sum(1 + BYTES(text) + case when role = 'assistant' then 1 else 0 end)) n from conversations group by conv_id), b as (select conv_id, n, IDIV(row_number() over (order by conv_id) - 1, 8) batch from c) "
