@@ -55,7 +55,7 @@ both("zero_adv_groups", GROUPS + ", c as (select prompt_id, n, count(distinct co
 both("zero_adv_rate", S + ", g as (select prompt_id, IDIV(sample_id - 1, 8) step, max(correct) - min(correct) spread, count(*) n from s group by prompt_id, IDIV(sample_id - 1, 8)) select step, DBL(sum(case when spread = 0 then 1 else 0 end)) / count(*) zero_rate, count(*) groups from g where n = 8 group by step")
 both("k3_kl", PAIRS + " select R6(avg(exp((rr - rc) / 500) - (rr - rc) / 500 - 1)) k3 from q")
 both("ppo_clip", PAIRS + ", x as (select exp((rc - rr) / 500) ratio, (rc - 50) / 100 adv from q) select R6(avg(least(ratio * adv, greatest(0.8e0, least(ratio, 1.2e0)) * adv))) surrogate, DBL(COUNT_IF(ratio > 1.2e0 or ratio < 0.8e0)) / count(*) clip_fraction from x")
-both("gae", S + ", d as (select prompt_id, sample_id, reward + 0.99e0 * coalesce(lead(reward) over (partition by prompt_id order by sample_id), 0) - reward delta from s where sample_id <= 12) select a.prompt_id, a.sample_id, round(sum(pow(0.99e0 * 0.95e0, b.sample_id - a.sample_id) * b.delta), 7) adv from d a join d b on a.prompt_id = b.prompt_id and b.sample_id >= a.sample_id group by a.prompt_id, a.sample_id")
+both("gae", S + ", d as (select prompt_id, sample_id, reward + 0.99e0 * coalesce(lead(reward) over (partition by prompt_id order by sample_id), 0) - reward delta from s where sample_id <= 12) select a.prompt_id, a.sample_id, round(sum(pow(0.99e0 * 0.95e0, b.sample_id - a.sample_id) * b.delta) + 0.000000001e0, 7) adv from d a join d b on a.prompt_id = b.prompt_id and b.sample_id >= a.sample_id group by a.prompt_id, a.sample_id")
 both("adaptive_kl", S + ", e as (select prompt_id, sample_id, 1 + 0.1e0 * greatest(-0.2e0, least(0.2e0, reward / 60 - 1)) f from s where sample_id <= 20) select prompt_id, sample_id, R6(0.1e0 * exp(sum(LN(f)) over (partition by prompt_id order by sample_id rows unbounded preceding))) beta from e")
 both("batch_normalised_adv", S + ", m as (select DBL(sum(rd)) / count(*) mean, sqrt((DBL(sum(rd * rd)) - DBL(sum(rd)) * DBL(sum(rd)) / count(*)) / (count(*) - 1)) std from s), z as (select prompt_id, sample_id, R6((reward - mean) / (std + 0.00000001e0)) adv, reward > mean + 3 * std outlier from s cross join m) select outlier, count(*) n, R6(sum(cast(abs(adv) as decimal(18, 6)))) mass from z group by outlier")
 both("reward_winsorised", S + " select prompt_id, R6(DBL(sum(cast(least(200.0e0, greatest(1.0e0, reward)) as decimal(18, 6)))) / count(*)) mean from s group by prompt_id")
