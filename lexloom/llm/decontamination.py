@@ -5,6 +5,8 @@ windows of `n` template tokens are hashed and joined; for each match the values
 behind the placeholders must map one to one, so that a passage with other
 numbers and names is caught and one that merely has the same frame with mixed-up
 slots is not. Windows need `min_literal` tokens that are no placeholders.
+Beside them the windows of case-folded tokens are hashed and joined, so that a
+copy in other case, whose names are no <name> or whose words all are, is caught too.
 
 The corpus is read twice: once for hashes (an 8-byte hash and a position for each
 window, met in the scan's own stage by the broadcast hashes of the benchmark, in
@@ -12,7 +14,8 @@ blocks of at most `BLOCK_WINDOWS`), and once for the documents that had a hit.
 
 Defined results: null and empty texts, and benchmark items of fewer than n
 words, match nothing; each input row gives one output row, repeated rows alike;
-other columns are ignored.
+other columns are ignored. n_windows counts the template windows of an item, and
+the case-folded windows of an item that no template window meets.
 """
 
 from __future__ import annotations
@@ -59,9 +62,19 @@ def starts(n: int) -> Column:
     return F.when(F.size("c") >= n, F.sequence(F.lit(1), F.size("c") - (n - 1))).otherwise(F.array().cast("array<int>"))
 
 
+def folded(words: Column | str) -> Column:
+    return F.transform(words, F.lower)
+
+
+def numbers(words: Column | str) -> Column:
+    """A hash of each token; windows are hashed from these, as a token is in many windows."""
+    return F.transform(words, lambda t: F.xxhash64(t))
+
+
 def windows(n: int) -> Column:
-    """x: (at, h) of each window of template tokens."""
-    return F.explode(F.transform(starts(n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("c", i, F.lit(n))).alias("h")))).alias("x")
+    """x: (at, h, f) of each window, hashes of its template tokens (numbers in nc) and of its case-folded tokens (in nl)."""
+    hashed = lambda c, i: F.xxhash64(F.slice(c, i, F.lit(n)))
+    return F.explode(F.transform(starts(n), lambda i: F.struct(i.alias("at"), hashed("nc", i).alias("h"), hashed("nl", i).alias("f")))).alias("x")
 
 
 def literal(window: Column) -> Column:
@@ -72,11 +85,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_literal:
     """row (a hash of id and text), item, n_windows: consistent windows of each document row and benchmark item."""
     items = tokens(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t")), "t")
     items = items.select("item", F.explode(F.transform(starts(n), lambda i: F.struct(F.slice("w", i, F.lit(n)).alias("bw"), F.slice("c", i, F.lit(n)).alias("bc")))).alias("x"))
-    items = items.select("item", "x.bw", "x.bc", F.xxhash64("x.bc").alias("h")).where(literal(F.col("bc")) >= min_literal).distinct()
+    items = items.select("item", "x.bw", "x.bc")
+    framed = items.where(literal(F.col("bc")) >= min_literal).select("*", F.xxhash64(numbers("bc")).alias("h"), F.lit(False).alias("as_folded"))
+    items = framed.union(items.select("*", F.xxhash64(numbers(folded("bw"))).alias("h"), F.lit(True))).distinct()
     items = written(items, "decontamination-windows")
     blocks = max(1, -(-items.count() // BLOCK_WINDOWS))
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("t"))
-    scanned = tokens(rows, "t").select("row", windows(n)).select("row", "x.at", "x.h")
+    both = F.when(F.col("x.h") == F.col("x.f"), F.array("x.h")).otherwise(F.array("x.h", "x.f"))  # equal where no token is a placeholder
+    scanned = held(held(tokens(rows, "t"), "nc", numbers("c")), "nl", numbers(folded("w"))).select("row", windows(n)).select("row", "x.at", F.explode(both).alias("h"))
     hits = None
     for b in range(blocks):
         part = items.where(F.pmod("h", F.lit(blocks)) == b).select("h").distinct()
@@ -87,12 +103,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_literal:
     # windows are cut before they become rows: an explode copies what is selected beside it
     cut = lambda x: F.struct(x["h"].alias("h"), F.slice("w", x["at"], F.lit(n)).alias("dw"), F.slice("c", x["at"], F.lit(n)).alias("dc"))
     seen = again.select("row", F.explode(F.transform("x", cut)).alias("y")).select("row", "y.h", "y.dw", "y.dc")
-    met = seen.join(items, "h").where("dc = bc")
+    met = seen.join(items, "h").where(F.when(F.col("as_folded"), folded("bw") == folded("dw")).otherwise(F.col("bc") == F.col("dc")))
     slot = lambda i: F.struct(F.element_at("bc", i).alias("k"), F.lower(F.element_at("bw", i)).alias("b"), F.lower(F.element_at("dw", i)).alias("d"))
     pairs = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.lit(n)), slot), lambda s: s["k"].startswith("<")))
     met = held(met, "p", pairs)
     side = lambda f: F.size(F.array_distinct(F.transform("p", lambda s: F.struct(s["k"], s[f]))))
-    return met.where((side("b") == F.size("p")) & (side("d") == F.size("p"))).groupBy("row", "item").agg(F.count("*").alias("n_windows"))
+    consistent = met.where(F.col("as_folded") | ((side("b") == F.size("p")) & (side("d") == F.size("p"))))
+    by_item = consistent.groupBy("row", "item").agg(F.count_if(~F.col("as_folded")).alias("framed"), F.count_if("as_folded").alias("folded"))
+    return by_item.select("row", "item", F.when(F.col("framed") > 0, F.col("framed")).otherwise(F.col("folded")).alias("n_windows"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -146,6 +146,15 @@ def test_decontamination_finds_other_numbers_and_names(spark, odd, empty):
     assert decontamination.without_contaminated(docs, bench).columns == docs.columns
 
 
+def test_decontamination_finds_copies_in_other_case(spark):
+    item = "If Alice buys 12 apples and then Bob eats 5 apples from the large wooden basket how many remain"
+    names = "Near Paris Alice Met Bob And Carol In Old Rome On Monday"  # no window has five literal tokens
+    bench = spark.createDataFrame([(1, item), (2, names)], "item_id long, text string")
+    docs = [(1, item.upper()), (2, "intro. " + item.lower()), (3, item.title()), (4, "So: " + names.lower()), (5, names), (6, item), (7, item.lower().replace("large", "small").replace("then", "so"))]
+    got = {r.doc_id: (r.contaminated, r.n_windows, list(r.items)) for r in decontamination.decontaminate(documents(spark, [(i, t, "s") for i, t in docs]), bench).collect()}
+    assert got == {1: (True, 2, [1]), 2: (True, 2, [1]), 3: (True, 10, [1]), 4: (True, 3, [2]), 5: (True, 3, [2]), 6: (True, 10, [1]), 7: (False, 0, [])}
+
+
 def test_pii_base_is_literal_and_trees_learn(spark, odd, empty):
     def literal(t):
         out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
