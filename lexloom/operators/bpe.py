@@ -1,20 +1,25 @@
 """Byte-pair training over a distributed chunk histogram, and encoding of distinct chunks.
 
-Only the merge loop is sequential: the histogram is a groupBy, the loop runs on
-the driver over the commonest distinct chunks (a documented bound), and chunks
-are encoded once each in Arrow batches and joined back.
+The histogram is a groupBy and is never cut. Its chunks stay on the executors as
+blocks of ids; each round counts all pairs there and only the commonest pairs come
+to the driver, which takes as many merges of them as cannot affect one another.
+Chunks are encoded once each in Arrow batches and joined back.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators.dedup import written
+
 #: Pre-token pattern without look-around, so that other regex engines agree.
 PATTERN = r"[^\s\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+"
-MAX_CHUNKS = 200_000
+#: Pairs that one round brings to the driver; a round that takes them all is followed by another.
+ROUND_PAIRS = 1000
+#: Merges after which the blocks are written anew, so that a round does not apply all merges again.
+FOLD_MERGES = 32
 
 
 def chunk_counts(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
@@ -35,33 +40,101 @@ def merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return out
 
 
+def blocks(counts: DataFrame) -> DataFrame:
+    """(x, w): the chunks of a batch as int32 ids, each chunk ended by -1, and its counts as int64."""
+
+    def run(frames):
+        for f in frames:
+            raw = [c.encode() for c in f.chunk]
+            ends = np.cumsum([len(c) + 1 for c in raw], dtype=np.int64) - 1
+            if len(ends):
+                x = np.full(ends[-1] + 1, -1, np.int32)
+                x[np.delete(np.arange(len(x)), ends)] = np.frombuffer(b"".join(raw), np.uint8)
+                yield f.iloc[:1].assign(x=[x.tobytes()], w=[f.n.to_numpy(np.int64).tobytes()])[["x", "w"]]
+
+    return counts.select("chunk", "n").mapInPandas(run, "x binary, w binary")
+
+
+def replaced(x: np.ndarray, pair: tuple[int, int], new: int) -> np.ndarray:
+    """`merged` for all chunks of a block."""
+    at = np.flatnonzero((x[:-1] == pair[0]) & (x[1:] == pair[1]))
+    if pair[0] == pair[1] and len(at):  # of a run of one id every second place
+        k = np.arange(len(at))
+        first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, k, 0))
+        at = at[(k - first) % 2 == 0]
+    if not len(at):
+        return x
+    x = x.copy()
+    x[at] = new
+    return np.delete(x, at + 1)
+
+
+def folded(state: DataFrame, merges: list[tuple[tuple[int, int], int]], schema: str, out) -> DataFrame:
+    """`out` (a frame of `schema`) of the ids and counts of each block after the merges."""
+
+    def run(frames):
+        for f in frames:
+            for raw, w in zip(f.x, f.w, strict=True):
+                x = np.frombuffer(raw, np.int32)
+                for pair, new in merges:
+                    x = replaced(x, pair, new)
+                yield out(x, w)
+
+    return state.mapInPandas(run, schema)
+
+
+def block_rows(x: np.ndarray, w: bytes):
+    import pandas as pd
+
+    return pd.DataFrame({"x": [x.tobytes()], "w": [w]})
+
+
+def pair_rows(x: np.ndarray, w: bytes):
+    """(pair, n): pair is left id * 2^32 + right id."""
+    import pandas as pd
+
+    inside = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0))
+    keys = (x[inside].astype(np.int64) << 32) | x[inside + 1]
+    n = np.frombuffer(w, np.int64)[np.cumsum(x == -1)[inside]]
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return pd.DataFrame({"pair": keys[first], "n": np.add.reduceat(n, first) if len(first) else n})
+
+
+def independent(ranked: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The first pairs of a ranking that stay the next ones while they are merged in turn.
+
+    A merge changes only pairs with one of its ids, and a pair with the new id is
+    at most as common as the pair it came from, which ranks behind all that are
+    taken here; on a tie its larger new id comes later. A pair of one id twice
+    ends the round, as what follows it came from no other pair.
+    """
+    out, met = [], set()
+    for a, b in ranked:
+        if a in met or b in met:
+            break
+        out.append((a, b))
+        met |= {a, b}
+        if a == b:
+            break
+    return out
+
+
 def train(counts: DataFrame, vocab_size: int) -> list[tuple[int, int]]:
     """Merges in order; ties go to the smaller left id, then the smaller right id; stops when no pair occurs twice."""
-    rows = counts.orderBy(F.desc("n"), "chunk").limit(MAX_CHUNKS).collect()
-    words = [[list(r.chunk.encode()), r.n] for r in rows]
-    where: dict[tuple[int, int], set[int]] = {}
-    pairs: Counter = Counter()
-    for k, (ids, n) in enumerate(words):
-        for p in zip(ids, ids[1:], strict=False):
-            pairs[p] += n
-            where.setdefault(p, set()).add(k)
-    out: list[tuple[int, int]] = []
-    while 256 + len(out) < vocab_size and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] < 2:
+    state, out, done = None, [], 0
+    while 256 + len(out) < vocab_size:
+        if state is None:
+            state = written(blocks(counts))
+        pending = [(p, 256 + k) for k, p in enumerate(out)][done:]
+        if len(pending) >= FOLD_MERGES:
+            state, done, pending = written(folded(state, pending, "x binary, w binary", block_rows)), len(out), []
+        pairs = folded(state, pending, "pair long, n long", pair_rows).groupBy("pair").agg(F.sum("n").alias("n")).where("n >= 2")
+        ranked = [(r.pair >> 32, r.pair & 0xFFFFFFFF) for r in pairs.orderBy(F.desc("n"), "pair").limit(ROUND_PAIRS).collect()]
+        if not ranked:
             break
-        new = 256 + len(out)
-        out.append(best)
-        for k in where.pop(best):
-            ids, n = words[k]
-            for p in zip(ids, ids[1:], strict=False):
-                pairs[p] -= n
-                if pairs[p] <= 0:
-                    del pairs[p]
-            words[k][0] = ids = merged(ids, best, new)
-            for p in zip(ids, ids[1:], strict=False):
-                pairs[p] += n
-                where.setdefault(p, set()).add(k)
+        out += independent(ranked)[: vocab_size - 256 - len(out)]
     return out
 
 

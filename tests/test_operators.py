@@ -39,6 +39,33 @@ def test_bpe_round_trip_and_order(spark):
     assert bpe.encoded(counts, merges).where("not ok").count() == 0
 
 
+def test_bpe_counts_rare_chunks(spark):
+    common = spark.range(200_000).select(F.col("id").cast("string").alias("chunk"), F.lit(2).cast("long").alias("n"))
+    rare = spark.range(150_000).select(F.concat(F.lit("zq"), F.col("id").cast("string")).alias("chunk"), F.lit(1).cast("long").alias("n"))
+    assert bpe.train(common.union(rare), 257) == [(ord("z"), ord("q"))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bpe_merges_match_one_merge_at_a_time(spark, seed):
+    import random
+    from collections import Counter
+
+    r = random.Random(seed)
+    words = Counter("".join(r.choice("aab c") for _ in range(r.randint(1, 12))) + r.choice(["", "aaaa", "éé", "zzzzz"]) for _ in range(120))
+    want, state = [], [(list(c.encode()), n) for c, n in words.items()]
+    while len(want) < 60:
+        pairs = Counter()
+        for ids, n in state:
+            for p in zip(ids, ids[1:], strict=False):
+                pairs[p] += n
+        best = min(pairs, key=lambda p: (-pairs[p], p), default=None)
+        if best is None or pairs[best] < 2:
+            break
+        state = [(bpe.merged(ids, best, 256 + len(want)), n) for ids, n in state]
+        want.append(best)
+    assert bpe.train(spark.createDataFrame(list(words.items()), "chunk string, n long"), 316) == want
+
+
 def test_prefix_sum_over_ranges(spark):
     df = spark.range(1, 500).withColumn("v", F.col("id") % 7)
     got = {r.id: r.s for r in running_sum(df, "id", "v", "s", 37).collect()}
