@@ -1,10 +1,10 @@
 """Operator 3: secret scans, base patterns joined by a linear-chain conditional random field.
 
-The text is cut into value tokens (runs of letters, digits and +/_.=-) and
-single other characters. Tokens are tagged outside, begin or inside from their
+The text is cut into value tokens (runs of letters, digits and +/_.- with the
+'=' that pad their end) and single other characters; so `name=value` is three. Tokens are tagged outside, begin or inside from their
 shape, the tokens around them and features of the whole file, and decoded by
-Viterbi. Only "eligible" tokens (8 characters or more, one of them a digit)
-may begin or continue a secret, and a secret continues only over one joining
+Viterbi. Only "eligible" tokens (8 characters or more, with a digit or
+among the CUE_REACH tokens after a cue word) may begin or continue a secret, and a secret continues only over one joining
 character; so the chain falls into independent pieces around eligible tokens,
 and decoding these pieces alone equals decoding the whole text.
 
@@ -23,6 +23,7 @@ import math
 import random
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,13 +38,20 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN = 12
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=\-]+|[^\sA-Za-z0-9+/_.=\-]")
-DIGIT_RUN = re.compile(r"[0-9][A-Za-z0-9+/_.=\-]*")
-VALUE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+PADDING = r"(?:=+(?![A-Za-z0-9+/_.=\-]))?"
+TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+" + PADDING + r"|[^\sA-Za-z0-9+/_.\-]")
+DIGIT_RUN = re.compile(r"[0-9][A-Za-z0-9+/_.\-]*" + PADDING)
+DIGIT = re.compile("[0-9]")
+VALUE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
 MIN_TOKEN = 8
 #: Tokens that the features look back or ahead, and characters of a long neighbour that are read.
 REACH, NEAR = 3, 96
+#: Tokens after a cue word that need no digit: `key => "` alone is three.
+CUE_REACH = 5
 CUES = frozenset("password passwd pwd secret token key apikey api_key auth authorization bearer credential private access client_secret signature sas".split())
+CUE_PARTS = ("secret", "token", "passw", "api_key", "apikey")
+#: What every cue word holds.
+CUE_HINT = re.compile("(?ai:pass|pwd|secret|token|key|auth|bearer|credential|private|access|signature|sas)")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -75,9 +83,13 @@ def described(t: str) -> list[str]:
     ]
 
 
-def neighbour(side: str, t: str) -> str:
+def is_cue(t: str) -> bool:
     low = t.strip(".=").lower()
-    return f"{side}:" + ("cue" if low in CUES or any(c in low for c in ("secret", "token", "passw", "api_key", "apikey")) else t if len(t) == 1 and not t.isalnum() else shape(t)[:3])
+    return low in CUES or any(c in low for c in CUE_PARTS)
+
+
+def neighbour(side: str, t: str) -> str:
+    return f"{side}:" + ("cue" if is_cue(t) else t if len(t) == 1 and not t.isalnum() else shape(t)[:3])
 
 
 def file_features(text: str) -> list[str]:
@@ -87,6 +99,23 @@ def file_features(text: str) -> list[str]:
     return [f"code{min(int(200 * code / n), 4)}", f"assigns{min(int(200 * assigns / n), 4)}"]
 
 
+def after_cues(text: str) -> list[tuple[int, int]]:
+    """Tokens of MIN_TOKEN characters or more without a digit, among the CUE_REACH tokens after a cue word."""
+    found, end = set(), 0
+    for m in CUE_HINT.finditer(text):
+        if m.start() < end:
+            continue
+        s = m.start()
+        while s > end and text[s - 1] in VALUE:
+            s -= 1
+        end = TOKEN.match(text, s).end()
+        if is_cue(text[s:end]):
+            for t in islice(TOKEN.finditer(text, end), CUE_REACH):
+                if len(t[0]) >= MIN_TOKEN and t.start() - end <= NEAR and not DIGIT.search(t[0]):
+                    found.add(t.span())
+    return sorted(found)
+
+
 def pieces(text: str) -> list[list[tuple[int, int, bool]]]:
     """Windows of (start, end, eligible) tokens, one around each chain of eligible tokens."""
     found, end = [], 0
@@ -98,7 +127,7 @@ def pieces(text: str) -> list[list[tuple[int, int, bool]]]:
             found.append((s, m.end()))
         end = m.end()
     chains: list[list[tuple[int, int]]] = []
-    for s, e in found:  # one joining character: the next token may continue this secret
+    for s, e in sorted(found + after_cues(text)):  # one joining character: the next token may continue this secret
         if chains and s - chains[-1][-1][1] == 1 and not text[s - 1].isspace():
             chains[-1].append((s, e))
         else:
@@ -106,7 +135,7 @@ def pieces(text: str) -> list[list[tuple[int, int, bool]]]:
     out = []
     for chain in chains:
         s, e = chain[0][0], chain[-1][1]
-        before = [(m.start() + lo, m.end() + lo, False) for lo in [max(0, s - NEAR)] for m in TOKEN.finditer(text[lo:s])][-REACH:]
+        before = [(*m.span(), False) for m in TOKEN.finditer(text, max(0, s - NEAR), s + 1) if m.start() < s][-REACH:]
         after = [(m.start() + e, m.end() + e, False) for m in TOKEN.finditer(text[e : e + NEAR])][:REACH]
         inner = []
         for k, (a, b) in enumerate(chain):
@@ -238,11 +267,30 @@ def examples(seed: int, n: int):
             yield f"{left} {r.choice(plain)()} {right}", []
 
 
+def digitless_examples(seed: int, n: int):
+    """Generated lines with a cue word: (text, spans of secrets), all values without a digit."""
+    r = random.Random(seed)
+    small, letters = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    run = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    word = lambda a=2, b=9: run("abcdeghilmnoprstu", r.randint(a, b))
+    prose = lambda: " ".join(word() + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(2, 7)))
+    value = lambda: r.choice([lambda: run(letters, r.randint(18, 44)), lambda: run(letters + "+/", 39) + "=", lambda: "sk_live_" + run(letters, 24), lambda: "ghp_" + run(letters, 36), lambda: run(letters, 12) + "-" + run(letters, 12)])()
+    cues = ["Authorization: Bearer ", "client_secret = '", "private key: ", "export AWS_SECRET_ACCESS_KEY=", "auth_token \"", "credential ", "signature=", "key => \"", "token=", "password: "]
+    plain = [lambda: word(8, 14), lambda: word(8, 14).title(), lambda: f"{word(4)}_{word(4)}_{word()}", lambda: f"{word(4)}{word(4).title()}()", lambda: f"{word(4)}-{word(4)}", lambda: word(8, 12).upper(), lambda: f"{word(3)}/{word(4)}/{word(3)}.{run(small, 3)}"]
+    for _ in range(n):
+        left, right = prose(), prose()
+        if r.random() < 0.5:
+            head, v = f"{left} {r.choice(cues)}", value()
+            yield head + v + r.choice(["", '"', "'", ";"]) + " " + right, [(len(head), len(head) + len(v))]
+        else:
+            yield f"{left} {r.choice([*cues, 'secret ', 'access ', 'the token ', 'key '])}{r.choice(plain)()} {right}", []
+
+
 @lru_cache(maxsize=1)
 def trained(seed: int = 11, n: int = 500, rounds: int = 6, rate: float = 0.3, penalty: float = 0.003) -> Field:
     field, squares = Field(), {}
     data = []
-    for text, gold in examples(seed, n):
+    for text, gold in [*examples(seed, n), *digitless_examples(seed, n)]:
         for tokens in pieces(text):
             tags = [next((B if k == 0 else I for a, b in gold if a <= s < b for k in [int(s > a)]), O) if ok else O for s, e, ok in tokens]
             data.append((observed(text, tokens, file_features(text)), allowed(tokens), tags))

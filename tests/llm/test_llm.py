@@ -133,6 +133,18 @@ def test_secret_base_is_literal_and_field_learns(spark, odd, empty):
     assert secret_scan.secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("head", ["export AWS_SECRET_ACCESS_KEY=", "signature=", "Authorization: Bearer ", "key => \""])
+def test_secrets_after_equals_signs_and_without_digits(head):
+    field, r = secret_scan.trained(), random.Random(5)
+    for chars in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"):
+        hit = 0
+        for _ in range(40):
+            v = "".join(r.choice(chars) for _ in range(32))
+            hit += (len("see ") + len(head), len("see ") + len(head) + 32) in secret_scan.field_spans(f"see {head}{v} for more", field)
+        assert hit >= 36
+    assert secret_scan.field_spans("the secret ingredients and token generation of password requirements", field) == []
+
+
 def test_decontamination_finds_other_numbers_and_names(spark, odd, empty):
     bench = spark.createDataFrame([(1, "If Alice buys 12 apples and then Bob eats 5 apples from the large wooden basket how many remain"), (2, "short"), (3, None)], "item_id long, text string")
     q = "if {a} buys {n} apples and then {b} eats {m} apples from the large wooden basket how many remain"
