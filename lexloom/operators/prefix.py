@@ -9,9 +9,12 @@ RANGE = 10_000
 
 
 def running_sum(df: DataFrame, key: str, value: str, out: str, width: int = RANGE) -> DataFrame:
-    """`out`: the sum of `value` over all smaller integer keys; only one row a range meets in the window over ranges."""
+    """`out`: the sum of `value` over all smaller integer keys; only one row a range meets in the window over ranges.
+
+    Null keys come last, equal keys by value.
+    """
     ranged = df.withColumn("__range", F.floor(F.col(key) / width))
     sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
-    before = sums.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__before"))
-    inside = Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.withColumn("__in", F.sum(value).over(inside) - F.col(value)).join(before, "__range").withColumn(out, F.col("__in") + F.col("__before")).drop("__range", "__in", "__before")
+    before = sums.select(F.col("__range").alias("__of"), (F.sum("__sum").over(Window.orderBy(F.asc_nulls_last("__range"))) - F.col("__sum")).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(key, value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranged.withColumn("__in", F.sum(value).over(inside) - F.col(value)).join(before, F.col("__range").eqNullSafe(F.col("__of"))).withColumn(out, F.col("__in") + F.col("__before")).drop("__range", "__of", "__in", "__before")

@@ -51,12 +51,23 @@ def _block_pairs(spark, d):
 
 
 add("block_mask_pairs", _block_pairs, _NF + ", q as (select p.shard, p.pack, c.n from p join c using (conv_id)) select shard, pack, sum(n * (n + 1) // 2)::bigint allowed, (sum(n) * (sum(n) + 1) // 2)::bigint causal from q group by 1, 2")
-both("pack_positions", "with e as (select doc_id, n_chars, sum(n_chars) over (order by doc_id rows unbounded preceding) - n_chars start from documents where doc_id < 1000000000) select doc_id, BIG(start) start, BIG(start % 2048) position, BIG(IDIV(start, 2048)) seq from e")
+_PP = "with e as (select doc_id, n_chars, sum(n_chars) over (order by doc_id rows unbounded preceding) - n_chars start from documents where doc_id < 1000000000) select doc_id, BIG(start) start, BIG(start % 2048) position, BIG(IDIV(start, 2048)) seq from e"
 _CC = "with e as (select doc_id, n_chars + 1 len, sum(n_chars + 1) over (order by doc_id rows unbounded preceding) - n_chars - 1 start from documents), p as (select doc_id, len, start, EACH(SEQ(BIG(IDIV(start, 2048)), BIG(IDIV(start + len - 1, 2048)))) seq from e) select doc_id, BIG(seq) seq, BIG(greatest(start, seq * 2048) - seq * 2048) begin_at, BIG(least(start + len, (seq + 1) * 2048) - greatest(start, seq * 2048)) n from p"
 both("concat_pack", _CC)
 # The running sum of all documents is a distributed prefix sum: range sums first, then running sums within ranges.
 
 
+def _pack_positions(spark, d):
+    """All documents; the oracle leaves out null ids and ids of 1e9 or more."""
+    from lexloom.operators.prefix import running_sum
+
+    e = running_sum(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", "start")
+    return e.select("doc_id", "start", F.expr("start % 2048").alias("position"), F.expr("start div 2048").alias("seq"))
+
+
+add("pack_positions", _pack_positions, _PP)
+
+
 def _concat_pack(spark, d):
     from lexloom.operators.prefix import running_sum
 

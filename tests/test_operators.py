@@ -75,6 +75,14 @@ def test_prefix_sum_over_ranges(spark):
         total += i % 7
 
 
+def test_pack_positions_keeps_large_and_null_ids(spark, tmp_path):
+    rows = [(1, 3000), (5, 10), (2_000_000_000, 100), (1 << 60, 7), (None, 4), (None, 9)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in catalogue.queries()["pack_positions"](spark, str(tmp_path)).collect()), key=lambda r: r[1])
+    starts = [(1, 0), (5, 3000), (2_000_000_000, 3010), (1 << 60, 3110), (None, 3117), (None, 3121)]
+    assert got == [(i, s, s % 2048, s // 2048) for i, s in starts]
+
+
 @pytest.mark.parametrize(("name", "column", "want"), [
     ("packing_win", "speed_up", 11.377778), ("funnel_arithmetic", "petabytes", 0.675), ("stratified_golden", "acc", 0.7455), ("zipf_harmonic", "head", 0.606),
 ])
