@@ -32,39 +32,82 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataF
                 out = fn(b.slice(at, ROWS).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 #: Rows that one call of a batch function gets at most.
 ROWS = 512
 
 
+def frugal(run: Callable) -> Callable:
+    """A batch function whose worker gives freed memory back to the system when it ends, as workers stay for later tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set, as in tests."""
+    """The cluster's shared folder. Where none is set, one of our own in local mode, as in tests; elsewhere an error, as executors do not share a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lexloom-')}")
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+#: With this on, a query's shuffle files go when it ends, not when the driver happens to collect its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing before it."""
+    """The rows as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing before it.
+
+    The shuffle files that made the table go with the query; `freed` deletes the table itself.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/lexloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexloom_path = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete tables that `written` made, once nothing reads them any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._lexloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Ids (8 to 16 bytes each) that are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def narrowed(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def narrowed(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """The rows of `df` whose key is (or, for left_anti, is not) among `ids`; the ids are broadcast only after a count of them."""
     from pyspark.sql import functions as F
 
