@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import SPACES, map_batches
+from lexloom.llm.common import ROWS, SPACES, frugal, map_batches
 
 DIM = 1 << 13
 #: Rows with a smaller probability of being good are rejected.
@@ -84,8 +84,8 @@ def duplicate_lines(text: str) -> int:
     return n
 
 
-def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and labels of the bounded sample; the sample's ids are at most `max_rows`, so they are broadcast."""
+def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int) -> DataFrame:
+    """(k, y, x): the bounded sample in a fixed order; x holds the places and values of the vector. Its ids are at most `max_rows`, so they are broadcast."""
     ids = (
         labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).dropna().groupBy("k").agg(F.min("y").alias("y"))
         .orderBy(F.xxhash64("k"), "k").limit(max_rows)
@@ -101,12 +101,7 @@ def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, label:
         return {"k": rows["k"], "y": rows["y"], "x": out}
 
     texts = df.select(df[key].alias("k"), df[text].alias("t"))
-    found = map_batches(texts.join(F.broadcast(ids), "k").withColumn("k", F.col("k").cast("string")), vectors, "k string, y int, x binary").orderBy("k", "x").limit(max_rows).collect()
-    x = np.zeros((len(found), DIM), np.float32)
-    for row, r in zip(x, found, strict=True):
-        n = len(r.x) // 6
-        row[np.frombuffer(r.x, np.uint16, n)] = np.frombuffer(r.x, np.float32, n, 2 * n)
-    return x, np.array([r.y for r in found], np.float64)
+    return map_batches(texts.join(F.broadcast(ids), "k").withColumn("k", F.col("k").cast("string")), vectors, "k string, y int, x binary").orderBy("k", "x").limit(max_rows)
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 200) -> QualityModel | None:
@@ -116,16 +111,17 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 200) -
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held].tolist())) < 2:
         held[:] = False
-    a, t = x[~held], y[~held]
-    weight = np.where(t > 0, 0.5 / max(1, t.sum()), 0.5 / max(1, (1 - t).sum()))  # both classes weigh the same
+    # both classes weigh the same and held-out rows nothing, so that no part of the matrix is copied
+    weight = np.where(held, 0.0, np.where(y > 0, 0.5 / max(1, y[~held].sum()), 0.5 / max(1, (1 - y[~held]).sum())))
     w, v, bias, bv = np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
     for k in range(steps):
         m = k / (k + 3)
         look, lb = w + m * v, bias + m * bv
-        g = weight * (1 / (1 + np.exp(-np.clip(a @ look.astype(np.float32) + lb, -40, 40))) - t)
-        v, bv = m * v - 4.0 * (g.astype(np.float32) @ a + penalty * look), m * bv - 4.0 * g.sum()
+        g = weight * (1 / (1 + np.exp(-np.clip(x @ look.astype(np.float32) + lb, -40, 40))) - y)
+        v, bv = m * v - 4.0 * (g.astype(np.float32) @ x + penalty * look), m * bv - 4.0 * g.sum()
         w, bias = w + v, bias + bv
-    s, t = (x[held] @ w.astype(np.float32) + bias, y[held]) if held.any() else (a @ w.astype(np.float32) + bias, t)
+    some = held if held.any() else ~held
+    s, t = (x @ w.astype(np.float32) + bias)[some], y[some]
     slope, offset = 1.0, 0.0
     pos, neg = (t.sum() + 1) / (t.sum() + 2), 1 / ((1 - t).sum() + 2)  # Platt's smoothed targets
     target = np.where(t > 0, pos, neg)
@@ -140,7 +136,23 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 200) -
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> QualityModel | None:
-    return fit(*training_rows(df, labels, key, text, label, max_rows))
+    """The model, fitted in one executor task from at most `max_rows` vectors (131 MB at the default); the driver gets its weights alone."""
+
+    def learn(batches):
+        import pyarrow as pa
+
+        x, y = np.zeros((max_rows, DIM), np.float32), []
+        for batch in batches:
+            for label_, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                buffer = raw.as_buffer()
+                n = buffer.size // 6
+                x[len(y), np.frombuffer(buffer, np.uint16, n)] = np.frombuffer(buffer, np.float32, n, 2 * n)
+                y.append(label_)
+        if (m := fit(x[: len(y)], np.array(y, np.float64))) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), *(pa.array([v]) for v in (m.bias, m.slope, m.offset))], names=["weights", "bias", "slope", "offset"])
+
+    rows = training_rows(df, labels, key, text, label, max_rows).mapInArrow(frugal(learn), "weights binary, bias double, slope double, offset double").collect()
+    return QualityModel(np.frombuffer(rows[0].weights), rows[0].bias, rows[0].slope, rows[0].offset) if rows else None
 
 
 def verdict(text: str | None, model: QualityModel | None, keep_at: float) -> tuple:
@@ -162,9 +174,11 @@ def passing(df: DataFrame, model: QualityModel | None, text: str = "text", keep_
         import pyarrow as pa
 
         for b in batches:
-            yield b.filter(pa.array([verdict(t, sent.value, keep_at)[6] for t in b.column(at).to_pylist()], pa.bool_()))
+            for first in range(0, b.num_rows, ROWS):
+                some = b.slice(first, ROWS)
+                yield some.filter(pa.array([verdict(t, sent.value, keep_at)[6] for t in some.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(frugal(run), df.schema)
 
 
 def quality(df: DataFrame, model: QualityModel | None, key: str = "doc_id", text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
