@@ -22,7 +22,7 @@ from lexloom.llm.common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one key range of a source holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 MAX_SHARE = 3.0
 #: The list of sources is broadcast up to this length and joined by shuffle beyond it.
 BROADCAST_SOURCES = 10_000
@@ -50,11 +50,15 @@ def targets(sizes: DataFrame, cap: float = MAX_SHARE) -> DataFrame:
     return s.withColumn("target", F.least(most, level * F.col("weight"))).select("source", "n_docs", "source_size", "target")
 
 
-def mix(df: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "source", text: str = "text", cap: float = MAX_SHARE) -> DataFrame:
-    """Per row: key, size, source, source_size, target, taken (words of it in the mix, repeats counted)."""
+#: A column name that no input has.
+ROW = "__lexloom_row"
+
+
+def mix(df: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "source", text: str = "text", cap: float = MAX_SHARE, row: str | None = None) -> DataFrame:
+    """Per row: key, size, source, source_size, target, taken (words of it in the mix, repeats counted), and the column `row` if one is named."""
     rows = written(
         df.select(
-            F.col(key).alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            (F.col(row) if row else F.lit(None).cast("long")).alias("row"), F.col(key).alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             # the first 32 bits of an md5, which other engines have, too; then a second hash that tells texts of one id apart
             F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long").alias("k"),
             F.xxhash64(text).alias("k2"),
@@ -67,11 +71,11 @@ def mix(df: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "sourc
     # A key range is a slice of the hash's values, so ranges are even and in the keys' order.
     slot = F.floor(F.col("k") * F.col("n_ranges") / F.lit(float(1 << 32)))
     same = F.expr("a.source <=> b.source")
-    ranged = rows.alias("a").join(side.alias("b"), same).select("id", "k", "k2", "size", "a.source", "source_size", "target", "n_docs", slot.alias("slot"))
+    ranged = rows.alias("a").join(side.alias("b"), same).select("row", "id", "k", "k2", "size", "a.source", "source_size", "target", "n_docs", slot.alias("slot"))
     sums = ranged.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     by_source = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before_slot", F.coalesce(F.sum("slot_size").over(by_source), F.lit(0))).drop("slot_size")
-    inside = Window.partitionBy("source", "slot").orderBy("k", "id", "k2").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "slot").orderBy("k", "id", "k2", "row").rowsBetween(Window.unboundedPreceding, -1)
     run = ranged.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = F.expr("r.source <=> s.source and r.slot = s.slot")
     run = run.alias("r").join(sums.alias("s"), same).select("r.*", (F.col("before") + F.col("before_slot")).alias("start"))
@@ -79,4 +83,14 @@ def mix(df: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "sourc
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     cut = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), cut - F.col("start")))
-    return run.select(F.col("id").alias(key), "size", "source", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return run.select(*([F.col("row").alias(row)] if row else []), F.col("id").alias(key), "size", "source", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixed(df: DataFrame, **options) -> DataFrame:
+    """The rows of `df` that the mix takes, all columns, with size, source_size, target and taken; columns of these names are replaced.
+
+    Rows are numbered in a written table, so that each gets its own part, whatever its id.
+    """
+    rows = written(df.drop("size", "source_size", "target", "taken").withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(rows, row=ROW, **options).where("taken > 0").select(ROW, "size", "source_size", "target", "taken")
+    return rows.join(plan.hint("shuffle_hash"), ROW).drop(ROW)
