@@ -3,10 +3,12 @@
 The text is cut into value tokens (runs of letters, digits and +/_.- with the
 '=' that pad their end) and single other characters; so `name=value` is three. Tokens are tagged outside, begin or inside from their
 shape, the tokens around them and features of the whole file, and decoded by
-Viterbi. Only "eligible" tokens (8 characters or more, with a digit or
-among the CUE_REACH tokens after a cue word) may begin or continue a secret, and a secret continues only over one joining
-character; so the chain falls into independent pieces around eligible tokens,
-and decoding these pieces alone equals decoding the whole text.
+Viterbi. Tags have a hard part: only tokens of 8 characters or more that have a
+digit, are as long as LONG, stand among the CUE_REACH tokens after a cue word or in
+the credentials of a URL may begin or continue a secret, and a secret continues
+only over one joining character. So the chain falls into independent pieces around
+such tokens, and decoding these pieces alone equals decoding the whole text
+(`whole_text` lays out that chain; tests compare the two).
 
 The field is trained here on generated lines (a fixed seed; keys, headers and
 connection strings against dates, versions, links, order numbers and prose).
@@ -41,11 +43,13 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 PADDING = r"(?:=+(?![A-Za-z0-9+/_.=\-]))?"
 TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+" + PADDING + r"|[^\sA-Za-z0-9+/_.\-]")
 DIGIT_RUN = re.compile(r"[0-9][A-Za-z0-9+/_.\-]*" + PADDING)
-DIGIT = re.compile("[0-9]")
 VALUE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
-MIN_TOKEN = 8
-#: Tokens that the features look back or ahead, and characters of a long neighbour that are read.
-REACH, NEAR = 3, 96
+MIN_TOKEN, LONG = 8, 20
+LONG_RUN = re.compile(r"[A-Za-z0-9+/_.\-]{20,}" + PADDING)
+#: A password between a URL's user name and host.
+IN_URL = re.compile(r"(?<=://)[A-Za-z0-9_.%\-]*:([A-Za-z0-9+/_.\-]{8,}" + PADDING + ")(?=@)")
+#: Tokens that the features look back or ahead.
+REACH = 3
 #: Tokens after a cue word that need no digit: `key => "` alone is three.
 CUE_REACH = 5
 CUES = frozenset("password passwd pwd secret token key apikey api_key auth authorization bearer credential private access client_secret signature sas".split())
@@ -66,15 +70,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(t: str) -> str:
     """Runs of one class of characters as one letter."""
-    return re.sub(r"(.)\1+", r"\1", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", t[:64]))).replace("9", "0"))
+    return re.sub(r"(.)\1+", r"\1", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", t))).replace("9", "0"))
 
 
 def described(t: str) -> list[str]:
     """Features of a token itself."""
     n = len(t)
     share = sum(c.isdigit() for c in t) / n
-    seen = {c: t.count(c) for c in set(t)} if n <= 4096 else {}
-    bits = -sum(k / n * math.log2(k / n) for k in seen.values()) if seen else 5.0
+    bits = -sum(k / n * math.log2(k / n) for k in map(t.count, set(t)))
     s = shape(t)
     return [
         f"len{min(n.bit_length(), 8)}", f"digits{int(share * 5)}", f"bits{int(min(bits, 5.9))}", f"turns{min(len(s), 12) // 2}",
@@ -100,7 +103,7 @@ def file_features(text: str) -> list[str]:
 
 
 def after_cues(text: str) -> list[tuple[int, int]]:
-    """Tokens of MIN_TOKEN characters or more without a digit, among the CUE_REACH tokens after a cue word."""
+    """Tokens of MIN_TOKEN characters or more among the CUE_REACH tokens after a cue word."""
     found, end = set(), 0
     for m in CUE_HINT.finditer(text):
         if m.start() < end:
@@ -110,24 +113,54 @@ def after_cues(text: str) -> list[tuple[int, int]]:
             s -= 1
         end = TOKEN.match(text, s).end()
         if is_cue(text[s:end]):
-            for t in islice(TOKEN.finditer(text, end), CUE_REACH):
-                if len(t[0]) >= MIN_TOKEN and t.start() - end <= NEAR and not DIGIT.search(t[0]):
-                    found.add(t.span())
+            found.update(t.span() for t in islice(TOKEN.finditer(text, end), CUE_REACH) if len(t[0]) >= MIN_TOKEN)
     return sorted(found)
 
 
-def pieces(text: str) -> list[list[tuple[int, int, bool]]]:
-    """Windows of (start, end, eligible) tokens, one around each chain of eligible tokens."""
-    found, end = [], 0
+def eligible(text: str) -> list[tuple[int, int]]:
+    """The tokens that may be tagged, in order."""
+    found, end = set(after_cues(text)), 0
     for m in DIGIT_RUN.finditer(text):
         s = m.start()
         while s > end and text[s - 1] in VALUE:
             s -= 1
         if m.end() - s >= MIN_TOKEN:
-            found.append((s, m.end()))
+            found.add((s, m.end()))
         end = m.end()
+    found.update(m.span() for m in LONG_RUN.finditer(text))
+    if "://" in text:
+        found.update(m.span(1) for m in IN_URL.finditer(text))
+    return sorted(found)
+
+
+def before(text: str, s: int) -> list[tuple[int, int]]:
+    """The REACH tokens before the token that starts at s."""
+    out: list[tuple[int, int]] = []
+    while s > 0 and len(out) < REACH:
+        if text[s - 1].isspace():
+            s -= 1
+            continue
+        a = after = s
+        while a > 0 and text[a - 1] == "=":
+            a -= 1
+        while after < len(text) and text[after] == "=":
+            after += 1
+        if a < s and not (a > 0 and text[a - 1] in VALUE and (after == len(text) or text[after] not in VALUE)):
+            a = s - 1  # '=' that pads no value is a token of its own
+        elif text[a - 1] in VALUE:
+            while a > 0 and text[a - 1] in VALUE:
+                a -= 1
+        else:
+            a = s - 1
+        out.append((a, s))
+        s = a
+    return out[::-1]
+
+
+def pieces(text: str) -> list[list[tuple[int, int, bool]]]:
+    """Windows of (start, end, eligible) tokens, one around each chain of eligible tokens."""
     chains: list[list[tuple[int, int]]] = []
-    for s, e in sorted(found + after_cues(text)):  # one joining character: the next token may continue this secret
+    for s, e in eligible(text):  # one joining character: the next token may continue this secret
         if chains and s - chains[-1][-1][1] == 1 and not text[s - 1].isspace():
             chains[-1].append((s, e))
         else:
@@ -135,17 +168,22 @@ def pieces(text: str) -> list[list[tuple[int, int, bool]]]:
     out = []
     for chain in chains:
         s, e = chain[0][0], chain[-1][1]
-        before = [(*m.span(), False) for m in TOKEN.finditer(text, max(0, s - NEAR), s + 1) if m.start() < s][-REACH:]
-        after = [(m.start() + e, m.end() + e, False) for m in TOKEN.finditer(text[e : e + NEAR])][:REACH]
         inner = []
         for k, (a, b) in enumerate(chain):
             if k:
                 inner.append((a - 1, a, False))
             inner.append((a, b, True))
-        out.append(before + inner + after)
+        ends = [(*m.span(), False) for m in islice(TOKEN.finditer(text, e), REACH)]
+        out.append([(*x, False) for x in before(text, s)] + inner + ends)
     return out
 
 
+def whole_text(text: str) -> list[tuple[int, int, bool]]:
+    """All tokens of a text as one chain: what `pieces` cuts to the parts that can be tagged."""
+    some = set(eligible(text))
+    return [(*m.span(), m.span() in some) for m in TOKEN.finditer(text)]
+
+
 def observed(text: str, tokens: list[tuple[int, int, bool]], whole: list[str]) -> list[list[str]]:
     """The features of each token of a piece; tokens that cannot be tagged have none."""
     t = [text[a:b] for a, b, _ in tokens]
@@ -167,13 +205,18 @@ def allowed(tokens: list[tuple[int, int, bool]]) -> np.ndarray:
     for i, (_, _, ok) in enumerate(tokens):
         if ok:
             mask[i, [B, I]] = 0
-        elif 0 < i < len(tokens) - 1 and tokens[i - 1][2] and tokens[i + 1][2]:
+        elif 0 < i < len(tokens) - 1 and tokens[i - 1][2] and tokens[i + 1][2] and tokens[i - 1][1] + 1 == tokens[i + 1][0]:
             mask[i, I] = 0
     return mask
 
 
+def gaps(tokens: list[tuple[int, int, bool]]) -> list[bool]:
+    """Whether a blank is before each token."""
+    return [k > 0 and tokens[k - 1][1] < s for k, (s, _, _) in enumerate(tokens)]
+
+
 class Field:
-    """Weights of a linear-chain conditional random field."""
+    """Weights of a linear-chain conditional random field. A blank ends a secret, so after one the chain goes on as from outside."""
 
     def __init__(self):
         self.weights: dict[str, np.ndarray] = {}
@@ -187,17 +230,18 @@ class Field:
                     e[i] += w
         return e
 
-    def steps(self) -> np.ndarray:
+    def steps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the moves within a word and after a blank, and of the start."""
         m = self.moves.copy()
         m[O, I] = m[3, I] = -np.inf
-        return m
+        return np.stack([m[:3], np.tile(m[O], (3, 1))]), m[3]
 
-    def decode(self, seen: list[list[str]], mask: np.ndarray) -> list[int]:
+    def decode(self, seen: list[list[str]], mask: np.ndarray, blank: list[bool]) -> list[int]:
         """Viterbi; ties go to the earlier tag."""
-        e, m = self.scores(seen, mask), self.steps()
-        best, back = m[3] + e[0], []
-        for x in e[1:]:
-            all_ = best[:, None] + m[:3]
+        e, (m, start) = self.scores(seen, mask), self.steps()
+        best, back = start + e[0], []
+        for x, gap in zip(e[1:], blank[1:], strict=True):
+            all_ = best[:, None] + m[int(gap)]
             back.append(all_.argmax(0))
             best = all_.max(0) + x
         tags = [int(best.argmax())]
@@ -205,17 +249,17 @@ class Field:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
-    def learn(self, seen, mask, gold, rate: float, squares: dict, penalty: float) -> None:
+    def learn(self, seen, mask, blank, gold, rate: float, squares: dict, penalty: float) -> None:
         """One step of adaptive gradient ascent on the log likelihood, by forward-backward."""
-        e, m, n = self.scores(seen, mask), self.steps(), len(seen)
+        e, (m, start), n = self.scores(seen, mask), self.steps(), len(seen)
         lse = lambda a, axis: np.logaddexp.reduce(a, axis)
         with np.errstate(invalid="ignore"):
             f, b = np.empty((n, 3)), np.zeros((n, 3))
-            f[0] = m[3] + e[0]
+            f[0] = start + e[0]
             for i in range(1, n):
-                f[i] = lse(f[i - 1][:, None] + m[:3], 0) + e[i]
+                f[i] = lse(f[i - 1][:, None] + m[int(blank[i])], 0) + e[i]
             for i in range(n - 2, -1, -1):
-                b[i] = lse(m[:3] + (e[i + 1] + b[i + 1])[None], 1)
+                b[i] = lse(m[int(blank[i + 1])] + (e[i + 1] + b[i + 1])[None], 1)
             z = lse(f[-1], 0)
             p = np.exp(f + b - z)
         grads: dict = {}
@@ -228,9 +272,13 @@ class Field:
         move[3] -= p[0]
         move[3, gold[0]] += 1
         for i in range(1, n):
-            q = np.exp(f[i - 1][:, None] + m[:3] + (e[i] + b[i])[None] - z)
-            move[:3] -= q
-            move[gold[i - 1], gold[i]] += 1
+            q = np.exp(f[i - 1][:, None] + m[int(blank[i])] + (e[i] + b[i])[None] - z)
+            if blank[i]:
+                move[O] -= q.sum(0)
+                move[O, gold[i]] += 1
+            else:
+                move[:3] -= q
+                move[gold[i - 1], gold[i]] += 1
         for x, g in [*grads.items(), (None, move)]:
             w = self.moves if x is None else self.weights.setdefault(x, np.zeros(3))
             g = g - penalty * w
@@ -246,7 +294,7 @@ def examples(seed: int, n: int):
     word = lambda: run("abcdeghilmnoprstu", r.randint(2, 9))
     digits = lambda k: run("0123456789", k)
     prose = lambda: " ".join(word() + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(2, 7)))
-    value = lambda: r.choice([lambda: run(base, r.randint(20, 44)) + digits(1), lambda: run(hexes, r.choice([32, 40, 64])), lambda: digits(1) + run(base + "+/", 39) + "=", lambda: "sk_live_" + run(base, 24) + digits(1), lambda: "ghp_" + run(base, 35) + digits(1), lambda: run(base, 10) + digits(2) + "-" + run(base, 12)])()
+    value = lambda: r.choice([lambda: run(base, r.randint(20, 44)) + digits(1), lambda: run(hexes, r.choice([32, 40, 64])), lambda: digits(1) + run(base + "+/", 39) + "=", lambda: "sk_live_" + run(base, 24) + digits(1), lambda: "ghp_" + run(base, 35) + digits(1), lambda: run(base, 10) + digits(2) + "-" + run(base, 12), lambda: f"{word()}-{digits(12)}-{run(base, 20)}"])()
     secret = [
         lambda v: ("Authorization: Bearer ", v), lambda v: ("client_secret = '", v), lambda v: ("private key: ", v), lambda v: ("export AWS_SECRET_ACCESS_KEY=", v),
         lambda v: ("auth_token \"", v), lambda v: ("credential ", v), lambda v: ("signature=", v), lambda v: (f"postgres://{word()}:", v), lambda v: ("key => \"", v),
@@ -257,7 +305,7 @@ def examples(seed: int, n: int):
         lambda: f"{word()}_{word()}_{digits(2)}", lambda: f"ISBN 978-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}", lambda: f"{word().title()}{word().title()}{digits(2)}", lambda: f"page{digits(5)}.{word()}", lambda: f"key {word()}-{digits(4)}-{word()}",
     ]
     for _ in range(n):
-        left, right = prose(), prose()
+        left, right = r.choice([prose(), prose(), ""]), r.choice([prose(), prose(), ""])
         if r.random() < 0.5:
             cue, v = r.choice(secret)(value())
             head = f"{left} {cue}"
@@ -274,40 +322,49 @@ def digitless_examples(seed: int, n: int):
     run = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     word = lambda a=2, b=9: run("abcdeghilmnoprstu", r.randint(a, b))
     prose = lambda: " ".join(word() + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(2, 7)))
-    value = lambda: r.choice([lambda: run(letters, r.randint(18, 44)), lambda: run(letters + "+/", 39) + "=", lambda: "sk_live_" + run(letters, 24), lambda: "ghp_" + run(letters, 36), lambda: run(letters, 12) + "-" + run(letters, 12)])()
+    blocks = lambda parts: "".join(run(r.choice(parts), r.randint(2, 9)) for _ in range(r.randint(4, 6)))
+    value = lambda: r.choice([lambda: blocks((small, small.upper())), lambda: blocks((small, small.upper(), "0123456789")), lambda: run(letters, r.randint(18, 44)), lambda: run(letters + "+/", 39) + "=", lambda: "sk_live_" + run(letters, 24), lambda: "ghp_" + run(letters, 36), lambda: run(letters, 12) + "-" + run(letters, 12), lambda: run(small.upper(), r.randint(20, 32)), lambda: run(small, r.randint(22, 36))])()
+    url = lambda: f"{r.choice(['postgres', 'mysql', 'amqp', 'https'])}://{word()}:"
     cues = ["Authorization: Bearer ", "client_secret = '", "private key: ", "export AWS_SECRET_ACCESS_KEY=", "auth_token \"", "credential ", "signature=", "key => \"", "token=", "password: "]
+    long = [lambda: f"https://www.{word()}.com/{word(4)}/{word(4)}-{word(4)}-{word()}", lambda: f"/usr/{word(4)}/{word(5)}/{word(5)}/{word(4)}.{run(small, 3)}", lambda: f"org.{word(4)}.{word(4)}.{word(5).title()}{word(5).title()}", lambda: "-".join(word(4) for _ in range(4)), lambda: "_".join(word(4) for _ in range(4)), lambda: r.choice([word(3), ""]) + "".join(word(4).title() for _ in range(r.randint(3, 6)))]
     plain = [lambda: word(8, 14), lambda: word(8, 14).title(), lambda: f"{word(4)}_{word(4)}_{word()}", lambda: f"{word(4)}{word(4).title()}()", lambda: f"{word(4)}-{word(4)}", lambda: word(8, 12).upper(), lambda: f"{word(3)}/{word(4)}/{word(3)}.{run(small, 3)}"]
     for _ in range(n):
-        left, right = prose(), prose()
-        if r.random() < 0.5:
+        left, right = r.choice([prose(), prose(), ""]), r.choice([prose(), prose(), ""])
+        kind = r.random()
+        if kind < 0.1:
+            head, v = f"{left} {url()}", value()
+            yield f"{head}{v}@{word()}.local {right}", [(len(head), len(head) + len(v))]
+        elif kind < 0.45:
             head, v = f"{left} {r.choice(cues)}", value()
             yield head + v + r.choice(["", '"', "'", ";"]) + " " + right, [(len(head), len(head) + len(v))]
+        elif kind < 0.7:
+            yield f"{left} {r.choice(long)()} {right}", []
         else:
-            yield f"{left} {r.choice([*cues, 'secret ', 'access ', 'the token ', 'key '])}{r.choice(plain)()} {right}", []
+            yield f"{left} {r.choice([*cues, 'secret ', 'access ', 'the token ', 'key '])}{r.choice(plain + long)()} {right}", []
 
 
 @lru_cache(maxsize=1)
-def trained(seed: int = 11, n: int = 500, rounds: int = 6, rate: float = 0.3, penalty: float = 0.003) -> Field:
+def trained(seed: int = 11, n: int = 1200, rounds: int = 6, rate: float = 0.3, penalty: float = 0.003) -> Field:
     field, squares = Field(), {}
     data = []
     for text, gold in [*examples(seed, n), *digitless_examples(seed, n)]:
         for tokens in pieces(text):
             tags = [next((B if k == 0 else I for a, b in gold if a <= s < b for k in [int(s > a)]), O) if ok else O for s, e, ok in tokens]
-            data.append((observed(text, tokens, file_features(text)), allowed(tokens), tags))
+            data.append((observed(text, tokens, file_features(text)), allowed(tokens), gaps(tokens), tags))
     order = random.Random(seed)
     for _ in range(rounds):
         order.shuffle(data)
-        for seen, mask, tags in data:
-            field.learn(seen, mask, tags, rate, squares, penalty)
+        for seen, mask, blank, tags in data:
+            field.learn(seen, mask, blank, tags, rate, squares, penalty)
     return field
 
 
-def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
+def field_spans(text: str, field: Field, chains=pieces) -> list[tuple[int, int]]:
     out, whole = [], None
-    for tokens in pieces(text):
+    for tokens in chains(text):
         whole = whole or file_features(text)
         open_ = None
-        for (s, e, _), tag in zip(tokens, field.decode(observed(text, tokens, whole), allowed(tokens)), strict=True):
+        for (s, e, _), tag in zip(tokens, field.decode(observed(text, tokens, whole), allowed(tokens), gaps(tokens)), strict=True):
             if tag == B:
                 out.append(open_) if open_ else None
                 open_ = (s, e)
