@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpoint_dir, written
+from lexloom.llm.common import checkpoint_dir, frugal, written
 
 #: Cells of the id histogram that shards are cut from; the driver holds this many rows at most.
 CELLS = 4096
@@ -131,7 +131,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 32 << 20, roll_bytes
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "records", "bytes", "sha256"])
 
-    dealt.mapInArrow(save, "file string, records long, bytes long, sha256 string").write.mode("overwrite").parquet(f"{folder}/manifest")
+    dealt.mapInArrow(frugal(save), "file string, records long, bytes long, sha256 string").write.mode("overwrite").parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema("file string, records long, bytes long, sha256 string").parquet(f"{folder}/manifest")
 
 
@@ -184,7 +184,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest.select("file"), "file", "left_semi")
-    return files.mapInArrow(parse, schema)
+    return files.mapInArrow(frugal(parse), schema)
 
 
 def archive(pages: DataFrame, **options) -> DataFrame:
