@@ -3,19 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's `docs`.
 
-Defined results: rows whose text is null or empty fail the quality rules; rows
-without an id cannot be named as duplicates and stay; repeated rows of one id
-count as one document and stay together; extra columns pass through all stages,
-but those named as the mix's own (size, source_size, target, taken) are replaced.
+Defined results: rows whose text is null or empty fail the quality rules. Rows
+without an id pass through all stages like others; of a group of near duplicates
+the row of the smallest id stays, of rows that repeat an id and text one. Extra
+columns pass through all stages, but those named as the mix's own (size,
+source_size, target, taken) are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexloom.llm import decontamination, mixing, ngram_join, pii, quality_rules
-from lexloom.llm.common import narrowed, table, written
+from lexloom.llm.common import table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays."""
-    copies = written(ngram_join.classes(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return narrowed(docs, copies, "doc_id", "left_anti")
+    return ngram_join.without_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +40,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the words taken of each (repeats counted)."""
-    plan = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    return docs.drop("size", "source_size", "target", "taken").join(plan.hint("shuffle_hash"), "doc_id")
+    return mixing.mixed(docs)
 
 
 STAGES = [
