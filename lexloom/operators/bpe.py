@@ -8,11 +8,14 @@ Chunks are encoded once each in Arrow batches and joined back.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.dedup import written
+from lexloom.functions.text import ws_words
+from lexloom.operators.shared import written
 
 #: Pre-token pattern without look-around, so that other regex engines agree.
 PATTERN = r"[^\s\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+|\s+"
@@ -27,19 +30,6 @@ def chunk_counts(docs: DataFrame, pattern: str = PATTERN) -> DataFrame:
     return docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
-def merged(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
-    """Left-to-right replacement of a pair."""
-    out, i = [], 0
-    while i < len(ids):
-        if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-            out.append(new)
-            i += 2
-        else:
-            out.append(ids[i])
-            i += 1
-    return out
-
-
 def blocks(counts: DataFrame) -> DataFrame:
     """(x, w): the chunks of a batch as int32 ids, each chunk ended by -1, and its counts as int64."""
 
@@ -56,7 +46,7 @@ def blocks(counts: DataFrame) -> DataFrame:
 
 
 def replaced(x: np.ndarray, pair: tuple[int, int], new: int) -> np.ndarray:
-    """`merged` for all chunks of a block."""
+    """The block with every occurrence of a pair as the new id, from left to right in each chunk."""
     at = np.flatnonzero((x[:-1] == pair[0]) & (x[1:] == pair[1]))
     if pair[0] == pair[1] and len(at):  # of a run of one id every second place
         k = np.arange(len(at))
@@ -138,31 +128,57 @@ def train(counts: DataFrame, vocab_size: int) -> list[tuple[int, int]]:
     return out
 
 
-def encode(chunk: str, ranks: dict[tuple[int, int], int]) -> list[int]:
-    """Lowest-rank merge first."""
-    ids = list(chunk.encode())
-    while len(ids) > 1:
-        pair = min(zip(ids, ids[1:], strict=False), key=lambda p: ranks.get(p, 1 << 30))
-        if pair not in ranks:
-            break
-        ids = merged(ids, pair, 256 + ranks[pair])
-    return ids
-
-
-def decode(ids: list[int], merges: list[tuple[int, int]]) -> str:
-    pieces = {i: bytes([i]) for i in range(256)}
-    for k, (a, b) in enumerate(merges):
-        pieces[256 + k] = pieces[a] + pieces[b]
-    return b"".join(pieces[i] for i in ids).decode("utf-8", "replace")
+class Codec:
+    """Encoding and decoding by a list of merges; the bytes of each id are laid out once."""
+
+    def __init__(self, merges: list[tuple[int, int]]):
+        self.rank = {p: i for i, p in enumerate(merges)}
+        self.bytes_of = [bytes([i]) for i in range(256)]
+        for a, b in merges:
+            self.bytes_of.append(self.bytes_of[a] + self.bytes_of[b])
+
+    def encode(self, text: str) -> list[int]:
+        """Lowest-rank merge first, the leftmost of equals: a heap of pairs over links between the ids that are left."""
+        ids = list(text.encode())
+        n = len(ids)
+        after, before = [*range(1, n), n], [*range(-1, n - 1)]
+        heap = [(r, i) for i in range(n - 1) if (r := self.rank.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or ids[i] < 0 or self.rank.get((ids[i], ids[j])) != r:
+                continue  # a side has been merged since
+            ids[i], ids[j], after[i] = 256 + r, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                right = after[left] if left >= 0 else n
+                if right < n and (r := self.rank.get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (r, left))
+        return [x for x in ids if x >= 0]
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def encoded(counts: DataFrame, merges: list[tuple[int, int]]) -> DataFrame:
     """counts + n_tokens and ok (whether decoding gives the chunk back)."""
-    ranks = {p: i for i, p in enumerate(merges)}
 
     def run(frames):
+        codec = Codec(merges)
         for f in frames:
-            ids = [encode(x, ranks) for x in f.chunk]
-            yield f.assign(ids=ids, n_tokens=[len(x) for x in ids], ok=[decode(x, merges) == y for x, y in zip(ids, f.chunk, strict=True)])
+            ids = [codec.encode(x) for x in f.chunk]
+            yield f.assign(ids=ids, n_tokens=[len(x) for x in ids], ok=[codec.decode(x) == y for x, y in zip(ids, f.chunk, strict=True)])
+
+    return counts.mapInPandas(run, ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in counts.schema) + ", ids array<int>, n_tokens long, ok boolean")
+
 
-    return counts.mapInPandas(run, "chunk string, n long, ids array<int>, n_tokens long, ok boolean")
+def fertility(docs: DataFrame, merges: list[tuple[int, int]], by: str, pattern: str = PATTERN) -> DataFrame:
+    """by, n_tokens, n_words, n_bytes, n_chars, fertility (tokens a word), bytes_per_token, chars_per_token: each distinct chunk is encoded once for each group."""
+    chunks = docs.select(by, F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("chunk")).groupBy(by, "chunk").agg(F.count("*").alias("n"))
+    tokens = encoded(chunks, merges).groupBy(by).agg(F.sum(F.col("n") * F.col("n_tokens")).alias("n_tokens"))
+    sizes = docs.groupBy(by).agg(F.sum(F.size(ws_words(F.col("text")))).alias("n_words"), F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(F.length("text")).alias("n_chars"))
+    out = sizes.join(tokens, sizes[by].eqNullSafe(tokens[by])).drop(tokens[by])
+    ratio = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    return out.select(by, "n_tokens", "n_words", "n_bytes", "n_chars", ratio("n_tokens", "n_words").alias("fertility"), ratio("n_bytes", "n_tokens").alias("bytes_per_token"), ratio("n_chars", "n_tokens").alias("chars_per_token"))

@@ -1,35 +1,23 @@
-"""Deduplication operators: MinHash signatures, LSH candidates, verification, components, elections."""
+"""Deduplication operators: MinHash signatures, LSH candidates, exact similarity joins, components, elections."""
 
 from __future__ import annotations
 
-import random
-import tempfile
-import uuid
+import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import held, md5_bucket, shingles, words
+from lexloom.operators.shared import freed, written
 
 MERSENNE = (1 << 61) - 1
 EMPTY_HASH = 0xFFFFFFFF
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared checkpoint folder, or in one of our own where none is set."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/lexloom-work"
-    path = f"{base}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def permutations(k: int, seed: int = 0) -> list[tuple[int, int]]:
-    """k pairs (a, b) of the family (a x + b) mod (2^61 - 1)."""
-    rng = random.Random(seed)
-    return [(rng.randrange(1, MERSENNE), rng.randrange(MERSENNE)) for _ in range(k)]
+    """k pairs (a, b) of the family (a x + b) mod (2^61 - 1), a not 0, from hashes of seed and place."""
+    half = lambda i, part, n: int(hashlib.md5(f"{seed}:{i}:{part}".encode()).hexdigest(), 16) % n
+    return [(1 + half(i, "a", MERSENNE - 1), half(i, "b", MERSENNE)) for i in range(k)]
 
 
 def permuted(x: Column, a: int, b: int) -> Column:
@@ -60,14 +48,63 @@ def lsh_candidates(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
     return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
+def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
+    """(doc_id, s, n): the sorted distinct 64-bit hashes of a document's shingles; texts without words are left out."""
+    w = held(docs.select("doc_id", "text"), "w", words(F.col("text"))).where("size(w) > 0")
+    several = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))
+    hashed = F.when(F.size("w") >= n, several).otherwise(F.array(F.xxhash64("w")))
+    return held(w.select("doc_id", "w"), "s", F.array_sort(F.array_distinct(hashed))).select("doc_id", "s", F.size("s").alias("n"))
+
+
+def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, s, n): one row for each set, named by its smallest document; and (node, doc_id) for all documents. Copies meet here, combined before the shuffle, and never in a join of pairs."""
+    keyed = sets.withColumns({"k1": F.xxhash64("s"), "k2": F.xxhash64("n", "s")})
+    of = written(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("s").alias("s"), F.first("n").alias("n")))
+    return of.select("node", "s", "n"), keyed.select("doc_id", "k1", "k2").join(of.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "doc_id")
+
+
+def similar_nodes(of: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, inter, uni), a < b: sets of Jaccard `threshold` or more, by prefixes.
+
+    Two such sets share one of the first n - ceil(t n) + 1 shingles of each, in the
+    order of how many sets have them. Shingles of one set alone stand first and
+    meet nothing, so only the rest of a prefix is joined; a passage of many
+    documents comes last and is in no prefix unless a set has little else.
+    """
+    each = of.select("node", "n", F.explode("s").alias("g"))
+    often = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    known = each.join(often, "g")
+    w = Window.partitionBy("node")
+    place = F.row_number().over(w.orderBy("df", "g")) + F.col("n") - F.count("*").over(w)
+    prefix = written(known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("g", "node", "n"))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    met = x.join(y, F.expr(f"x.g = y.g and x.node < y.node and least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) - 1e-9"))
+    pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    side = lambda k: of.select(F.col("node").alias(k), F.col("s").alias("s" + k), F.col("n").alias("n" + k))
+    both = held(pairs.join(side("a"), "a").join(side("b"), "b"), "inter", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    found = both.withColumn("uni", F.col("na") + F.col("nb") - F.col("inter")).where(F.col("inter") >= threshold * F.col("uni"))
+    out = written(found.select("a", "b", "inter", F.col("uni").cast("long").alias("uni")))
+    freed(prefix)
+    return out
+
+
 def similar_pairs(docs: DataFrame, threshold: float, n: int = 5) -> DataFrame:
-    """(a, b, inter, uni): all pairs at the threshold or above, by the shingle join; wordless documents pair with each other at 1."""
-    g = shingle_table(docs, n)
-    sizes = g.groupBy("doc_id").agg(F.count("*").alias("n"))
-    x, y = g.alias("x"), g.alias("y")
-    inter = x.join(y, F.expr("x.g = y.g and x.doc_id < y.doc_id")).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count("*").alias("inter"))
-    both = inter.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    return both.withColumn("uni", F.col("na") + F.col("nb") - F.col("inter")).where(F.col("inter") >= threshold * F.col("uni")).select("a", "b", "inter", "uni")
+    """(a, b, inter, uni), a < b: all pairs of documents at the threshold or above, copies listed pair by pair; texts without words are in no pair. For components take `links`, which does not list them."""
+    of, members = nodes(shingle_sets(docs, n))
+    members = written(members)
+    found = similar_nodes(of, threshold)
+    x, y = members.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), members.select(F.col("node").alias("b"), F.col("doc_id").alias("db"))
+    across = found.join(x, "a").join(y, "b").select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), "inter", "uni")
+    size = of.select(F.col("node").alias("a"), F.col("n").cast("long").alias("inter"), F.col("n").cast("long").alias("uni"))
+    inside = x.join(y.withColumnRenamed("b", "a"), "a").where("da < db").join(size, "a").select(F.col("da").alias("a"), F.col("db").alias("b"), "inter", "uni")
+    return across.union(inside)
+
+
+def links(docs: DataFrame, threshold: float, n: int = 5) -> DataFrame:
+    """(a, b): links enough to join all documents that belong together; a copy has one, to its node."""
+    of, members = nodes(shingle_sets(docs, n))
+    copies = members.where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    return similar_nodes(of, threshold).select("a", "b").union(copies)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ both("signature_economics", "select k, BIG(10000000000) * k * 4 bytes, 100000000
 
 
 def _labels(spark, d):
-    return D.written(D.components(docs(spark, d), D.similar_pairs(docs(spark, d), 0.7)))
+    return D.written(D.components(docs(spark, d), D.links(docs(spark, d), 0.7)))
 
 
 add("dedup_components", _labels, f"with recursive {COMPONENTS} select doc_id, component from comp")
@@ -118,7 +118,7 @@ def _order_of_operations(spark, d):
     s = D.written(_scored(spark, d))
     a = D.keep_first(s).join(s.where("score > 0"), "doc_id", "left_semi").select("doc_id")
     good = s.where("score > 0").select("doc_id")
-    edges = D.similar_pairs(docs(spark, d), 0.7).join(good.select(F.col("doc_id").alias("a")), "a", "left_semi").join(good.select(F.col("doc_id").alias("b")), "b", "left_semi")
+    edges = D.links(docs(spark, d).join(good, "doc_id", "left_semi"), 0.7)
     b = D.keep_first(D.components(good, edges)).select("doc_id")
     c = D.keep_best(s, "score").join(s.where("score > 0"), "doc_id", "left_semi").select("doc_id")
     tag = lambda df, name: df.select(F.lit(name).alias("pipeline"), F.col("doc_id"))
