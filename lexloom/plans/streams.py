@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lexloom.operators.contamination import grams
 from lexloom.plans.contamination import ORACLES as BATCH
-from lexloom.plans.contamination import grams
 from lexloom.plans.dialect import Plans
 from lexloom.sources.tables import table
 from lexloom.streaming import live
@@ -25,13 +27,32 @@ add("events_tumbling_stream", lambda s, d: live.finished(live.tumbling(live.sour
 add("exact_dedup_stream", lambda s, d: live.finished(live.first_texts(live.source(s, d, "documents"))), "select distinct sha256(text) h from documents")
 
 
-def _stream_contamination(spark, d):
-    return live.finished(live.clean_documents(live.source(spark, d, "documents"), grams(table(spark, d, "benchmark"), "item_id", 13).select("g").distinct()))
+def _bench(spark, d, n=13):
+    return grams(table(spark, d, "benchmark"), "item_id", n).select("g").distinct()
+
+
+add("contamination_stream", lambda s, d: live.finished(live.contaminated(live.source(s, d, "documents"), _bench(s, d))), BATCH["contam_docs_13"].replace("select doc_id, count(*) n_grams from", "select doc_id from"))
+add("clean_documents_stream", lambda s, d: live.finished(live.without_contaminated(live.source(s, d, "documents"), _bench(s, d), 13).select("doc_id")), BATCH["contam_docs_13"].replace("select doc_id, count(*) n_grams from dg where g in (select g from bg) group by 1", "select doc_id from documents where doc_id not in (select doc_id from dg where g in (select g from bg))"))
+
+
+def _late(spark, d):
+    """Events older than the newest one seen before them in arrival (id) order: maxima of ranges of ids first, then running maxima inside each range."""
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events").select("event_id", "ts", F.expr("event_id div 10000").alias("part"))
+    top = e.groupBy("part").agg(F.max("ts").alias("top"))
+    before = top.select("part", F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))  # one row a range
+    inside = F.max("ts").over(Window.partitionBy("part").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    seen = e.withColumn("inside", inside).join(before, "part").withColumn("seen", F.greatest("inside", "earlier"))
+    return seen.agg(F.count_if(F.expr("ts < seen")).alias("late"), F.count("*").alias("n"))
 
 
-add("contamination_stream", _stream_contamination, BATCH["contam_docs_13"].replace("select doc_id, count(*) n_grams from", "select doc_id from"))
-both("late_events", "with m as (select event_id, ts, max(ts) over (order by event_id rows between unbounded preceding and 1 preceding) seen from events where user_id < 5) select COUNT_IF(ts < seen) late, count(*) n from m")
+add("late_events", _late, "with m as (select event_id, ts, max(ts) over (order by event_id rows between unbounded preceding and 1 preceding) seen from events) select COUNT_IF(ts < seen) late, count(*) n from m")
 both("health_alerts", "with l as (select user_id, event_id, value, avg(value) over (partition by user_id order by ts, event_id rows between 5 preceding and 1 preceding) base from events) select user_id, count(*) alerts from l where value > 20 * base group by user_id")
+add(
+    "health_alerts_stream", lambda s, d: live.finished(live.health_alerts(live.source(s, d, "events")), "complete"),
+    "select time_bucket(interval '1 day', ts) start, count(*) n, max(value) > 10 * avg(value) spike, bool_or(value is null or isnan(value) or isinf(value)) non_finite, count(distinct event_type) < 5 missing_kind from events group by 1",
+)
 
 both("pricing_summary", "select l_returnflag, l_linestatus, count(*) n, BIG(sum(l_quantity)) qty, R6(sum(cast(l_extendedprice as decimal(18, 2)))) price from lineitem group by l_returnflag, l_linestatus")
 both("revenue_by_nation", "select n_name, R6(sum(cast(l_extendedprice as decimal(18, 2)))) revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")

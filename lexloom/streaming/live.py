@@ -6,16 +6,17 @@ the checkpoint folder, so that the twin can be compared with its batch query.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import held, ngrams, words
+from lexloom.operators.shared import shared_dir, small
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or 'file://' + tempfile.gettempdir() + '/lexloom-work'}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,14 +46,42 @@ def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-def first_texts(docs: DataFrame) -> DataFrame:
-    """Exact duplicates dropped by text hash while they are in state."""
-    return docs.select("doc_id", F.sha2("text", 256).alias("h")).dropDuplicates(["h"]).select("h")
+def first_texts(docs: DataFrame, time: str | None = None, delay: str = "1 day") -> DataFrame:
+    """Exact duplicates dropped by text hash. With an event-time column a hash is kept for `delay` only, so that the state is bounded; without one it is kept as long as the query runs, which suits `availableNow`."""
+    hashed = docs.select(*([time] if time else []), F.sha2("text", 256).alias("h"))
+    return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["h"]).select("h") if time else hashed.dropDuplicates(["h"])
+
+
+def _grams_of(docs: DataFrame, n: int) -> DataFrame:
+    return held(docs.select("doc_id", "text"), "w", words(F.col("text"))).select("doc_id", F.explode(ngrams(F.col("w"), n)).alias("g"))
+
+
+def contaminated(docs: DataFrame, grams: DataFrame, n: int = 13) -> DataFrame:
+    """Stream of the ids of documents with a benchmark gram; the static side is broadcast if a count allows it."""
+    return _grams_of(docs, n).join(small(grams), "g").select("doc_id").dropDuplicates(["doc_id"])
+
+
+def without_contaminated(docs: DataFrame, grams: DataFrame, n: int = 13) -> DataFrame:
+    """Stream of documents, all columns, without a benchmark gram. No state: a document's grams meet those of the
+    benchmark as sorted 64-bit hashes, an array that is a constant of the plan and bounded by `MOST_GRAMS`."""
+    known = grams.select(F.xxhash64("g").alias("h")).distinct().limit(MOST_GRAMS + 1).collect()
+    if len(known) > MOST_GRAMS:
+        raise ValueError(f"more than {MOST_GRAMS} grams: filter in batches with operators.contamination")
+    hashes = F.array(*[F.lit(r.h) for r in known]).cast("array<bigint>")
+    w = held(docs, "__w", words(F.col("text")))
+    hit = F.arrays_overlap(F.transform(ngrams(F.col("__w"), n), lambda g: F.xxhash64(g)), hashes)
+    return w.where(~F.coalesce(hit, F.lit(False))).drop("__w")
+
 
+#: Benchmark grams that a streaming plan carries as a constant at most.
+MOST_GRAMS = 100_000
 
-def clean_documents(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Stream of documents without a benchmark gram: the static side is joined to the exploded stream."""
-    from lexloom.functions.text import held, ngrams, words
 
-    g = held(docs.select("doc_id", "text"), "w", words(F.col("text"))).select("doc_id", F.explode(ngrams(F.col("w"), 13)).alias("g"))
-    return g.join(F.broadcast(grams), "g").select("doc_id").dropDuplicates(["doc_id"])
+def health_alerts(events: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Alerts by window of event time: a value ten times the window's mean, a value that is not finite, a kind of event that is missing."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    bad = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    g = e.groupBy(F.window("ts", width).alias("w")).agg(
+        F.count("*").alias("n"), (F.max("value") > 10 * F.avg("value")).alias("spike"), (F.max(bad.cast("int")) == 1).alias("non_finite"), (F.size(F.collect_set("event_type")) < 5).alias("missing_kind"),
+    )
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "spike", "non_finite", "missing_kind")
