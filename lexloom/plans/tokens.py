@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import held, words
 from lexloom.operators import bpe
+from lexloom.operators.prefix import ranked
 from lexloom.plans.dialect import Plans
 from lexloom.sources.tables import table
 
@@ -46,23 +49,48 @@ add("bpe_last_merges", _last_merges)
 
 
 def _round_trip(spark, d):
+    """Distinct chunks, their bytes, and those that decoding gives back."""
     counts, merges = _trained(spark, d, 400)
-    return bpe.encoded(counts, merges).where("not ok").select("chunk")
+    return bpe.encoded(counts, merges).agg(F.count("*").alias("n_chunks"), F.sum(F.octet_length("chunk")).alias("n_bytes"), F.count_if("ok").alias("n_back"))
 
 
-add("bpe_round_trip", _round_trip, "select chunk from (select '' chunk) t where false")
+add("bpe_round_trip", _round_trip, f"with {CHUNKS} select count(*) n_chunks, sum(strlen(chunk))::bigint n_bytes, count(*) n_back from c")
 
 
 def _sweep(spark, d):
+    """Tokens by vocabulary size, and what each step saves; the mean gain is the average of `gain`."""
     counts, merges = _trained(spark, d, 512)
     out = None
     for size in (256, 320, 384, 512):
         row = bpe.encoded(counts, merges[: size - 256]).agg(F.lit(size).cast("long").alias("vocab"), F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"))
         out = row if out is None else out.union(row)
-    return out
+    return out.withColumn("gain", 1 - F.col("tokens") / F.lag("tokens").over(Window.orderBy("vocab")))  # one row a size
 
 
 add("bpe_vocab_sweep", _sweep)
+
+
+def _fertility(spark, d):
+    docs = table(spark, d, "documents")
+    return bpe.fertility(docs, bpe.train(bpe.chunk_counts(docs), 512), "lang")
+
+
+def _penalty(spark, d):
+    """Fertility by language under a tokenizer of English alone and under one of all languages."""
+    docs = table(spark, d, "documents")
+    english = bpe.train(bpe.chunk_counts(docs.where("lang = 'en'")), 512)
+    a = bpe.fertility(docs, english, "lang").select("lang", F.col("fertility").alias("english_fertility"))
+    b = bpe.fertility(docs, bpe.train(bpe.chunk_counts(docs), 512), "lang").select("lang", F.col("fertility").alias("joint_fertility"))
+    return a.join(b, "lang").withColumn("penalty", F.col("english_fertility") / F.col("joint_fertility"))
+
+
+add("bpe_fertility", _fertility)
+add("bpe_penalty", _penalty)
+
+#: Two more published pre-token patterns, without look-around: single digits, and runs of Han or kana on their own.
+PATTERNS = {"digits": r"[^\s\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+|\s+", "cjk": r"\p{N}{1,3}|[一-龥぀-ゟ゠-ヿ]+|[^\s\p{L}\p{N}]?\p{L}+| ?[^\s\p{L}\p{N}]+|\s+"}
+for _k, _p in PATTERNS.items():
+    add(f"bpe_chunks_{_k}", lambda s, d, p=_p: bpe.chunk_counts(table(s, d, "documents"), p), CHUNKS.join(["with ", " select chunk, n from c"]).replace(CHUNKS[CHUNKS.index("text, '") + 7 : CHUNKS.index("')) chunk")], _p))
 _WORDS_N = "case when COUNT_RE(text, '[⺀-鿿가-힣]') > 0 then greatest(1.0e0, COUNT_RE(text, '[⺀-鿿가-힣]') / 1.5e0) else greatest(1.0e0, DBL(SIZE(WSWORDS(text)))) end"
 both("count_words_mixed", f"select doc_id, {_WORDS_N} n from documents")
 both("fertility_by_lang", "with t as (select lang, BIG(sum(BYTES(text))) n_bytes, BIG(sum(SIZE(WSWORDS(text)))) n_words, BIG(sum(length(text))) n_chars from documents group by lang), e as (select DBL(n_bytes) / n_words f from t where lang = 'en') select lang, n_bytes, n_words, DBL(n_bytes) / n_words fertility, DBL(n_bytes) / n_words / f penalty, DBL(n_chars) / n_bytes chars_per_token from t cross join e")
@@ -71,7 +99,18 @@ both("compression", "select lang, DBL(sum(length(text))) / sum(SIZE(WSWORDS(text
 both("compute_share", "select lang, R6(100 * share * f / sum(share * f) over ()) pct from (values ('en', 40e0, 1.30e0), ('vi', 20e0, 2.45e0), ('ja', 20e0, 1.85e0), ('zh', 20e0, 1.60e0)) v(lang, share, f)")
 both("context_in_words", "select lang, ctx, BIG(floor(ctx / f)) words, floor(ctx / f) >= 50000 fits from (values ('en', 1.30e0), ('vi', 2.45e0), ('ja', 1.85e0), ('zh', 1.60e0)) v(lang, f) cross join (values (8192), (32768), (131072)) c(ctx)")
 both("embedding_tax", "select vocab, hidden, BIG(vocab) * hidden * 2 params, R6(200e0 * vocab * hidden / total) pct from (values (32000, 4096, 7.0e9), (128256, 4096, 8.0e9), (131072, 8192, 7.0e10)) v(vocab, hidden, total)")
-both("zipf_head_mass", "with r as (select w, n, row_number() over (order by n desc, w) rk, sum(n) over () total from (select w, count(*) n from (select EACH(WORDS(text)) w from documents) x group by w) c) select k, DBL(sum(n)) / max(total) share from r cross join (values (10), (100), (1000)) v(k) where rk <= k group by k")
+
+
+def _zipf_head(spark, d):
+    """Shares of the commonest 10, 100 and 1000 words; the counts are ranked without one task that orders them all."""
+    c = held(table(spark, d, "documents"), "w", words(F.col("text"))).select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    r = ranked(c.withColumn("tie", F.xxhash64("w")), "n", "tie", "rk", descending=True)
+    total = c.agg(F.sum("n").alias("total"))
+    k = F.explode(F.filter(F.array(*map(F.lit, (10, 100, 1000))), lambda x: x >= F.col("rk")))
+    return r.where("rk <= 1000").select("n", k.alias("k")).groupBy("k").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total)).select("k", (F.col("n") / F.col("total")).alias("share"))
+
+
+add("zipf_head_mass", _zipf_head, "with r as (select w, n, row_number() over (order by n desc, w) rk, sum(n) over () total from (select w, count(*) n from (select EACH(WORDS(text)) w from documents) x group by w) c) select k, DBL(sum(n)) / max(total) share from r cross join (values (10), (100), (1000)) v(k) where rk <= k group by k")
 both("zipf_harmonic", "with h as (select EACH(SEQ(1, 131072)) r) select R6(sum(case when r <= 1000 then 1.0e0 / r else 0 end) / sum(1.0e0 / r)) head from h")
 
 # Q rows. Hashed counts use md5 buckets, which both engines have.
@@ -90,18 +129,37 @@ def _features(spark, d):
     return QUERIES["quality_features"](spark, d).join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
 
 
-def _ml(kind: str):
+NAMES = "upper_ratio digit_ratio mean_word bangs distinct_ratio symbols".split()
+
+
+def _ml(kind: str, held_out):
+    """Predictions for the rows that `held_out` names, from a model that never saw them."""
+
     def query(spark, d):
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import GBTRegressor
 
-        f = VectorAssembler(inputCols="upper_ratio digit_ratio mean_word bangs distinct_ratio symbols".split(), outputCol="features").transform(_features(spark, d))
-        model = (LogisticRegression(maxIter=30, regParam=0.002) if kind == "lr" else GBTRegressor(maxIter=5, maxDepth=3, seed=1)).fit(f)
-        return model.transform(f).select("doc_id", "label", F.round(F.col("prediction"), 6).alias("prediction"))
+        rows = _features(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("held", held_out())
+        f = VectorAssembler(inputCols=NAMES, outputCol="features").transform(rows)
+        model = (LogisticRegression(maxIter=30, regParam=0.002) if kind == "lr" else GBTRegressor(maxIter=5, maxDepth=3, seed=1)).fit(f.where("not held"))
+        return model.transform(f.where("held")).select("doc_id", "label", F.round(F.col("prediction"), 6).alias("prediction"))
 
     return query
 
 
-add("quality_logistic_regression", _ml("lr"))
-add("quality_boosted_trees", _ml("gbt"))
+def fourth():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+
+
+def _boosted_cut(spark, d):
+    """The held-out rows that the boosted trees put into the top seven tenths."""
+    p = QUERIES["quality_boosted_trees"](spark, d)
+    cut = p.agg(F.percentile("prediction", 0.3).alias("cut"))
+    return p.crossJoin(F.broadcast(cut)).where("prediction >= cut").drop("cut")  # one row
+
+
+add("quality_logistic_regression", _ml("lr", fourth))
+add("quality_boosted_trees", _ml("gbt", fourth))
+add("quality_boosted_cut", _boosted_cut)
+add("quality_unseen_source", _ml("lr", lambda: F.col("source") == "src0"))
