@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import serving as V
+from lexloom.operators.prefix import ranked
 from lexloom.plans.dialect import Plans
 from lexloom.sources.tables import table
 
@@ -37,36 +40,50 @@ both("straggler_impact", "select p, n, R6(1 - pow(1 - p, n)) any_slow, R6(1 + (1
 
 # Requests come from documents: prompt = least(n_chars div 4, 4000), output = 1 + doc_id * 7919 % 200.
 R = "q as (select doc_id rid, least(IDIV(n_chars, 4), 4000) prompt, 1 + doc_id * 7919 % 200 outp from documents), r as (select *, row_number() over (order by rid) rn from q)"
-both("static_batching", f"with {R}, b as (select IDIV(rn - 1, 32) batch, max(outp) longest, sum(outp) useful, count(*) n from r group by IDIV(rn - 1, 32)) select BIG(sum(longest)) iterations, BIG(sum(useful)) useful, DBL(sum(useful)) / (32 * sum(longest)) utilisation from b")
+
+
+def requests(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("rid"), F.expr("least(n_chars div 4, 4000)").alias("prompt"), (1 + F.col("doc_id") * 7919 % 200).alias("outp"))
+
+
+def _static(spark, d):
+    b = ranked(requests(spark, d), "rid", "rid", "rn").groupBy(F.expr("(rn - 1) div 32").alias("batch")).agg(F.max("outp").alias("longest"), F.sum("outp").alias("useful"))
+    return b.agg(F.sum("longest").alias("iterations"), F.sum("useful").alias("useful")).withColumn("utilisation", F.col("useful") / (32 * F.col("iterations")))
+
+
+add("static_batching", _static, f"with {R}, b as (select IDIV(rn - 1, 32) batch, max(outp) longest, sum(outp) useful, count(*) n from r group by IDIV(rn - 1, 32)) select BIG(sum(longest)) iterations, BIG(sum(useful)) useful, DBL(sum(useful)) / (32 * sum(longest)) utilisation from b")
 both("naive_fragmentation", f"with {R} select BIG(sum(outp * prompt + IDIV(outp * (outp - 1), 2))) used, BIG(sum(outp * 4200)) reserved, 1 - DBL(sum(outp * prompt + IDIV(outp * (outp - 1), 2))) / sum(outp * 4200) wasted from r")
 _SWEEP = f"with {R}, g as (select bs, prompt + t kv from r cross join (values (8), (16), (64)) v(bs) cross join (select EACH(SEQ(BIG(0), BIG(199))) t) s where t < outp) select bs, BIG(sum(bs * greatest(1, IDIV(kv + bs - 1, bs)))) reserved, BIG(sum(kv)) used, 1 - DBL(sum(kv)) / sum(bs * greatest(1, IDIV(kv + bs - 1, bs))) wasted, count(*) steps from g group by bs"
 both("kv_block_sweep", _SWEEP)
-both("output_length_statistics", f"with {R}, o as (select outp, row_number() over (order by outp) k, count(*) over () n from r) select max(case when k = IDIV(n, 2) + 1 then outp end) median, max(case when k = BIG(floor(0.99e0 * n)) + 1 then outp end) p99, DBL(max(case when k = BIG(floor(0.99e0 * n)) + 1 then outp end)) / max(case when k = IDIV(n, 2) + 1 then outp end) ratio from o")
-both("shared_prefix_cost", "select share, case when share then BIG(ceil(1200 / 16e0)) + 8 * BIG(ceil(200 / 16e0)) else 8 * BIG(ceil(1400 / 16e0)) end blocks from (values (true), (false)) v(share)")
 
 
-def _slots(spark, d, slots=32, limit_rows=None):
-    """FIFO refill of slots: each request starts when the earliest slot is free. A fold over one ordered array a server of at most 256 requests."""
-    q = table(spark, d, "documents").select("doc_id", (1 + F.col("doc_id") * 7919 % 200).alias("outp"), F.expr("doc_id div 256").alias("server"))
-    arrays = q.groupBy("server").agg(F.array_sort(F.collect_list(F.struct("doc_id", "outp"))).alias("xs"))
-    fold = """aggregate(xs, named_struct('free', array_repeat(0L, %d), 'out', cast(array() as array<struct<rid:bigint,start:bigint,stop:bigint>>)),
-      (s, x) -> named_struct(
-        'free', transform(s.free, (f, i) -> if(i = array_position(s.free, array_min(s.free)) - 1, f + x.outp, f)),
-        'out', concat(s.out, array(named_struct('rid', x.doc_id, 'start', array_min(s.free), 'stop', array_min(s.free) + x.outp)))), s -> s.out)""" % slots
-    return arrays.select("server", F.explode(F.expr(fold)).alias("x")).select("server", "x.rid", "x.start", "x.stop")
+def _order_statistics(spark, d):
+    """The upper median and the 99th percentile, from counts by length: one row a length meets in the window."""
+    by = requests(spark, d).groupBy("outp").agg(F.count("*").alias("c"))
+    run = by.select("outp", F.sum("c").over(Window.orderBy("outp")).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("outp")))
+    return run.agg(at(F.expr("n div 2 + 1")).alias("median"), at(F.floor(0.99 * F.col("n")) + 1).alias("p99")).withColumn("ratio", F.col("p99") / F.col("median"))
+
+
+add("output_length_statistics", _order_statistics, f"with {R}, o as (select outp, row_number() over (order by outp) k, count(*) over () n from r) select max(case when k = IDIV(n, 2) + 1 then outp end) median, max(case when k = BIG(floor(0.99e0 * n)) + 1 then outp end) p99, DBL(max(case when k = BIG(floor(0.99e0 * n)) + 1 then outp end)) / max(case when k = IDIV(n, 2) + 1 then outp end) ratio from o")
+both("shared_prefix_cost", "select share, case when share then BIG(ceil(1200 / 16e0)) + 8 * BIG(ceil(200 / 16e0)) else 8 * BIG(ceil(1400 / 16e0)) end blocks from (values (true), (false)) v(share)")
 
 
-add("continuous_batching", lambda s, d: _slots(s, d).groupBy("server").agg(F.max("stop").alias("iterations"), F.sum(F.col("stop") - F.col("start")).alias("useful"), (F.sum(F.col("stop") - F.col("start")) / (F.max("stop") * 32)).alias("utilisation")))
+SLOTS, BLOCK = 32, 16
+_SCHEDULE = f"""with recursive {R}, p(rn, rid, prompt, outp, free, start) as (select 0::bigint, null::bigint, 0::bigint, 0::bigint, list_transform(range(0, 32), lambda x: 0::bigint), 0::bigint
+union all select r.rn, r.rid, r.prompt, r.outp, list_transform(free, lambda f, i: case when i = list_position(free, list_min(free)) then f + r.outp else f end), list_min(free) from p join r on r.rn = p.rn + 1),
+s as (select rid, prompt, start, start + outp stop from p where rn > 0)"""
+add("continuous_batching", lambda s, d: V.utilisation(V.schedule(requests(s, d), "rid", "outp", SLOTS), SLOTS), _SCHEDULE + " select BIG(0) server, BIG(max(stop)) iterations, BIG(sum(stop - start)) useful, DBL(sum(stop - start)) / (max(stop) * 32) utilisation from s")
+add("kv_peak_blocks", lambda s, d: V.peak_blocks(V.schedule(requests(s, d), "rid", "outp", SLOTS), requests(s, d), "rid", "prompt", BLOCK), _SCHEDULE + ", g as (select t, sum(greatest(1, (prompt + t - start + 15) // 16)) blocks from (select prompt, start, unnest(range(start, stop)) t from s) x group by t) select BIG(0) server, BIG(max(blocks)) peak_blocks from g")
 
 
-def _peak(spark, d):
-    q = table(spark, d, "documents").select(F.col("doc_id").alias("rid"), F.expr("least(n_chars div 4, 4000)").alias("prompt"))
-    live = _slots(spark, d).join(q, "rid").select("server", "prompt", F.explode(F.sequence("start", F.col("stop") - 1)).alias("t"), "start")
-    return live.groupBy("server", "t").agg(F.sum(F.expr("(prompt + t - start + 15) div 16")).alias("blocks")).groupBy("server").agg(F.max("blocks").alias("peak_blocks"))
+def _refcounts(spark, d):
+    """Cache blocks by the first 16 tokens of a prompt (here the first word): requests of one prefix hold it while they run."""
+    q = requests(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("rid"), F.coalesce(F.regexp_extract(F.lower("text"), "[a-z]+", 0), F.lit("")).alias("blk")), "rid")
+    return V.share_counts(V.schedule(requests(spark, d), "rid", "outp", SLOTS).join(q.select("rid", "blk"), "rid"), "blk", "start", "stop").select("blk", F.col("peak").cast("long").alias("peak"), F.col("left").cast("long").alias("left_over"))
 
 
-add("kv_peak_blocks", _peak)
-both("block_refcounts", f"with {R}, e as (select rid % 16 blk, rid t, 1 delta from r union all select rid % 16, rid + outp, -1 from r), s as (select blk, t, sum(sum(delta)) over (partition by blk order by t) refs from e group by blk, t) select blk, BIG(max(refs)) peak, BIG(min(refs)) least_refs from s group by blk")
+add("block_refcounts", _refcounts, _SCHEDULE + ", b as (select s.start, s.stop, regexp_extract(lower(coalesce(text, '')), '[a-z]+') blk from s join documents on rid = doc_id), e as (select blk, start t, 1 d from b union all select blk, stop, -1 from b), c as (select blk, t, sum(d) d from e group by 1, 2), w as (select blk, t, sum(d) over (partition by blk order by t) refs from c) select blk, BIG(max(refs)) peak, BIG(arg_max(refs, t)) left_over from w group by blk")
 both("decode_floor", "select model, gb, bw, R6(gb / bw * 1000) ms, R6(flops / (bw * 1e9) ) roofline_batch from (values ('8b', 16e0, 3350e0, 9.89e14), ('70b', 140e0, 3350e0, 9.89e14)) v(model, gb, bw, flops)")
 both("ckpt_interval", "select c, mtbf_h, R6(sqrt(2 * c * mtbf_h * 3600)) interval_s, R6(c / sqrt(2 * c * mtbf_h * 3600) + sqrt(2 * c * mtbf_h * 3600) / (2 * mtbf_h * 3600)) overhead from (values (60e0, 12e0), (10e0, 3e0), (2e0, 3e0)) v(c, mtbf_h)")
 both("cluster_mtbf", "select gpus, R6(50000e0 / gpus) mtbf_h, R6(54 * 24 / (50000e0 / gpus)) interruptions from (values (1024), (16384), (100000)) v(gpus)")
@@ -76,24 +93,31 @@ both("ols_fit", f"with {_RUNS} select R6(regr_slope(LN(loss), LN(n))) slope, R6(
 _FIT = f"with {_RUNS}, e as (select EACH(SEQ(0, 2999)) i), x as (select i, i * 2.7e0 / 3000 ee, LN(n) lx, LN(loss - i * 2.7e0 / 3000) ly, n, loss from runs cross join e), f as (select i, max(ee) ee, regr_slope(ly, lx) b, regr_intercept(ly, lx) a from x group by i), s as (select f.i, f.ee, f.a, f.b, sum(pow(f.ee + exp(f.a + f.b * LN(n)) - loss, 2)) sse from f cross join runs group by f.i, f.ee, f.a, f.b), r as (select *, row_number() over (order by round(sse, 12), i) rn from s) "
 both("scaling_fit", _FIT + "select BIG(i) i, R6(ee) e, R6(b) slope, R6(a) intercept from r where rn = 1")
 both("scaling_predict", _FIT + "select n, R6(ee + exp(a + b * LN(n))) predicted from r cross join (values (1e9), (1e10)) v(n) where rn = 1")
+_REFIT = _FIT.split("r as (select")[0].replace("x as (select i,", "m as (select * from (values (4), (5), (6), (7)) v(m)), x as (select m, i,").replace("from runs cross join e)", "from runs cross join e cross join m where k <= m)").replace("f as (select i, max(ee)", "f as (select m, i, max(ee)").replace("from x group by i)", "from x group by m, i)").replace("s as (select f.i,", "s as (select f.m, f.i,").replace("from f cross join runs group by f.i,", "from f join runs on runs.k <= f.m group by f.m, f.i,")
+both("scaling_refits", _REFIT + "r as (select *, row_number() over (partition by m order by round(sse, 12), i) rn from s) select m, BIG(i) i, R6(ee + exp(a + b * LN(n))) predicted, R6((ee + exp(a + b * LN(n)) - loss) / loss) held_out_error from r cross join runs where rn = 1 and k = 7")
 both("entropy_head", "with z as (select r, 1.0e0 / r w from (select EACH(SEQ(1, 1000)) r) x), p as (select r, w / sum(w) over () p from z) select R6(-sum(p * LN(p))) entropy, R6(sum(case when r <= 10 then p else 0 end)) head10 from p")
 both("zipf_source", "with z as (select r, 1.0e0 / pow(r, 1.1e0) w from (select EACH(SEQ(1, 256)) r) x) select BIG(r) r, R9(w / sum(w) over ()) p from z")
 both("rope_wavelengths", "select BIG(i) i, R6(pow(base, -2 * i / 128e0)) inv_freq, R6(2 * pi() * pow(base, 2 * i / 128e0)) wavelength, 2 * pi() * pow(base, 2 * i / 128e0) <= 8192 full_turn, base from (select EACH(SEQ(0, 63)) i) x cross join (values (10000e0), (500000e0)) b(base)")
-both("rope_scaling", "select BIG(i) i, R9(pow(1e4, -2 * i / 128e0)) none, R9(pow(1e4, -2 * i / 128e0) / 4) pi_scaled, R9(pow(1e4 * pow(4, 128 / 126e0), -2 * i / 128e0)) ntk from (select EACH(SEQ(0, 63)) i) x")
+both("rope_scaling", "select BIG(i) i, R9(pow(1e4, -2 * i / 128e0)) none, R9(pow(1e4, -2 * i / 128e0) / 4) pi_scaled, R9(pow(1e4 * pow(4, 128 / 126e0), -2 * i / 128e0)) ntk, R9(pow(1e4, -2 * i / 128e0) * (g + (1 - g) / 4)) yarn, R6(2 * pi() / (pow(1e4, -2 * i / 128e0) * (g + (1 - g) / 4))) yarn_wavelength from (select i, least(1.0e0, greatest(0.0e0, (4096 * pow(1e4, -2 * i / 128e0) / (2 * pi()) - 1) / 31)) g from (select EACH(SEQ(0, 63)) i) x) y")
 both("binned_loss", "select IDIV(n_chars, 2000) bin, count(*) n, R6(avg(LN(1e0 + n_chars))) loss from documents group by IDIV(n_chars, 2000)")
-_X = {"spark": "(select vec_id, BIG(pos) e, cast(col as double) logit from (select vec_id, posexplode(slice(embedding, 1, 8)) from embeddings))", "duck": "(select vec_id, BIG(unnest(range(0, 8))) e, unnest(embedding[1:8])::double logit from embeddings)"}
+_X = {"spark": "(select vec_id, BIG(pos) e, cast(col as double) logit from (select vec_id, posexplode(embedding) from embeddings))", "duck": "(select vec_id, BIG(unnest(range(0, 64))) e, unnest(embedding)::double logit from embeddings)"}
 _TOP = "with x as {t}, s as (select vec_id, e, exp(logit) / sum(exp(logit)) over (partition by vec_id) p, row_number() over (partition by vec_id order by logit desc, e) rk from x), k as (select e, sum(case when rk <= 2 then 1 else 0 end) load, avg(p) mean_p, count(*) n from s group by e) "
 for _name, _sel in (
     ("router_topk_load", "select e, BIG(load) load, R6(mean_p) mean_p from k"),
-    ("router_aux_loss", "select R6(8 * sum(load / (2.0e0 * n) * mean_p)) aux from k"),
-    ("router_bias_update", "select e, R6(0.001e0 * (0.125e0 - load / (2.0e0 * n)) * 8) bias from k"),
+    ("router_aux_loss", "select R6(64 * sum(load / (2.0e0 * n) * mean_p)) aux from k"),
+    ("router_bias_update", "select e, R6(0.001e0 * (0.015625e0 - load / (2.0e0 * n)) * 64) bias from k"),
     ("router_gini", ", r as (select load, row_number() over (order by load, e) i, count(*) over () m, sum(load) over () total, max(load) over () hi from k) select R6(2 * sum(i * load) / (max(m) * DBL(max(total))) - (max(m) + 1) / DBL(max(m))) gini, R6(max(hi) * max(m) / DBL(max(total))) max_over_mean, COUNT_IF(load = 0) dead from r"),
 ):
     both(_name, (_TOP + _sel).format(t=_X["duck"]).replace(") , r as", "), r as"), (_TOP + _sel).format(t=_X["spark"]).replace(") , r as", "), r as"))
+_GATES = "with x as {t}, s as (select vec_id, e, exp(logit) w, row_number() over (partition by vec_id order by logit desc, e) rk from x), k as (select vec_id, e, w, rk from s where rk <= 2) select vec_id, e, R6(w / sum(w) over (partition by vec_id)) gate from k"
+both("router_gates", _GATES.format(t=_X["duck"]), _GATES.format(t=_X["spark"]))
 _B = {"spark": "(select vec_id, pos, abs(cast(col as double)) v from (select vec_id, posexplode(embedding) from embeddings))", "duck": "(select vec_id, unnest(range(0, 64)) pos, abs(unnest(embedding)::double) v from embeddings)"}
 _FP8 = "with x as {t}, b as (select vec_id, IDIV(pos, 16) blk, max(v) m, count(*) n from x group by vec_id, IDIV(pos, 16)) select BIG(blk) blk, R6(min(m) / 448) lo_scale, R6(max(m) / 448) hi_scale, count(*) n from b group by blk"
 both("fp8_block_scales", _FP8.format(t=_B["duck"]), _FP8.format(t=_B["spark"]))
-both("fusion_traffic", "select BIG(tok) * hid * 2 * 7 unfused, BIG(tok) * hid * 2 * 2 fused, 7 / 2e0 ratio from (values (4096, 4096)) v(tok, hid)")
+# values below half the least subnormal of e4m3 (2^-10) after scaling to 448 become zero
+_ZERO = "with x as {t}, b as (select vec_id, pos, v, max(v) over (partition by vec_id, IDIV(pos, 16)) bm, max(v) over (partition by vec_id) tm from x where true), c as (select vec_id, count(*) n, COUNT_IF(v > 0 and v * 448 < tm / 1024) by_tensor, COUNT_IF(v > 0 and v * 448 < bm / 1024) by_block, max(tm) / 448 tensor_scale from b group by vec_id) select vec_id, R9(tensor_scale) tensor_scale, DBL(by_tensor) / n zeroed_by_tensor, DBL(by_block) / n zeroed_by_block from c"
+both("fp8_zeroed_share", _ZERO.format(t=_B["duck"]), _ZERO.format(t=_B["spark"]))
+both("fusion_traffic", "select BIG(tok) * hid * 2 * 7 unfused, BIG(tok) * hid * 2 * 2 fused, 7 / 2e0 ratio, R6(5e0 * tok * hid / (BIG(tok) * hid * 2 * 7)) intensity_unfused, R6(5e0 * tok * hid / (BIG(tok) * hid * 2 * 2)) intensity_fused from (values (4096, 4096)) v(tok, hid)")
 both("reshard", "select IDIV(doc_id * 8, n) old_shard, IDIV(doc_id * 4, n) new_shard, count(*) n_rows from documents cross join (select max(doc_id) + 1 n from documents) m group by IDIV(doc_id * 8, n), IDIV(doc_id * 4, n)")
 both("speculative_prefix", "with p as (select user_id, IDIV(rn - 1, 4) blk, (rn - 1) % 4 pos, value > 20 ok from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) rn from events) e) select user_id, BIG(blk) blk, BIG(coalesce(min(case when not ok then pos end), count(*))) accepted from p group by user_id, blk")
 both("zero_gradient_share", "select g, R6(sum(w * (pow(p, g) + pow(1 - p, g)))) share from (values (0.2e0, 0.05e0), (0.3e0, 0.3e0), (0.3e0, 0.7e0), (0.2e0, 0.95e0)) v(w, p) cross join (values (4), (8), (16)) s(g) group by g")
