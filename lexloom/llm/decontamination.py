@@ -7,13 +7,15 @@ numbers and names is caught and one that merely has the same frame with mixed-up
 slots is not. Windows need `min_literal` tokens that are no placeholders.
 Beside them the windows of case-folded tokens are hashed and joined, so that a
 copy in other case, whose names are no <name> or whose words all are, is caught too.
+An item of fewer than n tokens but `min_literal` or more is one case-folded window of
+its own length; documents are hashed at such lengths only if the benchmark has them.
 
 The corpus is read twice: once for hashes (an 8-byte hash and a position for each
 window, met in the scan's own stage by the broadcast hashes of the benchmark, in
 blocks of at most `BLOCK_WINDOWS`), and once for the documents that had a hit.
 
-Defined results: null and empty texts, and benchmark items of fewer than n
-words, match nothing; each input row gives one output row, repeated rows alike;
+Defined results: null and empty texts, and benchmark items of fewer than
+`min_literal` tokens (every document would have them), match nothing; each input row gives one output row, repeated rows alike;
 other columns are ignored. n_windows counts the template windows of an item, and
 the case-folded windows of an item that no template window meets.
 """
@@ -28,6 +30,8 @@ from lexloom.llm.common import narrowed, written
 WINDOW, MIN_LITERAL = 10, 5
 #: Windows of the benchmark that one pass over the corpus broadcasts (24 bytes each).
 BLOCK_WINDOWS = 1_000_000
+#: Windows of the benchmark, tokens included (some 300 bytes each), that are broadcast at most.
+BROADCAST_ITEMS = 100_000
 #: A column name that no input has.
 ROW = "__lexloom_row"
 #: Units of measure and currency.
@@ -71,10 +75,15 @@ def numbers(words: Column | str) -> Column:
     return F.transform(words, lambda t: F.xxhash64(t))
 
 
-def windows(n: int) -> Column:
-    """x: (at, h, f) of each window, hashes of its template tokens (numbers in nc) and of its case-folded tokens (in nl)."""
-    hashed = lambda c, i: F.xxhash64(F.slice(c, i, F.lit(n)))
-    return F.explode(F.transform(starts(n), lambda i: F.struct(i.alias("at"), hashed("nc", i).alias("h"), hashed("nl", i).alias("f")))).alias("x")
+def windows(n: int, short: list[int]) -> Column:
+    """x: (at, size, h, f) of each window, hashes of its template tokens (numbers in nc) and of its case-folded tokens (in nl); windows of the sizes in `short` have the second alone."""
+
+    def of(size: int, first: str) -> Column:
+        hashed = lambda c, i: F.xxhash64(F.slice(c, i, F.lit(size)))
+        return F.transform(starts(size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), hashed(first, i).alias("h"), hashed("nl", i).alias("f")))
+
+    whole = [of(n, "nc"), *(of(m, "nl") for m in short)]
+    return F.explode(F.concat(*whole) if short else whole[0]).alias("x")
 
 
 def literal(window: Column) -> Column:
@@ -83,29 +92,33 @@ def literal(window: Column) -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_literal: int = MIN_LITERAL, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """row (a hash of id and text), item, n_windows: consistent windows of each document row and benchmark item."""
-    items = tokens(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t")), "t")
-    items = items.select("item", F.explode(F.transform(starts(n), lambda i: F.struct(F.slice("w", i, F.lit(n)).alias("bw"), F.slice("c", i, F.lit(n)).alias("bc")))).alias("x"))
+    all_ = tokens(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t")), "t")
+    items = all_.select("item", F.explode(F.transform(starts(n), lambda i: F.struct(F.slice("w", i, F.lit(n)).alias("bw"), F.slice("c", i, F.lit(n)).alias("bc")))).alias("x"))
     items = items.select("item", "x.bw", "x.bc")
     framed = items.where(literal(F.col("bc")) >= min_literal).select("*", F.xxhash64(numbers("bc")).alias("h"), F.lit(False).alias("as_folded"))
-    items = framed.union(items.select("*", F.xxhash64(numbers(folded("bw"))).alias("h"), F.lit(True))).distinct()
+    whole = all_.where((F.size("w") >= min_literal) & (F.size("w") < n)).select("item", F.col("w").alias("bw"), F.col("c").alias("bc"))
+    items = framed.union(items.union(whole).select("*", F.xxhash64(numbers(folded("bw"))).alias("h"), F.lit(True))).distinct()
     items = written(items, "decontamination-windows")
-    blocks = max(1, -(-items.count() // BLOCK_WINDOWS))
+    short = sorted(r[0] for r in items.where(F.size("bw") < n).select(F.size("bw")).distinct().collect())  # n - min_literal sizes at most
+    n_items = items.count()
+    blocks = max(1, -(-n_items // BLOCK_WINDOWS))
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("t"))
     both = F.when(F.col("x.h") == F.col("x.f"), F.array("x.h")).otherwise(F.array("x.h", "x.f"))  # equal where no token is a placeholder
-    scanned = held(held(tokens(rows, "t"), "nc", numbers("c")), "nl", numbers(folded("w"))).select("row", windows(n)).select("row", "x.at", F.explode(both).alias("h"))
+    scanned = held(held(tokens(rows, "t"), "nc", numbers("c")), "nl", numbers(folded("w"))).select("row", windows(n, short)).select("row", "x.at", "x.size", F.explode(both).alias("h"))
     hits = None
     for b in range(blocks):
         part = items.where(F.pmod("h", F.lit(blocks)) == b).select("h").distinct()
         found = scanned.join(F.broadcast(part), "h", "left_semi")
         hits = found if hits is None else hits.union(found)
-    hits = written(written(hits, "decontamination-hits").groupBy("row").agg(F.collect_set(F.struct("at", "h")).alias("x")), "decontamination-hits")
+    hits = written(written(hits, "decontamination-hits").groupBy("row").agg(F.collect_set(F.struct("at", "size", "h")).alias("x")), "decontamination-hits")
     again = tokens(narrowed(rows, hits.select("row"), "row").dropDuplicates(["row"]).join(hits, "row"), "t")
     # windows are cut before they become rows: an explode copies what is selected beside it
-    cut = lambda x: F.struct(x["h"].alias("h"), F.slice("w", x["at"], F.lit(n)).alias("dw"), F.slice("c", x["at"], F.lit(n)).alias("dc"))
+    cut = lambda x: F.struct(x["h"].alias("h"), F.slice("w", x["at"], x["size"]).alias("dw"), F.slice("c", x["at"], x["size"]).alias("dc"))
     seen = again.select("row", F.explode(F.transform("x", cut)).alias("y")).select("row", "y.h", "y.dw", "y.dc")
-    met = seen.join(items, "h").where(F.when(F.col("as_folded"), folded("bw") == folded("dw")).otherwise(F.col("bc") == F.col("dc")))
+    # a passage that very many documents hold is one key: broadcast items need no group of it
+    met = seen.join(F.broadcast(items) if n_items <= BROADCAST_ITEMS else items, "h").where(F.when(F.col("as_folded"), folded("bw") == folded("dw")).otherwise(F.col("bc") == F.col("dc")))
     slot = lambda i: F.struct(F.element_at("bc", i).alias("k"), F.lower(F.element_at("bw", i)).alias("b"), F.lower(F.element_at("dw", i)).alias("d"))
-    pairs = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.lit(n)), slot), lambda s: s["k"].startswith("<")))
+    pairs = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.size("bc")), slot), lambda s: s["k"].startswith("<")))
     met = held(met, "p", pairs)
     side = lambda f: F.size(F.array_distinct(F.transform("p", lambda s: F.struct(s["k"], s[f]))))
     consistent = met.where(F.col("as_folded") | ((side("b") == F.size("p")) & (side("d") == F.size("p"))))
