@@ -1,7 +1,8 @@
 """Operator 7: a deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by id into shards whose bounds come from a bounded
-histogram of ids, so that reruns cut alike. A task writes one shard after the
+Records are range-sorted by id into shards of about `shard_bytes`, or of a
+`MAX_SHARDS`th of the table if that is more. Their bounds come from a histogram of
+ids with four cells a shard, so that reruns cut alike. A task writes one shard after the
 other, one gzip member a record, and rolls to a new file once the compressed
 size passes `roll_bytes`. A file is written under a temporary name of its own
 attempt and renamed when complete; the manifest, written last, names the files
@@ -23,19 +24,58 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexloom.llm.common import checkpoint_dir, frugal, written
 
-#: Cells of the id histogram that shards are cut from; the driver holds this many rows at most.
-CELLS = 4096
+#: Shards at most (a task each), and cells of the id histogram at least; there are four cells a shard.
+MAX_SHARDS, CELLS = 100_000, 4096
+#: Parts that a cell with too many bytes is split into, and how often.
+SPLIT, DEPTH = 64, 8
 #: Digests of repeated payloads (about 80 bytes each) that are broadcast at most; more are joined by shuffle.
 BROADCAST_DIGESTS = 200_000
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard's name space for URLs
 
 
+def cells_of(sized: DataFrame, shard_bytes: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(cell, shard), and a function that adds `cell` to rows with an id.
+
+    Cells are equal ranges of the ids; one with more than a shard's bytes is split
+    again between its own least and largest id, until none is too large or of several
+    ids, so that a few far ids don't crowd the others into one cell. Shards are runs
+    of whole cells in the order of ids, null ids last.
+    """
+    lo, hi, total = sized.agg(F.min("id"), F.max("id"), F.sum("n")).first()
+    lo, hi, size = lo or 0, hi or 0, max(shard_bytes, (total or 0) // MAX_SHARDS)
+    cells, steps = max(CELLS, 4 * ((total or 0) // size + 1)), []
+    place = lambda low, high, k: F.least(F.floor((F.col("id").cast("double") - low) * (k / (high - low + 1))), F.lit(k - 1)).cast("long")
+
+    def located(df: DataFrame) -> DataFrame:
+        whole = F.when(F.col("id").isNull(), F.array(F.lit(cells).cast("long"))).otherwise(F.array(place(F.lit(float(lo)), F.lit(float(hi)), cells)))
+        df = df.withColumn("cell", whole)
+        for heavy in steps:
+            finer = F.concat("cell", F.array(place(F.col("low"), F.col("high"), SPLIT)))
+            df = df.join(F.broadcast(heavy), "cell", "left").withColumn("cell", F.when(F.col("low").isNull(), F.col("cell")).otherwise(finer)).drop("low", "high")
+        return df
+
+    while True:
+        stats = written(located(sized.select("id", "n")).groupBy("cell").agg(F.sum("n").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")), "warc-cells")
+        heavy = stats.where((F.col("n") > size) & (F.col("least") < F.col("most"))).select("cell", F.col("least").cast("double").alias("low"), F.col("most").cast("double").alias("high"))
+        # ids that a double does not tell apart stay together
+        heavy = written(heavy.where("low < high"), "warc-heavy")
+        if heavy.isEmpty() or len(steps) == DEPTH:
+            break
+        steps.append(heavy)
+    order = Window.orderBy(F.asc_nulls_last("least"))  # one row a cell
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = stats.select("cell", F.floor(before / size).alias("at"))
+    return written(cuts.select("cell", (F.dense_rank().over(Window.orderBy("at")) - 1).alias("shard")), "warc-shards"), located
+
+
 def planned(pages: DataFrame, shard_bytes: int, revisit_from: int, key: str, url: str, html: str) -> tuple[DataFrame, int]:
     """key, url, payload, digest, target (null for responses), shard; and the number of shards."""
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.encode(html, "UTF-8"), F.lit(b"")).alias("payload"))
@@ -43,21 +83,16 @@ def planned(pages: DataFrame, shard_bytes: int, revisit_from: int, key: str, url
     first = sized.where(F.col("n") >= revisit_from).groupBy("same").agg(F.max("id").alias("last"), F.count("*").alias("copies")).where("copies > 1 and last is not null").drop("copies")
     first = written(first, "warc-copies")
     side = F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first
-    lo, hi = sized.agg(F.min("id"), F.max("id")).first()
-    lo, span = lo or 0, (hi or 0) - (lo or 0) + 1
-    cell = F.coalesce(F.floor((F.col("id") - lo) * F.lit(CELLS) / F.lit(span)), F.lit(0)).cast("int")
-    shard_of, at, shards = {}, 0, 1
-    for c, n in sorted(sized.groupBy(cell.alias("c")).agg(F.sum("n").alias("n")).collect()):
-        if at and at + n > shard_bytes:
-            at, shards = 0, shards + 1
-        at += n
-        shard_of[c] = shards - 1
-    table = F.array(*[F.lit(shard_of.get(c, 0)) for c in range(max(shard_of, default=0) + 1)])
+    if not isinstance(pages.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} is to be an integer, as shards are ranges of it")
+    cuts, located = cells_of(sized, shard_bytes)
+    shards = (cuts.agg(F.max("shard")).first()[0] or 0) + 1
     out = rows.withColumn("digest", F.sha1("payload")).withColumn("same", F.sha2("payload", 256)).join(side, "same", "left")
     target = F.when((F.length("payload") >= revisit_from) & (F.col("id") < F.col("last")), F.col("last"))
     # a null id cannot be the largest: it revisits, too
     target = F.when((F.length("payload") >= revisit_from) & F.col("id").isNull(), F.col("last")).otherwise(target)
-    return out.select("id", "url", "payload", "digest", target.alias("target"), F.element_at(table, cell + 1).alias("shard")), shards
+    out = located(out.select("id", "url", "payload", "digest", target.alias("target"))).join(F.broadcast(cuts), "cell")
+    return out.drop("cell"), shards
 
 
 def record(row: dict, date: str) -> bytes:
