@@ -225,6 +225,17 @@ def test_decontamination_finds_other_numbers_and_names(spark, odd, empty):
     assert decontamination.without_contaminated(docs, bench).columns == docs.columns
 
 
+def test_decontamination_of_short_items_nulls_ties_and_long_texts(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France today please"), (2, "two words"), (3, None), (4, ""), (5, "What is the capital of France today please"), (6, "one two three four five")], "item_id long, text string")
+    long = "filler text that goes on and on " * 20_000
+    texts = [(1, "intro what is the CAPITAL of france today please end"), (2, "two words are here"), (3, None), (4, ""), (5, long + "what is the capital of France today please"), (6, long), (7, "one two three four five one two three four five"), (7, "one two three four five one two three four five"), (None, "and one two three four five")]
+    docs = documents(spark, [(i, t, "s") for i, t in texts])
+    got = Counter((r.doc_id, r.contaminated, r.n_windows, tuple(r["items"])) for r in decontamination.decontaminate(docs, bench).collect())
+    assert got == Counter({(1, True, 2, (1, 5)): 1, (2, False, 0, ()): 1, (3, False, 0, ()): 1, (4, False, 0, ()): 1, (5, True, 2, (1, 5)): 1, (6, False, 0, ()): 1, (7, True, 2, (6,)): 2, (None, True, 1, (6,)): 1})
+    clean = decontamination.without_contaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 6]
+
+
 def test_decontamination_finds_copies_in_other_case(spark):
     item = "If Alice buys 12 apples and then Bob eats 5 apples from the large wooden basket how many remain"
     names = "Near Paris Alice Met Bob And Carol In Old Rome On Monday"  # no window has five literal tokens
@@ -286,6 +297,24 @@ def test_warc_round_trip(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_shards_reruns_and_left_overs(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i * i * 7 - 10**9, f"http://h/{i}", "".join(r.choice("abc<>é") for _ in range(r.choice([0, 10, 999, 1500, 4000])))) for i in range(120)] + [(2**62, "u", "x" * 3_000_000), (-(2**62), "u", "far away")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = []
+    for k in range(2):
+        folder = f"file://{tmp_path}/{k}"
+        (tmp_path / str(k) / "data").mkdir(parents=True)
+        (tmp_path / str(k) / "data" / ".part-000000-00000.warc.gz.dead.tmp").write_bytes(b"left by a lost executor")
+        manifest = warc.write(df.repartition(3 + k), folder, shard_bytes=20_000, roll_bytes=5_000)
+        made.append(sorted(tuple(x) for x in manifest.collect()))
+        got = {x.page_id: (x.payload_bytes, x.payload_digest) for x in warc.read(spark, folder).collect()}
+        assert got == {i: (len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
+    assert made[0] == made[1] and len({name.split("-")[1] for name, *_ in made[0]}) > 2
+    with pytest.raises(TypeError):
+        warc.archive(df.withColumn("page_id", F.col("page_id").cast("string")))
+
+
 def test_license_inheritance(spark):
     rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/c.txt", "x"), (3, "a/b/COPYING", "Released under the MIT License."), (4, "a/d/e/f.txt", None), (5, "g.txt", ""), (6, None, "Released under the MIT License."), (7, "a/b/z.txt", "prose\nThis work is licensed under the GNU General Public License, version 3.\nmore")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumns({"dir": F.lit(1), "own": F.lit(2)})
@@ -352,11 +381,34 @@ def test_quality_counts_and_held_out_accuracy(spark, odd, empty):
         win = list(zip(w, w[1:], w[2:], strict=False))
         n = Counter(win)
         again = {j for i, x in enumerate(win) if n[x] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in texts[r.doc_id].split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(again))
+        assert (r.n_symbols, r.n_dup_lines) == (len(re.findall(r"[#*$%&|<>]", texts[r.doc_id])), len(lines) - len(set(lines)))
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and r.kept == (not r.base_failed) and r.p_good is None
     assert quality_rules.train(empty, labels) is None and quality_rules.quality(empty, None).count() == 0
 
 
+def test_quality_counts_of_odd_texts_labels_and_calibration(spark):
+    texts = ["a\na\n\nb\n \na", "# * $ % & | < > ## é\u2003x", "\r\n\x0b\x0c one one one one", "z" * 300_000, "line\n" * 2000]
+    rows = quality_rules.quality(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), None).collect()
+    for r in rows:
+        t = texts[r.doc_id]
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_symbols, r.n_dup_lines, r.word_chars) == (len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(re.sub(r"[\x20\x09-\x0D]", "", t)))
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    assert quality_rules.train(docs, labels.withColumn("quality", F.lit(1))) is None
+    # a document whose labels disagree counts as the lowest
+    good = labels.where("doc_id % 3 > 0")
+    twice = quality_rules.train(docs, good.union(good.withColumn("quality", F.lit(1))))
+    once = quality_rules.train(docs, good)
+    assert np.allclose(twice.weights, once.weights) and twice.bias == once.bias
+    # calibration on rows that training did not see: mean probability near the share of good ones
+    scored = quality_rules.quality(docs, once).join(labels.where("doc_id % 3 = 0"), "doc_id").agg(F.avg("p_good"), F.avg(F.col("quality").cast("double"))).first()
+    assert abs(scored[0] - scored[1]) < 0.1
+    kept = quality_rules.passing(docs.withColumn("n_words", F.lit(1)).withColumn("kept", F.lit("x")), once)
+    assert kept.columns[-2:] == ["n_words", "kept"] and {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_rules.quality(docs, once).where("kept").collect()}
+
+
 def brute_classes(rows):
     sets, count, where = {}, Counter(), defaultdict(list)
     for i, t in rows:
@@ -463,6 +515,40 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     assert np.array_equal(whole, ngram_join.word_hashes(raw)) and len(whole) == len(raw.split())
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ids with several texts, clashing extra columns and empty tables, stage by stage."""
+    r = random.Random(9)
+    prose = lambda k: " ".join(f"{r.choice('abcdefgh')}{r.randint(0, 400)}" for _ in range(k))
+    a, b, c = prose(80), prose(90), prose(100)
+    item = "Alice counts 12 green apples before the long winter and then sells 5 of them at the market"
+    rows = [(1, a, "s1"), (1, a, "s1"), (2, a + " end", "s1"), (None, b, None), (None, b + " end", "s2"), (None, c, "s2"), (3, None, "s1"), (4, "", "s1"), (5, prose(20_000), "s3"), (6, prose(70) + " " + item + " " + prose(70), "s1"), (7, prose(60) + " write to jane.doe@example.org now", "s2"), (7, prose(75), "s2"), (8, "too short", "s2")]
+    df = documents(spark, rows).withColumns({"taken": F.lit(9), "target": F.lit(9.0)})
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda x: sorted((v.doc_id for v in x.collect()), key=lambda i: (i is None, i or 0))
+    good = stage["quality_rules"](spark, df, folder)
+    assert good.columns == df.columns and ids(good) == [1, 1, 2, 5, 6, 7, 7, None, None, None]
+    one = stage["ngram_jaccard_join"](spark, good, folder)
+    # of 1, 1 and 2 the smallest id once; of the two like rows without an id one
+    assert one.columns == df.columns and ids(one) == [1, 5, 6, 7, 7, None, None]
+    clean = stage["benchmark_decontamination"](spark, one, folder)
+    assert clean.columns == df.columns and ids(clean) == [1, 5, 7, 7, None, None]
+    private = stage["pii"](spark, clean, folder)
+    assert private.columns == df.columns and ids(private) == ids(clean)
+    assert sum("[EMAIL]" in v.text for v in private.collect()) == 1 and all(v.n_chars == len(v.text) for v in private.collect())
+    mixed = stage["source_mixing"](spark, private, folder)
+    got = mixed.collect()
+    assert ids(mixed) == [1, 5, 7, 7, None, None] and all(0 < v.taken <= 3 * v["size"] for v in got)
+    for source in {v.source for v in got}:
+        some = [v for v in got if v.source == source]
+        assert some[0].source_size == sum(v["size"] for v in some) and abs(sum(v.taken for v in some) - some[0].target) < 1
+    empty = df.limit(0)
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, folder).count() == 0, name
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
