@@ -122,3 +122,168 @@ def test_library_does_not_need_the_llm_package():
             for node in ast.walk(ast.parse(f.read_text())):
                 names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
                 assert not any("llm" in n for n in names), f
+
+
+def test_ranks_without_one_sorting_task(spark):
+    import random
+
+    from lexloom.operators.prefix import ranked, tiled
+
+    r = random.Random(3)
+    rows = [(i, r.choice([None, 5.0, 5.0, 5.0, r.random() * 10, float(r.randint(0, 9))])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, v double")
+    for down in (False, True):
+        want = {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda x: (x[1] is None, (-x[1] if down else x[1]) if x[1] is not None else 0, x[0])), 1)}
+        got = {x.i: x.rk for x in ranked(df, "v", "i", "rk", down, parts=16, width=100).collect()}
+        assert got == want
+    n = spark.range(1, 24).select(F.col("id"), tiled(F.col("id"), F.lit(23), 5).alias("t")).groupBy("t").count().orderBy("t").collect()
+    assert [x["count"] for x in n] == [5, 5, 5, 4, 4]
+
+
+def test_similar_pairs_and_links_with_copies(spark):
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    base = [[r.choice(words) for _ in range(r.choice([1, 4, 6, 20, 50]))] for _ in range(15)]
+    rows = []
+    for i in range(120):
+        w = list(r.choice(base))
+        if r.random() < 0.6:
+            w[r.randrange(len(w))] = r.choice(words)
+        rows.append((i, " ".join(w)))
+    rows += [(200, ""), (201, None), (202, "...")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").replace(".", "").split())}
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    got = [tuple(x) for x in dedup.similar_pairs(docs, 0.7).collect()]
+    assert set(got) == want and len(got) == len(want)
+    named = lambda edges: {x.doc_id: x.component for x in dedup.components(docs.select("doc_id"), edges).collect()}
+    assert named(dedup.links(docs, 0.7)) == named(spark.createDataFrame([x[:2] for x in want], "a long, b long"))
+
+
+def test_codec_takes_the_lowest_rank_first(spark):
+    import random
+
+    r = random.Random(2)
+    counts = spark.createDataFrame([("".join(r.choice("abc é") for _ in range(r.randint(1, 30))), r.randint(1, 9)) for _ in range(60)], "chunk string, n long")
+    merges = bpe.train(counts, 300)
+    codec, rank = bpe.Codec(merges), {p: i for i, p in enumerate(merges)}
+    for _ in range(300):
+        text = "".join(r.choice("aabc é") for _ in range(r.randint(0, 25)))
+        ids = list(text.encode())
+        while len(ids) > 1 and (best := min(zip(ids, ids[1:], strict=False), key=lambda p: rank.get(p, 1 << 30))) in rank:
+            ids = merged(ids, best, 256 + rank[best])
+        assert codec.encode(text) == ids and codec.decode(ids) == text
+
+
+def test_next_fit_padding_and_resumed_loader(spark):
+    from lexloom.operators import training_rows as T
+
+    sizes = [5, 4, 3, 9, 1, 20, 2, 8, 8]
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, n long")
+    got = [(x.k, x.pack, x.start_at) for x in T.next_fit(df, "k", "n", 10).orderBy("k").collect()]
+    assert got == [(0, 0, 0), (1, 0, 5), (2, 1, 0), (3, 2, 0), (4, 2, 9), (6, 3, 0), (7, 3, 2), (8, 4, 0)]  # 20 is over the limit
+    turns = spark.createDataFrame([(1, 1, "user", "hé"), (1, 2, "assistant", "ok"), (1, 3, "user", None), (1, 4, "assistant", "bye"), (2, 1, "system", "")], "conv_id long, turn long, role string, text string")
+    rows = {m: {x.conv_id: (list(x.ids), list(x.labels)) for x in T.examples(turns, m).collect()} for m in T.MODES}
+    ids = [256, 104, 195, 169, 257, 111, 107, 259, 256, 257, 98, 121, 101, 259]
+    assert rows["correct"][1] == (ids, [-100] * 5 + [111, 107, 259] + [-100] * 2 + [98, 121, 101, 259]) and rows["correct"][2] == ([258], [-100])
+    assert rows["no_eos"][1][1] == [-100] * 5 + [111, 107, -100] + [-100] * 2 + [98, 121, 101, -100] and rows["no_mask"][1][1] == ids
+    assert rows["last_turn"][1][1] == [-100] * 10 + [98, 121, 101, 259]
+    assert T.examples(turns, generation_prompt=True).where("conv_id = 2").first()["ids"] == [258, 257]
+    padded = {x.conv_id: (list(x.ids), x.longest) for x in T.padded(T.examples(turns), "conv_id", 2).collect()}
+    assert padded[2] == ([258] + [0] * 13, 14)
+    docs = spark.range(100).withColumnRenamed("id", "doc_id")
+    a, b = T.Loader(docs, batch=8), T.Loader(docs.repartition(5), batch=8)
+    first = a.next(5)
+    b.load_state_dict(a.state_dict())
+    assert first.count() == 40 and T.first_difference(a.next(10), b.next(10)).first().differing == 0
+    assert T.first_difference(first, first.where("not (step = 3 and doc_id % 2 = 0)")).first().first_step == 3
+    with pytest.raises(ValueError):
+        b.load_state_dict({"seed": 1, "batch": 8, "epoch": 0, "step": 0})
+
+
+def test_markdown_links_anchors_fences_and_cells(spark):
+    from lexloom.operators import markdown as K
+
+    files = [
+        ("README.md", "# Top *level*\n\n[a](docs/a.md#part-one) [gone](docs/b.md) ![pic](no.png) [self](#top-level) [far](https://x.org/y)\n```\n[in code](nowhere.md)\n# not a heading\n```\n## Part\n## Part\n"),
+        ("docs/a.md", "# [Part](../README.md) one\n[up](../README.md#part-1) [bad](../README.md#part-2)"), ("docs/c.md", None),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {(x.path, x.target, x.problem) for x in K.broken_links(df).collect()}
+    assert got == {("README.md", "docs/b.md", "no such file"), ("docs/a.md", "../README.md#part-2", "no such anchor")}
+    assert [x.anchor for x in K.anchors(df).where("path = 'README.md'").orderBy("place").collect()] == ["top-level", "part", "part-1"]
+    f = spark.createDataFrame([("a\n```py\nb\n```\nc\n~~~\nd",)], "t string").select(K.fenced(F.col("t")).alias("f")).first().f
+    assert (f.inside, f.outside) == (["b", "d"], ["a", "c"])
+    c = spark.createDataFrame([("x\n# %%\na\nb\n# %% [markdown]\n# hi",)], "t string").select(K.cells(F.col("t")).alias("c")).first().c
+    assert [tuple(x) for x in c] == [("code", "a\nb\n"), ("markdown", "# hi\n")]
+
+
+def test_stage_outputs_and_readers(spark, tmp_path):
+    import gzip
+
+    from lexloom.sources.files import blob_name, read_binary, read_lines, read_warc
+    from lexloom.sources.stages import Stages
+
+    stages = Stages(spark, f"file://{tmp_path}/stages")
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "k long, v double")
+    stages.write("s", "1", df, v=F.sum("v"))
+    again = stages.write("s", "1", df.limit(0))  # complete: not written again
+    assert again.count() == 2 and {x.name: x.value for x in stages.statistics("s", "1").collect()} == {"n_rows": 2.0, "v": 2.0}
+    assert stages.write("s", "2", df.limit(0)).count() == 0 and stages.done("s", "2") and not stages.done("s", "3")
+    (tmp_path / "a.txt").write_bytes(b"one\ntwo\n")
+    assert sorted(x.line for x in read_lines(spark, f"file://{tmp_path}/a.txt").collect()) == ["one", "two"]
+    assert read_binary(spark, f"file://{tmp_path}/a.txt").first().git_name == "814f4a422927b82f5f8a43f8fab6d3839e3983f2"
+    assert spark.range(1).select(blob_name(F.lit(b"")).alias("n")).first().n == "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
+    record = lambda kind, body: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://a/{kind}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(record("warcinfo", b"")) + gzip.compress(record("response", b"HTTP/1.1 200 OK\r\n\r\nWARC/ in text")))
+    got = [(x.type, x.uri, x.length, bytes(x.block)) for x in read_warc(spark, f"file://{tmp_path}/x.warc.gz").collect()]
+    assert got == [("warcinfo", "http://a/warcinfo", 0, b""), ("response", "http://a/response", 32, b"HTTP/1.1 200 OK\r\n\r\nWARC/ in text")]
+
+
+def test_votes_rewards_and_health(spark):
+    from lexloom.operators import evaluation as E
+    from lexloom.operators import rewards as R
+    from lexloom.operators import voting as V
+
+    s = spark.createDataFrame([(1, 1, 3, 0.1, 0), (1, 2, 2, 0.9, 1), (1, 3, 2, 0.9, 0), (1, 4, 3, 0.2, 1), (2, 1, None, 0.5, 1)], "g long, i long, a long, score double, ok int")
+    assert {(x.g, x.a, x.n) for x in V.majority_vote(s, "g", "a").collect()} == {(1, 2, 2)}  # ties to the smallest answer, nulls do not vote
+    assert {(x.g, x.a) for x in V.majority_vote(s, "g", "a", "i").collect()} == {(1, 3)}  # or to the one seen first
+    assert V.best_of_n(s, "g", "i", "score", 4).where("g = 1").first().i == 2
+    curve = {x.n: (x.acc, x.oracle) for x in V.best_of_n_curve(s.where("g = 1"), "g", "i", "ok", "score", [1, 2]).collect()}
+    assert curve == {1: (0.0, 0.0), 2: (1.0, 1.0)}
+    adv = {(x.g, x.i): x.adv for x in R.rloo(s, "g", "score").collect()}
+    assert adv[2, 1] is None and abs(adv[1, 1] - (0.1 - 2.0 / 3)) < 1e-9
+    t = spark.createDataFrame([(1, k, float(k)) for k in range(1, 6)], "g long, t long, r double")
+    gae, want = {x.t: x.adv for x in R.gae(t, "g", "t", "r", "r").collect()}, 0.0
+    for k in range(5, 0, -1):
+        want = k + 0.99 * (k + 1 if k < 5 else 0) - k + 0.99 * 0.95 * want
+        assert abs(gae[k] - want) < 1e-9
+    tokens = spark.createDataFrame([([0, 1, 5],), ([1, 1, 5],), ([3, 1],), ([],)], "x array<long>")
+    parts = R.token_score(F.col("x"), F.lit(3), think_bonus=0.5)
+    assert [tuple(x) for x in tokens.select(*parts.values()).collect()] == [(1.0, 1.0, 0.5, 0.0), (0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0)]
+    rows = [(k, 0, 1.0, 1.0, 1.0, 0, 7) for k in range(10)] + [(k, 1, 1.0, 1.0, 1.0, 0, 7) for k in range(10)]
+    rows[3], rows[4], rows[5] = (3, 0, float("nan"), 1.0, 1.0, 0, 7), (4, 0, 5.0, 50.0, 1.0, 0, 7), (5, 0, 1.0, 1.0, 9.0, 0, 8)
+    log = spark.createDataFrame(rows, "step long, rank long, loss double, grad_norm double, seconds double, last_saved long, param_hash long")
+    got = {x.step: {k for k, v in x.asDict().items() if v is True} for x in E.health_alerts(log, stale=8).collect()}
+    assert got[3] == {"non_finite"} and got[4] == {"spike", "explosion"} and got[5] == {"slow", "diverged"} and got[9] == {"stale"} and not got[2]
+
+
+def test_nearest_blocks_equal_brute_force(spark):
+    import numpy as np
+
+    from lexloom.operators.neighbours import nearest
+
+    r = np.random.default_rng(4)
+    x = r.integers(-3, 4, (60, 5)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    got = {(row.a, row.b) for row in nearest(df, df.where("k % 7 = 0"), "k", "v", 3, block=4).collect()}
+    want = {(a, b) for a in range(0, 60, 7) for b in sorted((b for b in range(60) if b != a), key=lambda b: (-round(x[a] @ x[b], 6), b))[:3]}
+    assert got == want
+
+
+def test_streams_filter_and_alert(spark):
+    names = ("contamination_stream", "clean_documents_stream")
+    bad, good = ({x.doc_id for x in catalogue.queries()[n](spark, "/root/testdata/sf0.001").collect()} for n in names)
+    assert bad and not bad & good and len(bad | good) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()

@@ -1,6 +1,4 @@
-"""Each reference query against DuckDB on the small tables: every fourth by default, all with LEXLOOM_ALL=1."""
-
-import os
+"""Each reference query against DuckDB on the small tables."""
 
 import duckdb
 import pytest
@@ -10,7 +8,7 @@ from lexloom.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
-NAMES = sorted(ORACLES) if os.environ.get("LEXLOOM_ALL") else sorted(ORACLES)[::4]
+NAMES = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")
