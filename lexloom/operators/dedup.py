@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import held, md5_bucket, shingles, words
-from lexloom.operators.shared import freed, written
+from lexloom.operators.shared import freed, small, written
 
 MERSENNE = (1 << 61) - 1
 EMPTY_HASH = 0xFFFFFFFF
@@ -131,3 +131,51 @@ def keep_best(members: DataFrame, score: str) -> DataFrame:
     return members.groupBy("component").agg(F.max_by("doc_id", F.struct(F.col(score), -F.col("doc_id"))).alias("doc_id"))
 
 
+
+
+def keep_first_units(docs: DataFrame, mark: str, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text, n_removed: of units between `mark`s (trimmed, longer than `least` characters) that the corpus repeats, only the first in the order of key and place stays.
+
+    First places are combined before the shuffle, and only repeated units, 16 bytes each, are joined back. Texts
+    are put together again with the mark; shorter units stay.
+    """
+    u = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), mark)).alias("pos", "unit")).withColumn("t", F.trim("unit"))
+    u = u.withColumns({"h": F.when(F.length("t") > least, F.xxhash64("t")), "g": F.xxhash64(F.lit(1), "t")})
+    again = u.where("h is not null").groupBy("h", "g").agg(F.min(F.struct(key, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    marked = u.join(small(written(again.select("h", "g", "first"))), ["h", "g"], "left")
+    gone = F.coalesce(F.struct(key, "pos") != F.col("first"), F.lit(False))
+    kept = marked.groupBy(key).agg(F.array_sort(F.collect_list(F.when(~gone, F.struct("pos", "unit")))).alias("x"), F.count_if(gone).alias("n_removed"))
+    return kept.select(key, F.array_join(F.transform("x", lambda v: v["unit"]), mark.replace("[.]", ".")).alias(text), "n_removed")
+
+
+def mask_repeated_windows(docs: DataFrame, n: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, words, n_removed: a text's words without those in a window of n words that came before in the corpus (in the order of key and place). Windows are two 64-bit hashes; only repeated ones are joined back."""
+    w = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    pair = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(F.xxhash64(F.slice("w", i, F.lit(n))).alias("h"), F.xxhash64(F.lit(n), F.slice("w", i, F.lit(n))).alias("g"), i.alias("i")))
+    each = held(docs.select(key, text), "w", words(F.col(text))).where(F.size("w") >= n).select(key, F.inline(pair))
+    again = each.groupBy("h", "g").agg(F.min(F.struct(key, "i")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    bad = each.join(small(written(again.select("h", "g", "first"))), ["h", "g"]).where(F.struct(key, "i") != F.col("first"))
+    spans = bad.groupBy(key).agg(F.collect_set("i").alias("starts"))
+    out = w.join(spans, key, "left")
+    # a word goes if a window that starts at it or up to n - 1 words before is bad
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (n - 1)))))
+    out = held(out, "gone", F.coalesce(covered, F.array().cast("array<int>")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("w")), F.col("gone")), lambda i: F.element_at("w", i))
+    kept = F.when(F.size("w") > 0, kept).otherwise(F.array().cast("array<string>"))
+    return out.select(key, kept.alias("words"), F.size("gone").cast("long").alias("n_removed"))
+
+
+def hamming_pairs(hashes: DataFrame, key: str, h: str, bits: int, most: int) -> DataFrame:
+    """(a, b, distance), a < b: hashes that differ in at most `most` bits. By the pigeonhole principle such a pair agrees in one of most + 1 slices; equal hashes are one row each until the end."""
+    one = hashes.groupBy(h).agg(F.min(key).alias("node"))
+    width = -(-bits // (most + 1))
+    pieces = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(F.col(h), i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(most + 1)])
+    keyed = one.select("node", h, F.inline(pieces))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    met = x.join(y, F.expr(f"x.i = y.i and x.v = y.v and x.{h} < y.{h}")).select(F.col(f"x.{h}").alias("p"), F.col(f"y.{h}").alias("q")).distinct()
+    near = met.withColumn("distance", F.bit_count(F.col("p").bitwiseXOR(F.col("q")))).where(F.col("distance") <= most)
+    own = one.select(F.col(h).alias("p"), F.col(h).alias("q"), F.lit(0).alias("distance"))
+    a, b = hashes.select(F.col(h).alias("p"), F.col(key).alias("ka")), hashes.select(F.col(h).alias("q"), F.col(key).alias("kb"))
+    pairs = near.union(own).join(a, "p").join(b, "q")
+    out = pairs.where((F.col("p") != F.col("q")) | (F.col("ka") < F.col("kb")))
+    return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.col("distance").cast("long").alias("distance"))

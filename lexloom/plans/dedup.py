@@ -145,17 +145,68 @@ both("line_dedup_shared", (_LINES + "select line, n from c").format(t=_LINE["duc
 _REBUILD = "select doc_id, md5({agg}) kept_md5, count(*) n_lines from l left join c on l.line = c.line where c.line is null group by doc_id"
 both("line_dedup", (_LINES + _REBUILD.format(agg="string_agg(l.line, chr(10) order by pos)")).format(t=_LINE["duck"]), (_LINES + _REBUILD.format(agg="listagg(l.line, '\\n') within group (order by pos)")).format(t=_LINE["spark"]))
 _SENT = {"spark": r"(select doc_id, BIG(pos) pos, trim(col) s from (select doc_id, posexplode(split(text, '[.]')) from documents))", "duck": "(select doc_id, BIG(unnest(range(0, len(string_split(text, '.'))))) pos, trim(unnest(string_split(text, '.'))) s from documents)"}
-_FIRST = "with l as {t}, r as (select doc_id, pos, row_number() over (partition by s order by doc_id, pos) rn from l where length(s) > 20) select doc_id, COUNT_IF(rn = 1) kept, COUNT_IF(rn > 1) repeated from r group by doc_id"
-both("sentence_dedup", _FIRST.format(t=_SENT["duck"]), _FIRST.format(t=_SENT["spark"]))
-_PARA = {"spark": "(select doc_id, BIG(pos) pos, col s from (select doc_id, posexplode(LINES(text)) from documents))", "duck": _LINE["duck"].replace(" line from", " s from")}
-both("paragraph_dedup", _FIRST.format(t=_PARA["duck"]), _FIRST.format(t=_PARA["spark"]))
+# the first occurrence of a sentence or paragraph stays; texts are put together again
+
+
+def _units(mark, joiner):
+    def query(spark, d):
+        return D.keep_first_units(docs(spark, d), mark).select("doc_id", F.md5("text").alias("text_md5"), "n_removed")
+
+    sql = f"with u as (select doc_id, generate_subscripts(string_split(coalesce(text, ''), {joiner}), 1) pos, unnest(string_split(coalesce(text, ''), {joiner})) unit from documents), r as (select *, length(trim(unit)) > 20 and row_number() over (partition by trim(unit) order by doc_id, pos) > 1 gone from u) select doc_id, md5(coalesce(string_agg(unit, {joiner} order by pos) filter (where not gone), '')) text_md5, count(*) filter (where gone) n_removed from r group by doc_id"
+    return query, sql
+
+
+add("sentence_dedup", *_units("[.]", "'.'"))
+add("paragraph_dedup", *_units("\n", "chr(10)"))
 _WIN = {
     "spark": "(select doc_id, i, md5(array_join(slice(w, i, 20), ' ')) h from (select doc_id, w, explode(sequence(1, size(w) - 19)) i from (select doc_id, WORDS(text) w from documents) where size(w) >= 20))",
     "duck": "(select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) h from (select doc_id, w, unnest(range(1, len(w) - 18)) i from (select doc_id, WORDS(text) w from documents)))",
 }
 _RW = "with x as {t}, c as (select h, count(*) n, min(doc_id) first_doc from x group by h having count(*) > 1) select h, n, first_doc from c"
 both("repeated_windows", _RW.format(t=_WIN["duck"]), _RW.format(t=_WIN["spark"]))
-_RD = "with x as {t}, r as (select doc_id, row_number() over (partition by h order by doc_id, i) rn from x) select doc_id, COUNT_IF(rn > 1) n_repeats, count(*) n_windows from r group by doc_id"
-both("repeated_window_docs", _RD.format(t=_WIN["duck"]), _RD.format(t=_WIN["spark"]))
+add("repeated_window_docs", lambda s, d: D.mask_repeated_windows(docs(s, d)).select("doc_id", F.md5(F.array_join("words", " ")).alias("kept_md5"), "n_removed"), "with w as materialized (select doc_id, WORDS(coalesce(text, '')) w from documents), x as (select doc_id, i, array_to_string(w[i:i + 19], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 18)) i from w)), r as (select doc_id, i, row_number() over (partition by g order by doc_id, i) rn from x), b as (select distinct doc_id, unnest(range(i, i + 20)) p from r where rn > 1), k as (select doc_id, unnest(w) e, generate_subscripts(w, 1) p from w), m as (select k.doc_id, string_agg(e, ' ' order by k.p) filter (where b.p is null) t, count(b.p) n from k left join b on b.doc_id = k.doc_id and b.p = k.p group by 1) select w.doc_id, md5(coalesce(t, '')) kept_md5, coalesce(n, 0)::bigint n_removed from w left join m on m.doc_id = w.doc_id")
 _SIM = "with w as (select doc_id, EACH(WORDS(text)) w from documents), h as (select doc_id, H32(w) h from w) select doc_id, " + " + ".join(f"case when sum(case when {{t{b}}} then 1 else -1 end) > 0 then {1 << b} else 0 end" for b in range(16)) + " simhash from h group by doc_id"
 both("simhash16", ("select doc_id, BIG(simhash) simhash from (" + _SIM + ") s").format(**{f"t{b}": f"(h >> {b}) & 1 = 1" for b in range(16)}), ("select doc_id, BIG(simhash) simhash from (" + _SIM + ") s").format(**{f"t{b}": f"getbit(h, {b}) = 1" for b in range(16)}))
+add(
+    "simhash_pairs", lambda s, d: D.hamming_pairs(QUERIES["simhash16"](s, d), "doc_id", "simhash", 16, 1),
+    ("with sh as (select doc_id, BIG(simhash) simhash from (" + _SIM + ") s)").format(**{f"t{b}": f"(h >> {b}) & 1 = 1" for b in range(16)}) + " select x.doc_id a, y.doc_id b, bit_count(xor(x.simhash, y.simhash))::bigint distance from sh x join sh y on x.doc_id < y.doc_id and bit_count(xor(x.simhash, y.simhash)) <= 1",
+)
+# permutations in the numbers that are used at scale
+WIDE = D.permutations(128)
+CONFIGS = ((32, 4), (16, 8), (8, 16))
+
+
+def _error_wide(spark, d):
+    """Mean error of the estimate by k next to its theory, sqrt(j (1 - j) / k), over the exact pairs."""
+    sig = D.written(D.signatures(docs(spark, d), WIDE))
+    pairs = D.written(D.similar_pairs(docs(spark, d), 0.7))
+    side = lambda k: sig.select(F.col("doc_id").alias(k), F.col("sig").alias("s" + k))
+    j = pairs.join(side("a"), "a").join(side("b"), "b").select((F.col("inter") / F.col("uni")).alias("j"), F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")).alias("same"), F.explode(F.array(*map(F.lit, (32, 64, 128)))).alias("k"))
+    hit = F.aggregate(F.slice("same", F.lit(1), F.col("k")), F.lit(0), lambda s, x: s + x) / F.col("k")
+    return j.groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(hit - F.col("j"))), 6).alias("mean_abs_err"), F.round(F.avg(F.sqrt(F.col("j") * (1 - F.col("j")) / F.col("k"))), 6).alias("theory"))
+
+
+_WIDE = f"{_sig_sql(WIDE)}, c as (select doc_id, count(*) n from sh group by 1), i as (select x.doc_id a, y.doc_id b, count(*) inter from sh x join sh y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2), pairs as materialized (select a, b, inter, p.n + q.n - inter uni from i join c p on p.doc_id = a join c q on q.doc_id = b where inter >= 0.7 * (p.n + q.n - inter))"
+add("minhash_error_wide", _error_wide, f"with {_WIDE}, k as (select unnest([32, 64, 128])::bigint k), s as (select k, a, b, inter / uni::double j, count(*) filter (where u.h = v.h) same from pairs join sig u on u.doc_id = a join sig v on v.doc_id = b and u.i = v.i join k on u.i < k group by all) select k, count(*) n, round(avg(abs(same / k::double - j)), 6) mean_abs_err, round(avg(sqrt(j * (1 - j) / k)), 6) theory from s group by 1")
+
+
+def _lsh_wide(spark, d):
+    """Candidates of three configurations of 128 permutations, verified against the exact pairs, and the candidates a document has to compare."""
+    sig = D.written(D.signatures(docs(spark, d), WIDE))
+    truth = D.written(D.similar_pairs(docs(spark, d), 0.7).select("a", "b")).withColumn("t", F.lit(1))
+    n, out = sig.count(), None
+    for bands, rows in CONFIGS:
+        m = D.lsh_candidates(sig, bands, rows).withColumn("c", F.lit(1)).join(truth, ["a", "b"], "full_outer")
+        row = m.agg(F.lit(bands).cast("long").alias("bands"), F.count("c").alias("candidates"), F.count("t").alias("truth"), F.count(F.col("c") + F.col("t")).alias("hits"))
+        out = row if out is None else out.union(row)
+    share = lambda x: F.when(F.col(x) > 0, F.col("hits") / F.col(x)).otherwise(0.0)
+    return out.select("*", share("candidates").alias("precision"), share("truth").alias("recall"), (F.col("candidates") / F.lit(n)).alias("per_document"))
+
+
+add(
+    "lsh_wide", _lsh_wide,
+    f"with {_WIDE}, full_sig as materialized (select doc_id, p.i i, coalesce(h, 4294967295) h from documents cross join {_perm_sql(WIDE)} left join sig using (doc_id, i)), cfg as (select unnest([8, 16, 32])::bigint bands), "
+    "band as (select bands, doc_id, i // (128 // bands) band, string_agg(h::varchar, ',' order by i) key from full_sig cross join cfg group by 1, 2, 3), cand as materialized (select distinct x.bands, x.doc_id a, y.doc_id b from band x join band y on x.bands = y.bands and x.band = y.band and x.key = y.key and x.doc_id < y.doc_id), "
+    "m as (select cfg.bands, (select count(*) from cand where cand.bands = cfg.bands) candidates, (select count(*) from pairs) truth, (select count(*) from cand join pairs using (a, b) where cand.bands = cfg.bands) hits from cfg) "
+    "select bands, candidates, truth, hits, case when candidates > 0 then hits::double / candidates else 0 end \"precision\", case when truth > 0 then hits::double / truth else 0 end recall, candidates::double / (select count(*) from documents) per_document from m",
+)
