@@ -106,8 +106,8 @@ def freed(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Ids (8 to 16 bytes each) that are broadcast at most; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids (about 100 bytes each in a hash table) that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def narrowed(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:

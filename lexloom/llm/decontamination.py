@@ -10,9 +10,12 @@ copy in other case, whose names are no <name> or whose words all are, is caught
 An item of fewer than n tokens but `min_literal` or more is one case-folded window of
 its own length; documents are hashed at such lengths only if the benchmark has them.
 
-The corpus is read twice: once for hashes (an 8-byte hash and a position for each
-window, met in the scan's own stage by the broadcast hashes of the benchmark, in
-blocks of at most `BLOCK_WINDOWS`), and once for the documents that had a hit.
+The corpus is read twice. A window of n tokens holds, whatever its place, a run of
+`GRAM` tokens at one of every n - GRAM + 1 places, so the first pass hashes only the
+runs at these places (8 bytes and a position each, met in the scan's own stage by the
+broadcast hashes of all runs in the benchmark's windows, in blocks of at most
+`BLOCK_WINDOWS`). The second reads the documents that had a hit, cuts the windows
+around it, and joins them by the hash of the whole window.
 
 Defined results: null and empty texts, and benchmark items of fewer than
 `min_literal` tokens (every document would have them), match nothing; each input row gives one output row, repeated rows alike;
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import narrowed, written
 
-WINDOW, MIN_LITERAL = 10, 5
+WINDOW, MIN_LITERAL, GRAM = 10, 5, 5
 #: Windows of the benchmark that one pass over the corpus broadcasts (24 bytes each).
 BLOCK_WINDOWS = 1_000_000
 #: Windows of the benchmark, tokens included (some 300 bytes each), that are broadcast at most.
@@ -56,10 +59,13 @@ def kind(token: Column) -> Column:
     return F.when(token == low, plain).otherwise(F.when(number, F.lit("<num>")).when(name, F.lit("<name>")).when(low.isin(UNITS), F.lit("<unit>")).otherwise(low))
 
 
+def token_list(text: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
 def tokens(df: DataFrame, text: str) -> DataFrame:
     """+ w: tokens, c: template tokens."""
-    w = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
-    return held(held(df, "w", w), "c", F.transform("w", kind))
+    return held(held(df, "w", token_list(text)), "c", F.transform("w", kind))
 
 
 def starts(n: int) -> Column:
@@ -75,15 +81,19 @@ def numbers(words: Column | str) -> Column:
     return F.transform(words, lambda t: F.xxhash64(t))
 
 
-def windows(n: int, short: list[int]) -> Column:
-    """x: (at, size, h, f) of each window, hashes of its template tokens (numbers in nc) and of its case-folded tokens (in nl); windows of the sizes in `short` have the second alone."""
+def hashed(run: Column) -> Column:
+    return F.xxhash64(numbers(run))
+
 
-    def of(size: int, first: str) -> Column:
-        hashed = lambda c, i: F.xxhash64(F.slice(c, i, F.lit(size)))
-        return F.transform(starts(size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), hashed(first, i).alias("h"), hashed("nl", i).alias("f")))
+def runs(n: int, gram: int, short: list[int]) -> Column:
+    """x: (at, size, whole, h), hashes of the runs of template tokens (numbers in nc) and of case-folded ones (nl) at every (n - gram + 1)th place, and of whole case-folded windows of the sizes in `short`."""
 
-    whole = [of(n, "nc"), *(of(m, "nl") for m in short)]
-    return F.explode(F.concat(*whole) if short else whole[0]).alias("x")
+    def of(c: str, size: int, step: int, whole: bool) -> Column:
+        at = F.when(F.size("nc") >= size, F.sequence(F.lit(1), F.size("nc") - (size - 1), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.lit(whole).alias("whole"), F.xxhash64(F.slice(c, i, F.lit(size))).alias("h")))
+
+    step = n - gram + 1
+    return F.explode(F.concat(of("nc", gram, step, False), of("nl", gram, step, False), *(of("nl", m, 1, True) for m in short))).alias("x")
 
 
 def literal(window: Column) -> Column:
@@ -95,26 +105,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_literal:
     all_ = tokens(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t")), "t")
     items = all_.select("item", F.explode(F.transform(starts(n), lambda i: F.struct(F.slice("w", i, F.lit(n)).alias("bw"), F.slice("c", i, F.lit(n)).alias("bc")))).alias("x"))
     items = items.select("item", "x.bw", "x.bc")
-    framed = items.where(literal(F.col("bc")) >= min_literal).select("*", F.xxhash64(numbers("bc")).alias("h"), F.lit(False).alias("as_folded"))
+    framed = items.where(literal(F.col("bc")) >= min_literal).select("*", hashed(F.col("bc")).alias("h"), F.lit(False).alias("as_folded"))
     whole = all_.where((F.size("w") >= min_literal) & (F.size("w") < n)).select("item", F.col("w").alias("bw"), F.col("c").alias("bc"))
-    items = framed.union(items.union(whole).select("*", F.xxhash64(numbers(folded("bw"))).alias("h"), F.lit(True))).distinct()
+    items = framed.union(items.union(whole).select("*", hashed(folded("bw")).alias("h"), F.lit(True))).distinct()
     items = written(items, "decontamination-windows")
+    gram = min(GRAM, n)
     short = sorted(r[0] for r in items.where(F.size("bw") < n).select(F.size("bw")).distinct().collect())  # n - min_literal sizes at most
+    inside = F.transform(F.sequence(F.lit(1), F.lit(n - gram + 1)), lambda i: hashed(F.slice("t", i, F.lit(gram))))
+    parts = items.withColumn("t", F.when(F.col("as_folded"), folded("bw")).otherwise(F.col("bc"))).select(F.explode(F.when(F.size("bw") < n, F.array("h")).otherwise(inside)).alias("h"))
+    parts = written(parts.distinct(), "decontamination-runs")
     n_items = items.count()
-    blocks = max(1, -(-n_items // BLOCK_WINDOWS))
+    blocks = max(1, -(-parts.count() // BLOCK_WINDOWS))
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("t"))
-    both = F.when(F.col("x.h") == F.col("x.f"), F.array("x.h")).otherwise(F.array("x.h", "x.f"))  # equal where no token is a placeholder
-    scanned = held(held(tokens(rows, "t"), "nc", numbers("c")), "nl", numbers(folded("w"))).select("row", windows(n, short)).select("row", "x.at", "x.size", F.explode(both).alias("h"))
+    words = held(rows.select("row", "t"), "w", token_list("t"))
+    scanned = held(held(words, "nc", F.transform("w", lambda t: F.xxhash64(kind(t)))), "nl", numbers(folded("w"))).select("row", runs(n, gram, short)).select("row", "x.at", "x.size", "x.whole", "x.h")
     hits = None
     for b in range(blocks):
-        part = items.where(F.pmod("h", F.lit(blocks)) == b).select("h").distinct()
+        part = parts.where(F.pmod("h", F.lit(blocks)) == b)
         found = scanned.join(F.broadcast(part), "h", "left_semi")
         hits = found if hits is None else hits.union(found)
-    hits = written(written(hits, "decontamination-hits").groupBy("row").agg(F.collect_set(F.struct("at", "size", "h")).alias("x")), "decontamination-hits")
+    hits = written(written(hits, "decontamination-hits").groupBy("row").agg(F.collect_set(F.struct("at", "size", "whole")).alias("x")), "decontamination-hits")
     again = tokens(narrowed(rows, hits.select("row"), "row").dropDuplicates(["row"]).join(hits, "row"), "t")
+    last = F.size("c") - (n - 1)
+
+    def around(x: Column) -> Column:
+        lo, hi = F.greatest(F.lit(1), x["at"] - (n - gram)), F.least(x["at"], last)
+        wide = F.when(hi >= lo, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"))))
+        return F.when(x["whole"], F.array(F.struct(x["at"].alias("at"), x["size"].alias("size")))).otherwise(F.coalesce(wide, F.array().cast("array<struct<at:int,size:int>>")))
+
+    places = F.array_distinct(F.flatten(F.transform("x", around)))
     # windows are cut before they become rows: an explode copies what is selected beside it
-    cut = lambda x: F.struct(x["h"].alias("h"), F.slice("w", x["at"], x["size"]).alias("dw"), F.slice("c", x["at"], x["size"]).alias("dc"))
-    seen = again.select("row", F.explode(F.transform("x", cut)).alias("y")).select("row", "y.h", "y.dw", "y.dc")
+    cut = lambda x: F.struct(F.slice("w", x["at"], x["size"]).alias("dw"), F.slice("c", x["at"], x["size"]).alias("dc"))
+    seen = again.select("row", F.explode(F.transform(places, cut)).alias("y")).select("row", "y.dw", "y.dc")
+    seen = seen.select("row", "dw", "dc", F.explode(F.array_distinct(F.array(hashed(F.col("dc")), hashed(folded("dw"))))).alias("h"))
     # a passage that very many documents hold is one key: broadcast items need no group of it
     met = seen.join(F.broadcast(items) if n_items <= BROADCAST_ITEMS else items, "h").where(F.when(F.col("as_folded"), folded("bw") == folded("dw")).otherwise(F.col("bc") == F.col("dc")))
     slot = lambda i: F.struct(F.element_at("bc", i).alias("k"), F.lower(F.element_at("bw", i)).alias("b"), F.lower(F.element_at("dw", i)).alias("d"))
