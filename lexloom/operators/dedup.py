@@ -50,7 +50,7 @@ def lsh_candidates(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, s, n): the sorted distinct 64-bit hashes of a document's shingles; texts without words are left out."""
-    w = held(docs.select("doc_id", "text"), "w", words(F.col("text"))).where("size(w) > 0")
+    w = held(docs.select("doc_id", "text"), "w", F.transform(words(F.col("text")), lambda x: F.xxhash64(x))).where("size(w) > 0")
     several = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, F.lit(n))))
     hashed = F.when(F.size("w") >= n, several).otherwise(F.array(F.xxhash64("w")))
     return held(w.select("doc_id", "w"), "s", F.array_sort(F.array_distinct(hashed))).select("doc_id", "s", F.size("s").alias("n"))
@@ -58,7 +58,7 @@ def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
 
 def nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, s, n): one row for each set, named by its smallest document; and (node, doc_id) for all documents. Copies meet here, combined before the shuffle, and never in a join of pairs."""
-    keyed = sets.withColumns({"k1": F.xxhash64("s"), "k2": F.xxhash64("n", "s")})
+    keyed = written(sets.withColumns({"k1": F.xxhash64("s"), "k2": F.xxhash64("n", "s")}))
     of = written(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("s").alias("s"), F.first("n").alias("n")))
     return of.select("node", "s", "n"), keyed.select("doc_id", "k1", "k2").join(of.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "doc_id")
 

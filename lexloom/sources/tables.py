@@ -7,7 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
+#: Tables of long texts, whose rows cost enough to be dealt to all cores.
+TEXTS = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly where a scan has fewer splits than the session has cores: a file of one row group is one task's,
+    however many cores there are. Tables of more splits, as all large ones are, stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
