@@ -7,14 +7,12 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.sources.tables import table  # noqa: F401 (the queries and the pipeline read by it)
+
 #: The five ASCII control spaces and the blank; `bytes.split()` splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
     """Arrow map: `fn` gets the columns of a batch as Python lists and returns columns by name.
 
