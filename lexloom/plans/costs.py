@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import costs as K
 from lexloom.operators import serving as V
 from lexloom.operators.prefix import ranked
 from lexloom.plans.dialect import Plans
@@ -14,13 +15,32 @@ P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
 both, add = P.both, P.add
 
+LINKS = [("nvlink", 450.0, 2.0, 1.0), ("ib", 40.0, 5.0, 1.0), ("eth", 10.0, 15.0, 1.0), ("eth_over", 40.0, 15.0, 4.0)]
+
+
+def given(spark, rows, schema, **lists):
+    """Inline configurations, each with every value of the lists."""
+    df = spark.createDataFrame(rows, schema)
+    for name, values in lists.items():
+        df = df.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return df
+
+
+def links(spark, **lists):
+    return given(spark, LINKS, "link string, gbps double, lat_us double, over double", **lists)
+
+
+def over_link(f, *first):
+    return F.round(f(*first, F.col("gbps"), F.col("lat_us"), F.col("over")), 6)
+
+
 M = "m as (select * from (values ('small', 32, 4096e0, 32, 8, 128, 14336e0, 128256e0, 0, 0), ('large', 80, 8192e0, 64, 8, 128, 28672e0, 128256e0, 0, 0), ('moe', 61, 7168e0, 128, 128, 128, 2048e0, 129280e0, 256, 8)) v(model, layers, hidden, heads, kv, hd, ffn, vocab, experts, top_k))"
 _PAR = f"with {M}, p as (select *, layers * (2 * hidden * heads * hd + 2 * hidden * kv * hd) attention, layers * 3 * hidden * ffn expert, 2 * vocab * hidden embedding from m) "
 both("model_parameters", _PAR + "select model, attention, expert, embedding, attention + embedding + expert * greatest(1, experts) total, attention + embedding + expert * greatest(1, top_k) active from p")
 both("kv_bytes", f"with {M} select model, scheme, layers * 2.0e0 * case scheme when 'mha' then heads when 'gqa' then kv when 'mqa' then 1 else 0 end * hd * 2 + case scheme when 'mla' then layers * 576 * 2.0e0 else 0 end bytes_per_token from m cross join (values ('mha'), ('gqa'), ('mqa'), ('mla')) s(scheme)")
 both("kv_context_fit", f"with {M} select model, ctx, layers * 2.0e0 * kv * hd * 2 * ctx bytes, BIG(floor(40e9 / (layers * 2.0e0 * kv * hd * 2 * ctx))) sequences from m cross join (values (8192), (131072)) c(ctx)")
 both("cache_prediction", "select layers, heads, hd, t, BIG(2) * layers * heads * hd * t * 2 bytes from (values (2, 4, 16, 64), (80, 8, 128, 4096)) v(layers, heads, hd, t)")
-both("static_memory", "select name, params, bpp, R6(params * bpp / pow(2, 30)) gb from (values ('bf16_adam', 18e0), ('fp32_adam', 16e0), ('fp8_mix', 13e0), ('inference', 2e0)) v(name, bpp) cross join (values (7e9), (70e9)) p(params)")
+add("static_memory", lambda s, d: given(s, [("bf16_adam", 18.0), ("fp32_adam", 16.0), ("fp8_mix", 13.0), ("inference", 2.0)], "name string, bpp double", params=[7e9, 70e9]).select("name", "params", "bpp", F.round(K.static_memory_gb(F.col("params"), F.col("bpp")), 6).alias("gb")), "select name, params, bpp, R6(params * bpp / pow(2, 30)) gb from (values ('bf16_adam', 18e0), ('fp32_adam', 16e0), ('fp8_mix', 13e0), ('inference', 2e0)) v(name, bpp) cross join (values (7e9), (70e9)) p(params)")
 both("activation_memory", "select recompute, flash, R6(layers * hidden * seq * batch * 2 * case recompute when 'none' then 16 when 'selective' then 5 else 1 end / pow(2, 30) + case when flash then 0 else layers * heads * seq * seq * batch * 2 / pow(2, 30) end) gb from (values (80e0, 8192e0, 4096e0, 64e0, 1e0)) v(layers, hidden, seq, heads, batch) cross join (values ('none'), ('selective'), ('full')) r(recompute) cross join (values (true), (false)) f(flash)")
 _GRID = """g as (select tp, pp, dp, zero from (values (1), (2), (4), (8)) a(tp) cross join (values (1), (2), (4), (8)) b(pp) cross join (values (8), (16), (32), (64), (128)) c(dp) cross join (values (0), (1), (3)) z(zero) where tp * pp * dp = 512),
 mem as (select *, 70e9 / (tp * pp) shard, 70e9 / (tp * pp) * (2 / case when zero >= 3 then dp else 1 end + 2 / case when zero >= 2 then dp else 1 end + 12.0e0 / case when zero >= 1 then dp else 1 end) static_bytes, IDIV(80, pp) * 8192e0 * 4096 * 5 * 2 / tp * least(pp, 4) act from g),
@@ -29,11 +49,11 @@ both("per_gpu_memory", f"with {_GRID} select tp, pp, dp, zero, R6(static_bytes /
 both("step_time", f"with {_GRID} select tp, pp, dp, zero, R6(step_s) step_s, R6(6 * 70e9 * 4e6 / (512 * 9.89e14) / step_s) mfu from t")
 both("parallel_search", f"with {_GRID}, r as (select tp, pp, dp, zero, R6(step_s) step_s, row_number() over (order by R6(step_s), tp * pp, zero, tp) rn from t where total_bytes < 80e9) select rn, tp, pp, dp, zero, step_s from r where rn <= 8".replace("select rn,", "select BIG(rn) rn,"))
 _LINK = "l as (select * from (values ('nvlink', 450e0, 2e0, 1e0), ('ib', 40e0, 5e0, 1e0), ('eth', 10e0, 15e0, 1e0), ('eth_over', 40e0, 15e0, 4e0)) v(link, gbps, lat_us, over))"
-both("link_time", f"with {_LINK} select link, bytes, gbps / over effective_gbps, R6(bytes / (gbps / over * 1e9) + lat_us / 1e6) t from l cross join (values (1e6), (1e9)) b(bytes)")
+add("link_time", lambda s, d: links(s, bytes=[1e6, 1e9]).select("link", "bytes", (F.col("gbps") / F.col("over")).alias("effective_gbps"), over_link(K.link_seconds, F.col("bytes")).alias("t")), f"with {_LINK} select link, bytes, gbps / over effective_gbps, R6(bytes / (gbps / over * 1e9) + lat_us / 1e6) t from l cross join (values (1e6), (1e9)) b(bytes)")
 _RING = f"with {_LINK}, n as (select * from (values (8), (64), (1024)) v(ranks)), r as (select link, ranks, 2 * (ranks - 1) / DBL(ranks) * 140e9 / (gbps / over * 1e9) + 2 * (ranks - 1) * lat_us / 1e6 t from l cross join n) "
-both("ring_allreduce", _RING + "select link, ranks, R6(t) t from r")
+add("ring_allreduce", lambda s, d: links(s, ranks=[8, 64, 1024]).select("link", "ranks", over_link(K.ring_allreduce, 140e9, F.col("ranks")).alias("t")), _RING + "select link, ranks, R6(t) t from r")
 both("hierarchical_allreduce", f"with {_LINK} select link, ranks, R6(2 * 7 / 8e0 * 140e9 / 450e9 + 2 * (ranks / 8e0 - 1) / (ranks / 8e0) * 140e9 / 8 / (gbps / over * 1e9) + 2 * (ranks / 8e0 - 1) * lat_us / 1e6) t from l cross join (values (64), (1024)) v(ranks)")
-both("all_to_all", f"with {_LINK} select link, ranks, R6((ranks - 1) / DBL(ranks) * 1e8 / (gbps / over * 1e9) + (ranks - 1) * lat_us / 1e6) t from l cross join (values (8), (64)) v(ranks)")
+add("all_to_all", lambda s, d: links(s, ranks=[8, 64]).select("link", "ranks", over_link(K.all_to_all, 1e8, F.col("ranks")).alias("t")), f"with {_LINK} select link, ranks, R6((ranks - 1) / DBL(ranks) * 1e8 / (gbps / over * 1e9) + (ranks - 1) * lat_us / 1e6) t from l cross join (values (8), (64)) v(ranks)")
 both("bucketed_allreduce", f"with {_LINK} select link, mb, least(400, BIG(ceil(140e9 / (mb * 1e6)))) buckets, R6(140e9 * 2 / (gbps / over * 1e9) + least(400, BIG(ceil(140e9 / (mb * 1e6)))) * lat_us / 1e6) t from l cross join (values (25), (100), (500)) v(mb)")
 both("collectives_exposed", _RING + "select link, ranks, R6(greatest(0, t - 8)) exposed_s, R6((8 + greatest(0, t - 8)) / 8) slowdown from r")
 both("straggler_impact", "select p, n, R6(1 - pow(1 - p, n)) any_slow, R6(1 + (1 - pow(1 - p, n)) * 0.5e0) step from (values (0.001e0), (0.0001e0)) v(p) cross join (values (64), (1024), (16384)) r(n)")
@@ -85,13 +105,19 @@ def _refcounts(spark, d):
 
 add("block_refcounts", _refcounts, _SCHEDULE + ", b as (select s.start, s.stop, regexp_extract(lower(coalesce(text, '')), '[a-z]+') blk from s join documents on rid = doc_id), e as (select blk, start t, 1 d from b union all select blk, stop, -1 from b), c as (select blk, t, sum(d) d from e group by 1, 2), w as (select blk, t, sum(d) over (partition by blk order by t) refs from c) select blk, BIG(max(refs)) peak, BIG(arg_max(refs, t)) left_over from w group by blk")
 both("decode_floor", "select model, gb, bw, R6(gb / bw * 1000) ms, R6(flops / (bw * 1e9) ) roofline_batch from (values ('8b', 16e0, 3350e0, 9.89e14), ('70b', 140e0, 3350e0, 9.89e14)) v(model, gb, bw, flops)")
-both("ckpt_interval", "select c, mtbf_h, R6(sqrt(2 * c * mtbf_h * 3600)) interval_s, R6(c / sqrt(2 * c * mtbf_h * 3600) + sqrt(2 * c * mtbf_h * 3600) / (2 * mtbf_h * 3600)) overhead from (values (60e0, 12e0), (10e0, 3e0), (2e0, 3e0)) v(c, mtbf_h)")
+add("ckpt_interval", lambda s, d: given(s, [(60.0, 12.0), (10.0, 3.0), (2.0, 3.0)], "c double, mtbf_h double").select("c", "mtbf_h", F.round(K.checkpoint_interval(F.col("c"), F.col("mtbf_h")), 6).alias("interval_s"), F.round(K.checkpoint_overhead(F.col("c"), F.col("mtbf_h")), 6).alias("overhead")), "select c, mtbf_h, R6(sqrt(2 * c * mtbf_h * 3600)) interval_s, R6(c / sqrt(2 * c * mtbf_h * 3600) + sqrt(2 * c * mtbf_h * 3600) / (2 * mtbf_h * 3600)) overhead from (values (60e0, 12e0), (10e0, 3e0), (2e0, 3e0)) v(c, mtbf_h)")
 both("cluster_mtbf", "select gpus, R6(50000e0 / gpus) mtbf_h, R6(54 * 24 / (50000e0 / gpus)) interruptions from (values (1024), (16384), (100000)) v(gpus)")
 both("compute_bill", "select params, tokens, R6(6 * params * tokens / (9.89e14 * 0.4e0) / 3600) gpu_hours, R6(6 * params * tokens / (9.89e14 * 0.4e0) / 3600 * 2) dollars from (values (8e9, 15e12), (70e9, 15e12)) v(params, tokens)")
+
+
+def runs(spark):
+    return spark.createDataFrame([(1e5, 4.2), (3e5, 3.8), (1e6, 3.45), (3e6, 3.2), (1e7, 3.0), (3e7, 2.86), (1e8, 2.76)], "n double, loss double")
+
+
 _RUNS = "runs as (select * from (values (1, 1e5, 4.2e0), (2, 3e5, 3.8e0), (3, 1e6, 3.45e0), (4, 3e6, 3.2e0), (5, 1e7, 3.0e0), (6, 3e7, 2.86e0), (7, 1e8, 2.76e0)) v(k, n, loss))"
 both("ols_fit", f"with {_RUNS} select R6(regr_slope(LN(loss), LN(n))) slope, R6(regr_intercept(LN(loss), LN(n))) intercept from runs")
 _FIT = f"with {_RUNS}, e as (select EACH(SEQ(0, 2999)) i), x as (select i, i * 2.7e0 / 3000 ee, LN(n) lx, LN(loss - i * 2.7e0 / 3000) ly, n, loss from runs cross join e), f as (select i, max(ee) ee, regr_slope(ly, lx) b, regr_intercept(ly, lx) a from x group by i), s as (select f.i, f.ee, f.a, f.b, sum(pow(f.ee + exp(f.a + f.b * LN(n)) - loss, 2)) sse from f cross join runs group by f.i, f.ee, f.a, f.b), r as (select *, row_number() over (order by round(sse, 12), i) rn from s) "
-both("scaling_fit", _FIT + "select BIG(i) i, R6(ee) e, R6(b) slope, R6(a) intercept from r where rn = 1")
+add("scaling_fit", lambda s, d: K.fit_scaling(runs(s), "n", "loss").select("i", F.round("e", 6).alias("e"), F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept")), _FIT + "select BIG(i) i, R6(ee) e, R6(b) slope, R6(a) intercept from r where rn = 1")
 both("scaling_predict", _FIT + "select n, R6(ee + exp(a + b * LN(n))) predicted from r cross join (values (1e9), (1e10)) v(n) where rn = 1")
 _REFIT = _FIT.split("r as (select")[0].replace("x as (select i,", "m as (select * from (values (4), (5), (6), (7)) v(m)), x as (select m, i,").replace("from runs cross join e)", "from runs cross join e cross join m where k <= m)").replace("f as (select i, max(ee)", "f as (select m, i, max(ee)").replace("from x group by i)", "from x group by m, i)").replace("s as (select f.i,", "s as (select f.m, f.i,").replace("from f cross join runs group by f.i,", "from f join runs on runs.k <= f.m group by f.m, f.i,")
 both("scaling_refits", _REFIT + "r as (select *, row_number() over (partition by m order by round(sse, 12), i) rn from s) select m, BIG(i) i, R6(ee + exp(a + b * LN(n))) predicted, R6((ee + exp(a + b * LN(n)) - loss) / loss) held_out_error from r cross join runs where rn = 1 and k = 7")
@@ -124,7 +150,7 @@ both("zero_gradient_share", "select g, R6(sum(w * (pow(p, g) + pow(1 - p, g))))
 both("pass_tables", "select p, k, R6(1 - pow(1 - p, k)) pass_at, R6(pow(p, k)) pass_hat from (values (0.3e0), (0.4e0), (0.6e0), (0.9e0)) v(p) cross join (values (1), (2), (4), (8), (16)) s(k)")
 both("goodput", "with c as (select * from (values ('a', 180e0, 40e0, 900e0), ('b', 420e0, 35e0, 1400e0), ('c', 900e0, 55e0, 2100e0), ('d', 250e0, 48e0, 1100e0)) v(cfg, ttft, tpot, tput)), r as (select cfg, tput, row_number() over (order by tput desc, cfg) rn from c where ttft <= 500 and tpot <= 50) select cfg, tput from r where rn = 1")
 both("rejection_sampling", "select k, R6(1 - pow(1 - 0.15e0, k)) coverage, BIG(100000) * k * 800 tokens, R6(100000e0 * k * 800 / 2500 / 3600) gpu_hours from (values (1), (4), (16), (64)) v(k)")
-both("pipeline_bubble", "select p, m, (p - 1) / DBL(m + p - 1) bubble from (values (4), (8), (16)) v(p) cross join (values (8), (32), (128)) s(m)")
+add("pipeline_bubble", lambda s, d: given(s, [(4,), (8,), (16,)], "p int", m=[8, 32, 128]).select("p", "m", K.pipeline_bubble(F.col("p"), F.col("m")).alias("bubble")), "select p, m, (p - 1) / DBL(m + p - 1) bubble from (values (4), (8), (16)) v(p) cross join (values (8), (32), (128)) s(m)")
 both("lr_schedule", "select BIG(step) step, R9(case when step < 100 then 3e-4 * step / 100 else 3e-5 + 0.5e0 * (3e-4 - 3e-5) * (1 + cos(pi() * (step - 100) / 900)) end) lr from (select EACH(SEQ(0, 1000)) step) s")
 both("checkpoint_size", "select part, params * bytes size from (values ('weights', 2), ('master', 4), ('momentum', 4), ('variance', 4)) v(part, bytes) cross join (values (70e9)) p(params)")
 both("rloo_golden", "with v as (select * from (values (1, 2.1e0), (2, 2.8e0), (3, 1.6e0), (4, 2.4e0), (5, 2.9e0), (6, 1.9e0), (7, 2.5e0), (8, 2.0e0)) x(i, r)) select BIG(i) i, R6(r - (sum(r) over () - r) / 7) rloo, R6((r - avg(r) over ()) / (stddev_samp(r) over () + 0.0001e0)) grpo from v")

@@ -287,3 +287,34 @@ def test_streams_filter_and_alert(spark):
     names = ("contamination_stream", "clean_documents_stream")
     bad, good = ({x.doc_id for x in catalogue.queries()[n](spark, "/root/testdata/sf0.001").collect()} for n in names)
     assert bad and not bad & good and len(bad | good) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_cost_models_meet_published_figures(spark):
+    from lexloom.operators import costs as K
+
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).first().v
+    assert [round(value(K.checkpoint_interval(c, h))) for c, h in ((60, 12), (10, 3), (2, 3))] == [2277, 465, 208]
+    assert [round(value(K.kv_bytes(80, h, 128)) / 1e6, 3) for h in (64, 8, 1)] == [2.621, 0.328, 0.041]
+    exposed = [value(K.ring_allreduce(140e9, 1024, *link)) for link in ((40, 5), (10, 15))]
+    assert [round(x, 1) for x in exposed] == [7.0, 28.0]
+    freq = {k: value(K.rope_frequency(63, 128, scale=4, kind=k)) for k in ("none", "pi", "ntk", "yarn")}
+    assert abs(freq["pi"] * 4 - freq["none"]) < 1e-12 and abs(freq["yarn"] - freq["pi"]) < 1e-12 and abs(freq["ntk"] - freq["pi"]) < 1e-9
+    assert abs(value(K.rope_frequency(0, 128, scale=4, kind="yarn")) - 1) < 1e-12
+    runs = spark.createDataFrame([(float(n), 1.5 + 40 * n**-0.3) for n in (1e5, 1e6, 1e7, 1e8)], "n double, loss double")
+    fit = K.predicted(K.fit_scaling(runs, "n", "loss"), 1e9).first()
+    assert abs(fit.e - 1.5) < 1e-3 and abs(fit.slope + 0.3) < 1e-2 and abs(fit.predicted - (1.5 + 40 * 1e9**-0.3)) < 1e-2
+
+
+def test_repeated_units_windows_and_hamming_pairs(spark):
+    line = "a sentence that is long enough"
+    docs = spark.createDataFrame([(1, f"{line}\nshort\n{line}"), (2, f"x\n {line} \nshort"), (3, None), (4, "")], "doc_id long, text string")
+    got = {x.doc_id: (x.text, x.n_removed) for x in dedup.keep_first_units(docs, "\n").collect()}
+    assert got == {1: (f"{line}\nshort", 1), 2: ("x\nshort", 1), 3: ("", 0), 4: ("", 0)}
+    w = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, "new " + " ".join(w[3:9]) + " end"), (3, None)], "doc_id long, text string")
+    got = {x.doc_id: (list(x.words), x.n_removed) for x in dedup.mask_repeated_windows(docs, 5).collect()}
+    assert got == {1: (w, 0), 2: (["new", "end"], 6), 3: ([], 0)}
+    rows = [(i, (i * 2654435761) % 64) for i in range(50)] + [(90, 5), (91, 5), (92, 4)]
+    got = {tuple(x) for x in dedup.hamming_pairs(spark.createDataFrame(rows, "k long, h long"), "k", "h", 6, 1).collect()}
+    assert got == {(a, b, bin(x ^ y).count("1")) for a, x in rows for b, y in rows if a < b and bin(x ^ y).count("1") <= 1}
