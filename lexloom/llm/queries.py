@@ -73,6 +73,12 @@ def op10_ngram_join(spark, d):
     return classes(table(spark, d, "documents"))
 
 
+def op12_filter_audit(spark, d):
+    from lexloom.llm.filter_audit import audit
+
+    return audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def pipeline(spark, d):
     import corpus_pipeline
 
@@ -80,7 +86,7 @@ def pipeline(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op8_license_scan, op9_quality_rules, op10_ngram_join, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op8_license_scan, op9_quality_rules, op10_ngram_join, op12_filter_audit, pipeline)}
 
 
 #: DuckDB SQL of the queries that SQL can express; the others depend on trained models or on a tokenizer's merges, or are
@@ -105,6 +111,16 @@ pairs as materialized (select a, b from i join c p on p.doc_id = a join c q on q
 r(doc_id, m) as (select doc_id, doc_id from documents union select e.b, r.m from r join e on r.doc_id = e.a and r.m < e.b)
 select d.doc_id, coalesce(c.n, 0)::bigint n_shingles, l.m component_id from documents d left join c on c.doc_id = d.doc_id join (select doc_id, min(m) m from r group by 1) l on l.doc_id = d.doc_id"""
 
+#: The five failure bits of each document, then every order of the filters against the cells.
+OP12 = r"""with w as (select doc_id, coalesce(source, '') part, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') w, min(doc_id) over (partition by coalesce(text, '')) first from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels group by 1),
+m as (select part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(first < w.doc_id, false)] fails, coalesce(good, 0) good, coalesce(toxic, 0) toxic from w left join l on l.doc_id = w.doc_id),
+c as (select part, fails, count(*) n, sum(good) good, sum(toxic) toxic from m group by 1, 2),
+x as (select unnest(range(1, 6)) i), o as (select [a.i, b.i, c.i, d.i, e.i] o from x a, x b, x c, x d, x e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (select part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') filter_order, step, o[step] f, n, good, toxic, fails, coalesce(list_position(list_transform(o, lambda i: fails[i]), true), 6) hit, len(list_filter(fails, lambda b: b)) n_fails from c cross join o cross join (select unnest(range(1, 6)) step) t),
+r as (select part, filter_order, step::int step, f, coalesce(sum(n) filter (where hit > step), 0)::bigint kept, coalesce(sum(n) filter (where hit = step), 0)::bigint removed, coalesce(sum(n) filter (where fails[f] and hit < step), 0)::bigint redundant, coalesce(sum(n) filter (where fails[f] and n_fails = 1), 0)::bigint unique_fails, coalesce(sum(good) filter (where hit = step), 0)::bigint good_lost, coalesce(sum(toxic) filter (where hit = step), 0)::bigint toxic_lost from s group by 1, 2, 3, 4)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint shapley from r"""
+
 
 def op4_sql() -> str:
     from lexloom.llm.decontamination import MIN_LITERAL, TOKEN, UNITS, WINDOW
@@ -127,4 +143,4 @@ def op4_sql() -> str:
 
 
 def oracle_sql():
-    return {"op4_decontamination": op4_sql(), "op6_mixing": OP6, "op7_warc": OP7, "op10_ngram_join": OP10}
+    return {"op4_decontamination": op4_sql(), "op6_mixing": OP6, "op7_warc": OP7, "op10_ngram_join": OP10, "op12_filter_audit": OP12}
