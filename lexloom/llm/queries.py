@@ -79,6 +79,12 @@ def op12_filter_audit(spark, d):
     return audit(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op13_packing(spark, d):
+    from lexloom.llm.packing import pack_texts
+
+    return pack_texts(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark, d):
     import corpus_pipeline
 
@@ -86,7 +92,7 @@ def pipeline(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op8_license_scan, op9_quality_rules, op10_ngram_join, op12_filter_audit, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op8_license_scan, op9_quality_rules, op10_ngram_join, op12_filter_audit, op13_packing, pipeline)}
 
 
 #: DuckDB SQL of the queries that SQL can express; the others depend on trained models or on a tokenizer's merges, or are
