@@ -73,6 +73,12 @@ def op10_ngram_join(spark, d):
     return classes(table(spark, d, "documents"))
 
 
+def op11_collocations(spark, d):
+    from lexloom.llm.collocations import collocations
+
+    return collocations(table(spark, d, "documents"))
+
+
 def op12_filter_audit(spark, d):
     from lexloom.llm.filter_audit import audit
 
@@ -92,7 +98,7 @@ def pipeline(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op8_license_scan, op9_quality_rules, op10_ngram_join, op12_filter_audit, op13_packing, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_repeat_removal, op3_secret_scan, op4_decontamination, op5_pii, op6_mixing, op7_warc, op8_license_scan, op9_quality_rules, op10_ngram_join, op11_collocations, op12_filter_audit, op13_packing, pipeline)}
 
 
 #: DuckDB SQL of the queries that SQL can express; the others depend on trained models or on a tokenizer's merges, or are
@@ -117,6 +123,15 @@ pairs as materialized (select a, b from i join c p on p.doc_id = a join c q on q
 r(doc_id, m) as (select doc_id, doc_id from documents union select e.b, r.m from r join e on r.doc_id = e.a and r.m < e.b)
 select d.doc_id, coalesce(c.n, 0)::bigint n_shingles, l.m component_id from documents d left join c on c.doc_id = d.doc_id join (select doc_id, min(m) m from r group by 1) l on l.doc_id = d.doc_id"""
 
+OP11 = r"""with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) piece from documents),
+w as materialized (select lang, regexp_extract_all(piece, '[^ \t]+') w from p), t as (select lang, sum(len(w))::bigint n from w group by 1),
+g as (select lang, w[i:i + k - 1] g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from w cross join (values (1), (2), (3), (4)) x(k) where len(w) >= k)),
+f as materialized (select lang, array_to_string(g, ' ') phrase, g, len(g) k, count(*) n from g group by lang, g having count(*) >= 30),
+c as (select f.lang, f.phrase, f.n a, cut, array_to_string(f.g[1:cut], ' ') lft, array_to_string(f.g[cut + 1:], ' ') rgt from (select *, unnest(range(1, k)) cut from f where k >= 2) f),
+s as (select c.lang, c.phrase, c.a, x.n l, y.n r, (2000000::hugeint * c.a // (x.n::hugeint + y.n))::bigint score, row_number() over (partition by c.lang, c.phrase order by 2000000::hugeint * c.a // (x.n::hugeint + y.n), cut) best from c join f x on x.lang = c.lang and x.phrase = c.lft join f y on y.lang = c.lang and y.phrase = c.rgt),
+i as (select lang, array_to_string(g[i:i + m - 1], ' ') phrase, max(n) most from (select *, unnest(range(1, k - m + 2)) i from (select *, unnest(range(2, k)) m from f where k >= 3)) group by 1, 2),
+r as (select s.lang, row_number() over (partition by s.lang order by score desc, s.a desc, s.phrase) "rank", s.phrase, s.a, l, r, score from s left join i on i.lang = s.lang and i.phrase = s.phrase where best = 1 and (most is null or 100::hugeint * most < 80::hugeint * s.a))
+select r.lang, r."rank", r.phrase, r.a, r.l, r.r, t.n, r.score from r join t on t.lang = r.lang where r."rank" <= 2000"""
 #: The five failure bits of each document, then every order of the filters against the cells.
 OP12 = r"""with w as (select doc_id, coalesce(source, '') part, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') w, min(doc_id) over (partition by coalesce(text, '')) first from documents),
 l as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels group by 1),
@@ -149,4 +164,4 @@ def op4_sql() -> str:
 
 
 def oracle_sql():
-    return {"op4_decontamination": op4_sql(), "op6_mixing": OP6, "op7_warc": OP7, "op10_ngram_join": OP10, "op12_filter_audit": OP12}
+    return {"op4_decontamination": op4_sql(), "op6_mixing": OP6, "op7_warc": OP7, "op10_ngram_join": OP10, "op11_collocations": OP11, "op12_filter_audit": OP12}
