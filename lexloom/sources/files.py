@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gzip
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexloom.sources.warc import read_warc, write_warc  # noqa: F401 (a reader among the others)
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line: of text files, compressed ones included."""
@@ -29,26 +29,3 @@ def blob_name(content):
     """The SHA-1 of git's blob header, a NUL and the content; null stays null."""
     head = F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "UTF-8")
     return F.sha1(F.concat(head, F.unhex(F.lit("00")), content.cast("binary")))
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, type, uri, date, length, block: the records of WARC files, gzipped by member or plain. A file is one task's."""
-
-    def parse(frames):
-        import pandas as pd
-
-        for f in frames:
-            for name, raw in zip(f.path, f.content, strict=True):
-                data, at, rows = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw), 0, []
-                while (at := data.find(b"WARC/", at)) >= 0:
-                    end = data.find(b"\r\n\r\n", at)
-                    if end < 0:
-                        break
-                    lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-                    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-                    size = int(head.get("content-length", 0))
-                    rows.append((name, head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), size, data[end + 4 : end + 4 + size]))
-                    at = end + 4 + size
-                yield pd.DataFrame(rows, columns=["path", "type", "uri", "date", "length", "block"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, type string, uri string, date string, length long, block binary")
