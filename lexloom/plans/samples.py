@@ -291,11 +291,11 @@ both("format_spread", S + ", f as (select len % 4 fmt, DBL(sum(correct)) / count
 both("category_cube", "select event_type, user_id % 3 tier, count(*) n, R6(DBL(sum(cast(value as decimal(18, 6)))) / count(*)) mean from events group by cube (event_type, user_id % 3)".replace("user_id % 3 tier", "tier").replace("from events group by cube (event_type, user_id % 3)", "from (select event_type, user_id % 3 tier, value from events) e group by cube (event_type, tier)"))
 
 
-def training_log(spark, d):
+def training_log(spark, d, *more):
     """A training log from `events`: four ranks a step, with a loss, a gradient norm, a time, the last checkpoint and a hash of the parameters."""
     k, e = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
     return table(spark, d, "events").select(
-        F.expr("event_id div 4").alias("step"), (e % 4).alias("rank"), F.when(e % 997 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("loss"), (k / 8.0).alias("grad_norm"),
+        *more, F.expr("event_id div 4").alias("step"), (e % 4).alias("rank"), F.when(e % 997 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("loss"), (k / 8.0).alias("grad_norm"),
         (F.when(e % 211 == 0, 9.0).otherwise(1.0) + k / 1000.0).alias("seconds"), F.expr("(event_id div 4) div 1500 * 1500").alias("last_saved"), (F.when(e % 503 == 3, 1).otherwise(0) + F.expr("event_id div 4") * 7).alias("param_hash"),
     )
 

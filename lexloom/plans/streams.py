@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lexloom.operators.contamination import grams
 from lexloom.plans.contamination import ORACLES as BATCH
 from lexloom.plans.dialect import Plans
+from lexloom.plans.samples import training_log
 from lexloom.sources.tables import table
-from lexloom.streaming import live
+from lexloom.streaming import health, live
 
 P = Plans()
 QUERIES, ORACLES = P.queries, P.oracles
@@ -54,6 +55,36 @@ add(
     "select time_bucket(interval '1 day', ts) start, count(*) n, max(value) > 10 * avg(value) spike, bool_or(value is null or isnan(value) or isinf(value)) non_finite, count(distinct event_type) < 5 missing_kind from events group by 1",
 )
 
+
+# E-04: the checks of runs of 1000 events, four ranks a step and an event a second, as a stateful stream that ends a minute before the last event
+#: A whole minute, as the watermark begins at the epoch.
+STARTED = 60 * 28_333_333
+
+
+def _run_log(spark, d):
+    return training_log(spark, d, "event_id").withColumns({"run": F.expr("event_id div 1000"), "ts": F.timestamp_seconds(F.col("event_id") + STARTED)})
+
+
+def _health_stream(spark, d):
+    (name, store), = live.ROCKSDB.items()
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        return live.finished(health.health_checks(live.arriving(_run_log(spark, d), "event_id").drop("event_id")))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+add(
+    "health_checks_stream", _health_stream,
+    "with l as (select IDIV(event_id, 1000) run, event_id, IDIV(event_id, 4) step, case when event_id % 997 = 0 then 'nan'::double else value end loss, JSONK(props) / 8.0e0 grad, case when event_id % 211 = 0 then 9.0e0 else 1.0e0 end + JSONK(props) / 1000.0e0 secs, IDIV(IDIV(event_id, 4), 1500) * 1500 saved, case when event_id % 503 = 3 then 1 else 0 end + IDIV(event_id, 4) * 7 h from events), "
+    "c as (select max(event_id) - 60 now from events), "
+    "p as (select run, step, max(event_id) at_s, count(*) filter (where isnan(loss) or grad is null) bad, max(loss) filter (where not isnan(loss)) loss, max(grad) grad, max(secs) secs, max(saved) saved, count(distinct h) hs from l group by run, step), "
+    "w as (select *, lag(loss) over (partition by run order by step) prev, median(secs) over (partition by run order by step rows between 100 preceding and 1 preceding) usual from p) "
+    "select run, step, bad > 0 non_finite, coalesce(loss > 2 * prev, false) spike, coalesce(grad > 10, false) explosion, coalesce(grad = 0, false) collapse, coalesce(secs > 1.5 * usual, false) slow, coalesce(step - saved > 1000, true) stale, hs > 1 diverged, false silent from w, c where (IDIV(at_s, 60) + 1) * 60 <= now "
+    "union all select run, max(step), false, false, false, false, false, false, false, true from p, c group by run, now having max(at_s) + 600 <= now",
+)
+
 both("pricing_summary", "select l_returnflag, l_linestatus, count(*) n, BIG(sum(l_quantity)) qty, R6(sum(cast(l_extendedprice as decimal(18, 2)))) price from lineitem group by l_returnflag, l_linestatus")
 both("revenue_by_nation", "select n_name, R6(sum(cast(l_extendedprice as decimal(18, 2)))) revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")
 both("orders_rollup", "select year_, month_, count(*) n from (select BIG(year(o_orderdate)) year_, BIG(month(o_orderdate)) month_ from orders) o group by rollup (year_, month_)")

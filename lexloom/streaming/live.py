@@ -27,11 +27,30 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over all that is there and read its sink."""
+#: Files of each part of an arrival, and so of each micro-batch.
+ARRIVAL_FILES = 2
+#: The state store that operators with timers and lists need.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def arriving(rows: DataFrame, order: str, parts: int = 4) -> DataFrame:
+    """A stream of the rows that come in `parts` micro-batches, by ranges of a column that is 0 or more."""
+    spark, folder = rows.sparkSession, f"{_folder(rows.sparkSession)}/in"
+    top = (rows.agg(F.max(order).alias("m")).first().m or 0) + 1
+    for k in range(parts):
+        inside = (F.col(order) * parts >= k * top) & (F.col(order) * parts < (k + 1) * top)
+        rows.where(inside).repartition(ARRIVAL_FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", ARRIVAL_FILES).parquet(folder)
+
+
+def finished(stream: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Run the stream over all that is there and read its sink; `progress` gets what Spark reports of each micro-batch."""
     spark, folder = stream.sparkSession, _folder(stream.sparkSession)
     if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start().awaitTermination()
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if progress is not None:
+            progress += query.recentProgress
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
     def put(batch: DataFrame, number: int) -> None:
