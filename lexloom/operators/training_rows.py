@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import LongType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from lexloom.operators.prefix import ranked
 
@@ -79,28 +82,36 @@ def padding_waste(lengths: DataFrame, key: str, n: str, batch: int) -> DataFrame
     return g.withColumn("share", F.col("useful") / F.col("padded"))
 
 
+class NextFit:
+    """A table function: rows of (shard, key, n) stream through in the order of their keys; shards are sequences of their own."""
+
+    def __init__(self):
+        self.pack = self.used = 0
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, limit: AnalyzeArgument) -> AnalyzeResult:
+        kinds = {f.name: f.dataType for f in rows.dataType.fields}
+        if not {"shard", "key", "n"} <= kinds.keys():
+            raise ValueError("next_fit takes a table with the columns shard, key and n")
+        out = StructType().add("shard", LongType()).add("key", kinds["key"]).add("pack", LongType()).add("start_at", LongType())
+        return AnalyzeResult(out, partitionBy=[PartitioningColumn("shard")], orderBy=[OrderingColumn("key"), OrderingColumn("n")])
+
+    def eval(self, rows, limit):
+        if rows["n"] is None or rows["n"] > limit:
+            return
+        if self.used and self.used + rows["n"] > limit:
+            self.pack, self.used = self.pack + 1, 0
+        yield rows["shard"], rows["key"], self.pack, self.used
+        self.used += rows["n"]
+
+
 def next_fit(lengths: DataFrame, key: str, n: str, limit: int, shard: int = SHARD) -> DataFrame:
-    """shard, key, pack, start_at: in the key's order each row goes to the open pack or, if it does not fit, opens the next; rows over the limit are left out.
+    """shard, key, pack, start_at: in the key's order each row goes to the open pack or, if it does not fit, opens the next; rows over the limit or without a length are left out.
 
-    Ranges of `shard` ids are sequences of their own, so that a task holds one range.
+    Ranges of `shard` ids are sequences of their own; within one, rows stream through a table function, and none is held.
     """
-    kind = lengths.schema[key].dataType.simpleString()
-
-    def pack(frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["key", "n"])
-        packs, starts, at, used = [], [], 0, 0
-        for size in frame["n"]:
-            if used and used + size > limit:
-                at, used = at + 1, 0
-            packs.append(at)
-            starts.append(used)
-            used += size
-        return pd.DataFrame({"shard": frame["shard"], "key": frame["key"], "pack": packs, "start_at": starts})
-
-    rows = lengths.where(F.col(n) <= limit).select(F.floor(F.col(key) / shard).alias("shard"), F.col(key).alias("key"), F.col(n).cast("long").alias("n"))
-    return rows.groupBy("shard").applyInPandas(pack, f"shard long, key {kind}, pack long, start_at long").withColumnRenamed("key", key)
+    rows = lengths.select(F.floor(F.col(key) / shard).alias("shard"), F.col(key).alias("key"), F.col(n).cast("long").alias("n"))
+    return udtf(NextFit)(rows.asTable(), F.lit(limit)).withColumnRenamed("key", key)
 
 
 def batches(docs: DataFrame, key: str, epoch: int, batch: int, seed: int, after: int = -1) -> DataFrame:
