@@ -51,13 +51,13 @@ GROUP_ROWS = 2048
 #: Places of a sequence that may stay empty, and the shortest head that is cut off.
 SLACK = 16
 #: Units that a worker keeps; when there are more, it starts anew.
-MAX_UNITS = 300_000
+MAX_UNITS = 150_000
 LONGEST_UNIT = 64
 #: Fixed value: the published pre-token pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNITS_AT_ONCE = 5000
 #: Characters of text that are encoded at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 MAX_VOCABULARY_BYTES = 64 << 20
 END = 1
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
