@@ -56,6 +56,29 @@ add(
 )
 
 
+# E-02, E-05: every fifth event is delivered twice, every thirteenth late by half the table; what is left, and what came behind the watermark (that of the micro-batch before, by which Spark drops)
+def _deliveries(spark, d):
+    e = table(spark, d, "events").select("event_id", "ts", "event_type")
+    i, half = F.col("event_id"), (e.agg(F.max("event_id").alias("m")).first().m or 0) // 2
+    late = F.when(i % 13 == 0, half).otherwise(0)
+    again = F.when(i % 5 == 0, F.array(late, late + F.when(i % 50 == 0, half).otherwise(3))).otherwise(F.array(late))
+    return e.select("*", F.explode(again).alias("by")).select("event_id", "ts", "event_type", (i + F.col("by")).alias("place"))
+
+
+def _late_deliveries(spark, d):
+    progress = []
+    kept = live.finished(live.first_events(live.arriving(_deliveries(spark, d), "place", 6), delay="6 hours"), progress=progress)
+    late = spark.range(1).select(F.lit("late").alias("kind"), F.lit(live.dropped_late(progress)).cast("long").alias("n"), F.lit(0).cast("long").alias("n_events"))
+    return kept.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_events")).union(late)
+
+
+add(
+    "late_deliveries", _late_deliveries,
+    "with h as (select max(event_id) // 2 half from events), a as (select event_id, ts, event_type, event_id + case when event_id % 13 = 0 then half else 0 end place from events, h union all select event_id, ts, event_type, event_id + case when event_id % 13 = 0 then half else 0 end + case when event_id % 50 = 0 then half else 3 end from events, h where event_id % 5 = 0), "
+    "p as (select *, place * 6 // (select max(place) + 1 from a) part from a), t as (select part, max(date_trunc('milliseconds', ts)) - interval '6 hours' top from p group by 1), w as (select part, max(top) over (order by part rows between unbounded preceding and 2 preceding) mark from t), "
+    "l as (select p.*, coalesce(ts <= mark, false) late from p join w using (part)) select event_type kind, count(distinct event_id) n, count(distinct event_id) n_events from l where not late group by 1 union all select 'late', count(*), 0 from l where late",
+)
+
 # E-04: the checks of runs of 1000 events, four ranks a step and an event a second, as a stateful stream that ends a minute before the last event
 #: A whole minute, as the watermark begins at the epoch.
 STARTED = 60 * 28_333_333

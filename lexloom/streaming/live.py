@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from lexloom.functions.text import held, ngrams, words
 from lexloom.operators.shared import shared_dir, small
@@ -71,6 +72,38 @@ def first_texts(docs: DataFrame, time: str | None = None, delay: str = "1 day")
     return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["h"]).select("h") if time else hashed.dropDuplicates(["h"])
 
 
+def first_events(events: DataFrame, key: str = "event_id", time: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """The first row of each key. A key is forgotten `delay` after its time, and rows behind the watermark (of the micro-batch before) are dropped, so the state holds the keys of one delay."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def dropped_late(progress: list) -> int:
+    """Rows that a finished query's operators dropped behind the watermark, by what Spark reported of its micro-batches."""
+    return sum(op.numRowsDroppedByWatermark for p in progress for op in p.stateOperators)
+
+
+class LateRows(StreamingQueryListener):
+    """The same count of a query that runs on: after each micro-batch `alert` gets the query's name and its late rows so far, if there are any new ones."""
+
+    def __init__(self, alert):
+        self.alert, self.late = alert, {}
+
+    def onQueryStarted(self, event):
+        self.late[str(event.runId)] = 0
+
+    def onQueryProgress(self, event):
+        p, new = event.progress, dropped_late([event.progress])
+        if new:
+            self.late[str(p.runId)] = self.late.get(str(p.runId), 0) + new
+            self.alert(p.name, self.late[str(p.runId)])
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.late.pop(str(event.runId), None)
+
+
 def _grams_of(docs: DataFrame, n: int) -> DataFrame:
     return held(docs.select("doc_id", "text"), "w", words(F.col("text"))).select("doc_id", F.explode(ngrams(F.col("w"), n)).alias("g"))
 
