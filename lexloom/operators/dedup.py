@@ -179,3 +179,33 @@ def hamming_pairs(hashes: DataFrame, key: str, h: str, bits: int, most: int) ->
     pairs = near.union(own).join(a, "p").join(b, "q")
     out = pairs.where((F.col("p") != F.col("q")) | (F.col("ka") < F.col("kb")))
     return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.col("distance").cast("long").alias("distance"))
+
+
+def simhash(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """(doc_id, simhash): bit b is set if more words of the text have bit b in their hash (of an md5) than have not; texts without words are left out."""
+    w = docs.select("doc_id", F.explode(words(F.col("text"))).alias("w"))
+    part = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
+    h = w.select("doc_id", part(1).alias("lo"), part(9).alias("hi"))
+    votes = [F.sum(F.when(F.getbit("lo" if b < 32 else "hi", F.lit(b % 32)) == 1, 1).otherwise(-1)).alias(f"v{b}") for b in range(bits)]
+    voted = h.groupBy("doc_id").agg(*votes)
+    bit = lambda b: F.when(F.col(f"v{b}") > 0, F.lit((1 << b) if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
+    out = bit(0)
+    for b in range(1, bits):
+        out = out.bitwiseOR(bit(b))
+    return voted.select("doc_id", out.alias("simhash"))
+
+
+def verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, inter, uni) of candidate pairs whose sets (`shingle_sets`) have Jaccard `threshold` or more; documents without shingles are in no pair."""
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("s").alias("s" + k), F.col("n").alias("n" + k))
+    both = held(candidates.join(side("a"), "a").join(side("b"), "b"), "inter", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    found = both.withColumn("uni", (F.col("na") + F.col("nb") - F.col("inter")).cast("long"))
+    return found.where(F.col("inter") >= threshold * F.col("uni")).select("a", "b", "inter", "uni")
+
+
+def copy_kinds(docs: DataFrame, source: str = "source") -> DataFrame:
+    """doc_id, kind: `original` (the first with its text), `mirror` (its text was first in another source) or `copy` (in its own). Firsts are combined before the shuffle."""
+    rows = docs.select("doc_id", F.col(source).alias("s"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    firsts = rows.groupBy("h").agg(F.min(F.struct("doc_id", "s")).alias("f"))
+    kind = F.when(F.col("doc_id") == F.col("f.doc_id"), "original").when(F.col("s").eqNullSafe(F.col("f.s")), "copy").otherwise("mirror")
+    return rows.join(firsts, "h").select("doc_id", kind.alias("kind"))

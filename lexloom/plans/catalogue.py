@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> callable) and ORACLES (name -> DuckDB SQL).
-MODULES = ("texts", "contamination", "dedup", "tokens", "conversations", "samples", "costs", "markdown", "streams", "sources", "indexes", "snapshots")
+MODULES = ("texts", "contamination", "dedup", "tokens", "conversations", "samples", "costs", "markdown", "streams", "sources", "indexes", "snapshots", "checked")
 
 
 def _modules():

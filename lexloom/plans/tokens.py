@@ -70,18 +70,28 @@ def _sweep(spark, d):
 add("bpe_vocab_sweep", _sweep)
 
 
+def _held_out(docs):
+    """A fifth of the documents by a hash of the id: what a tokenizer is measured on, and never trained on."""
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, F.lit(False))
+
+
 def _fertility(spark, d):
     docs = table(spark, d, "documents")
-    return bpe.fertility(docs, bpe.train(bpe.chunk_counts(docs), 512), "lang")
+    return bpe.fertility(docs.where(_held_out(docs)), bpe.train(bpe.chunk_counts(docs.where(~_held_out(docs))), 512), "lang")
+
+
+def penalty(docs, held_out, size=512, own="en"):
+    """by language of the held-out documents: fertility under a tokenizer trained on language `own` alone and under one trained on all, and the ratio."""
+    rest, unseen = docs.where(~held_out), docs.where(held_out)
+    one = bpe.train(bpe.chunk_counts(rest.where(F.col("lang") == own)), size)
+    a = bpe.fertility(unseen, one, "lang").select("lang", F.col("fertility").alias("english_fertility"))
+    b = bpe.fertility(unseen, bpe.train(bpe.chunk_counts(rest), size), "lang").select("lang", F.col("fertility").alias("joint_fertility"))
+    return a.join(b, a.lang.eqNullSafe(b.lang)).drop(b.lang).withColumn("penalty", F.col("english_fertility") / F.col("joint_fertility"))
 
 
 def _penalty(spark, d):
-    """Fertility by language under a tokenizer of English alone and under one of all languages."""
     docs = table(spark, d, "documents")
-    english = bpe.train(bpe.chunk_counts(docs.where("lang = 'en'")), 512)
-    a = bpe.fertility(docs, english, "lang").select("lang", F.col("fertility").alias("english_fertility"))
-    b = bpe.fertility(docs, bpe.train(bpe.chunk_counts(docs), 512), "lang").select("lang", F.col("fertility").alias("joint_fertility"))
-    return a.join(b, "lang").withColumn("penalty", F.col("english_fertility") / F.col("joint_fertility"))
+    return penalty(docs, _held_out(docs))
 
 
 add("bpe_fertility", _fertility)

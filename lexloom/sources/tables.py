@@ -11,11 +11,16 @@ TABLES = (
 TEXTS = ("documents", "pages")
 
 
+#: Tables under so many bytes on disk are dealt to all cores; larger ones are never shuffled by their reader.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly where a scan has fewer splits than the session has cores: a file of one row group is one task's,
-    however many cores there are. Tables of more splits, as all large ones are, stay as they are, without a shuffle."""
+    """Rows of a small table dealt evenly where its scan has fewer splits than the session has cores: a file of one row group
+    is one task's, however many cores there are. What this shuffles is bounded by SPREAD_BYTES, on any cluster."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size < SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
