@@ -12,7 +12,7 @@ such tokens, and decoding these pieces alone equals decoding the whole text
 
 The field is trained here on generated lines (a fixed seed; keys, headers and
 connection strings against dates, versions, links, order numbers and prose).
-Base spans always stay; field spans that touch none of them are added.
+Base spans always stay; a field span is added unless it lies inside one.
 
 Defined results: null and empty texts have no spans; each input row gives one
 output row; other columns are ignored.
@@ -52,10 +52,11 @@ IN_URL = re.compile(r"(?<=://)[A-Za-z0-9_.%\-]*:([A-Za-z0-9+/_.\-]{8,}" + PADDIN
 REACH = 3
 #: Tokens after a cue word that need no digit: `key => "` alone is three.
 CUE_REACH = 5
-CUES = frozenset("password passwd pwd secret token key apikey api_key auth authorization bearer credential private access client_secret signature sas".split())
-CUE_PARTS = ("secret", "token", "passw", "api_key", "apikey")
+CUES = frozenset("password passwd pass passphrase pwd secret token key apikey api_key auth authorization bearer basic credential credentials private access accesskey accountkey client_secret signature sas".split())
+CUE_PARTS = ("secret", "token", "passw", "passphrase", "pwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "accountkey", "private_key", "credential")
 #: What every cue word holds.
-CUE_HINT = re.compile("(?ai:pass|pwd|secret|token|key|auth|bearer|credential|private|access|signature|sas)")
+HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "basic", "credential", "private", "access", "signature", "sas")
+CUE_HINT = re.compile(f"(?ai:{'|'.join(HINTS)})")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,10 +80,13 @@ def described(t: str) -> list[str]:
     share = sum(c.isdigit() for c in t) / n
     bits = -sum(k / n * math.log2(k / n) for k in map(t.count, set(t)))
     s = shape(t)
+    letters = [c for c in t.lower() if c.isalpha()]
+    vowels = sum(c in "aeiouy" for c in letters) / max(1, len(letters))
     return [
         f"len{min(n.bit_length(), 8)}", f"digits{int(share * 5)}", f"bits{int(min(bits, 5.9))}", f"turns{min(len(s), 12) // 2}",
         f"case{int(any(map(str.isupper, t)))}{int(any(map(str.islower, t)))}", f"dots{min(t.count('.'), 3)}", f"dash{min(t.count('-'), 3)}", f"slash{min(t.count('/'), 2)}",
-        f"start:{s[:2]}",
+        f"start:{s[:2]}", f"vowels{int(vowels * 5)}", f"mixed{min(int(6 * len(s) / n), 5)}", f"mixed{min(int(6 * len(s) / n), 5)}:len{min(n.bit_length(), 8)}", f"zero{int(t[0] == '0')}",
+        f"bits{int(min(bits, 5.9))}:case{int(any(map(str.isupper, t)))}{int(any(map(str.islower, t)))}{int(any(map(str.isdigit, t)))}",
     ]
 
 
@@ -95,6 +99,12 @@ def neighbour(side: str, t: str) -> str:
     return f"{side}:" + ("cue" if is_cue(t) else t if len(t) == 1 and not t.isalnum() else shape(t)[:3])
 
 
+def words_near(t: list[str], i: int) -> list[str]:
+    """The neighbouring words themselves, and whether a cue is among those before."""
+    near = [f"n{d}:{t[i + d].strip('.').lower()[:16]}" for d in (-3, -2, -1, 1) if 0 <= i + d < len(t) and not any(map(str.isdigit, t[i + d]))]
+    return [*near, f"cued{int(any(map(is_cue, t[max(0, i - REACH) : i])))}"]
+
+
 def file_features(text: str) -> list[str]:
     """Features of the whole file, from counts of a few characters."""
     n = len(text) + 1
@@ -104,7 +114,9 @@ def file_features(text: str) -> list[str]:
 
 def after_cues(text: str) -> list[tuple[int, int]]:
     """Tokens of MIN_TOKEN characters or more among the CUE_REACH tokens after a cue word."""
-    found, end = set(), 0
+    found, end, low = set(), 0, text.lower()
+    if not any(h in low for h in HINTS):
+        return []
     for m in CUE_HINT.finditer(text):
         if m.start() < end:
             continue
@@ -189,7 +201,7 @@ def observed(text: str, tokens: list[tuple[int, int, bool]], whole: list[str]) -
     t = [text[a:b] for a, b, _ in tokens]
     at = lambda i, side: neighbour(side, t[i]) if 0 <= i < len(t) else f"{side}:edge"
     return [
-        [*described(t[i]), *(at(i + d, f"w{d}") for d in (-3, -2, -1, 1, 2)), *whole, "any"] if ok else []
+        [*described(t[i]), *(at(i + d, f"w{d}") for d in (-3, -2, -1, 1, 2)), *words_near(t, i), *whole, "any"] if ok else []
         for i, (_, _, ok) in enumerate(tokens)
     ]
 
@@ -343,11 +355,49 @@ def digitless_examples(seed: int, n: int):
             yield f"{left} {r.choice([*cues, 'secret ', 'access ', 'the token ', 'key '])}{r.choice(plain + long)()} {right}", []
 
 
+def formatted_examples(seed: int, n: int):
+    """Generated lines of settings, commands and connection strings against names, paths and numbers that look alike: (text, spans of secrets)."""
+    r = random.Random(seed)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    base, web, numerals = small + small.upper() + "0123456789", small + small.upper() + "0123456789-_", "0123456789"
+    run = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    word = lambda a=2, b=9: run("abcdeghilmnoprstu", r.randint(a, b))
+    prose = lambda: " ".join(word() + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(2, 7)))
+    leet = lambda x: "".join({"a": "4", "e": "3", "i": "1", "o": "0", "s": "5"}.get(c, c) if r.random() < 0.5 else c for c in x)
+    human = lambda: r.choice([lambda: leet(word(5, 9)).title() + run(numerals, r.randint(2, 4)), lambda: leet(word(4, 8)) + leet(word(3, 6)).title() + run(numerals, r.randint(1, 2)), lambda: word(4, 7).title() + run(numerals, 2) + word(4, 7).title() + r.choice(["", run(numerals, 2)]), lambda: run(base, r.randint(9, 16)) + run(numerals, 1)])()
+    mark = lambda: run(small + small.upper(), r.randint(2, 5)) + r.choice("-_.")
+    made = lambda: r.choice([lambda: mark() + run(web, r.randint(16, 44)), lambda: mark() + run(numerals, r.randint(9, 13)) + "-" + run(base, r.randint(16, 30)), lambda: ".".join(run(web, r.randint(12, 60)) for _ in range(r.randint(2, 3))), lambda: mark() + mark() + run(base, r.randint(16, 40)), lambda: run(base, r.randint(16, 60)) + r.choice(["", "=", "=="]), lambda: run(base + "+/", r.randint(24, 88)) + r.choice(["", "=", "=="]), lambda: mark() + run("0123456789abcdef", r.choice([24, 32, 40, 64])), lambda: run(small.upper(), 2) + run("0123456789abcdef", 32)])()
+    cue = lambda: r.choice(["api key", "API_KEY", "apiKey", "access_key", "accessKey", "client_secret", "clientSecret", "auth_token", "authToken", "token", "secret", "password", "pwd", "PASSWORD", "passphrase", "credential", "Token", word(3, 6).upper() + "_TOKEN", word(3, 6).upper() + "_KEY", word(3, 6).upper() + "_SECRET", word(3, 6) + "Key"])
+    short_cue = lambda: r.choice(["password", "pwd", "Pwd", "passwd", "PASS", word(2, 5).upper() + "PASSWORD", "passphrase", "pass", "key"])
+    name = lambda: r.choice([lambda: word(4) + run(numerals, r.randint(1, 4)), lambda: word(4).title() + word(4).title() + run(numerals, r.randint(1, 2)), lambda: f"{word(3)}_{run(numerals, 4)}.{run(small, 3)}", lambda: f"{run(small.upper(), 3)}-20{run(numerals, 2)}-{run(numerals, 5)}", lambda: f"{word(4)}:{run(numerals, 1)}.{run(numerals, 2)}.{run(numerals, 1)}-{word(3)}{run(numerals, 1)}", lambda: f"20{run(numerals, 2)}-0{r.randint(1, 9)}-1{run(numerals, 1)}T1{run(numerals, 1)}:{run(numerals, 2)}:00Z", lambda: "-".join(run("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: f"{run(numerals, 1)}Z{run(numerals, 3)}{run(small.upper(), 2)}{run(numerals, 10)}", lambda: f"SKU-{run(small.upper(), 2)}{run(numerals, 2)}-{run(numerals, 4)}", lambda: f"{run(numerals, 2)}.{run(numerals, 6)},-{run(numerals, 2)}.{run(numerals, 6)}", lambda: f"{run(small.upper(), 2)}{run(numerals, 2)} {run(numerals, 4)} {run(numerals, 4)} {run(numerals, 4)}", lambda: f"https://{word()}.{word(3, 6)}.org/{word(4)}/{word()}-{run(numerals, 4)}/{word(4)}.{run(small, 3)}?{word(1, 3)}={run(numerals, 3)}", lambda: f"{word(5)}@{word(4)}{run(numerals, 2)}.com", lambda: f"/{word(3)}/{word(4)}{run(numerals, 1)}/{word(4)}-{run(numerals, 1)}.{run(numerals, 2)}/{word(4)}.so.{run(numerals, 1)}", lambda: f"{word(3)}-{word(3)}-{run(numerals, 1)}.{run(numerals, 1)}.{run(numerals, 1)}.tar.gz", lambda: f"#{run(numerals, 8)}", lambda: f"0x{run('0123456789abcdef', 8)}"])()
+    about = lambda: r.choice(["key size 20{0}-bit", "token count {0}000000", "the password has 8-{0} characters", "secret number {0}{0}{0}{0}", "key {1}", "the token bucket {1}", "access road {1}", "basic {1}", "signature page {1}", "private room {1}", "credential form {1}", "pass {1}", 'api_key = os.environ["{2}_KEY_V2"]', "token: ${{{2}_TOKEN_{0}}}", "password = get_{3}_{0}()", "auth{0}.{3}.local", "pass the {1} to"]).format(run(numerals, 2), name(), word(4).upper(), word(4))
+    for _ in range(n):
+        left, right = r.choice([prose(), prose(), ""]), r.choice([prose(), prose(), ""])
+        kind = r.random()
+        if kind < 0.14:
+            head, v = f"{left} {r.choice(['postgres', 'mysql', 'amqp', 'redis', 'ftp', 'http', 'sftp', 'smtp', word(3, 6), word(2, 5) + '+' + word(2, 3)])}://{word()}:", r.choice([human, human, made])().replace("/", "")
+            yield f"{head}{v}@{word()}{r.choice(['', '.' + word(2, 4), '.' + word() + '.com', ':' + run(numerals, 4)])}{r.choice(['', '/' + word(), '/' + word() + '.git'])} {right}", [(len(head), len(head) + len(v))]
+        elif kind < 0.28:
+            head, v = f"{left} {r.choice(['', word() + '=' + word() + ';', '--', '-'])}{short_cue()}{r.choice(['=', '=', ': ', ' ', ' is ', '="', ' = '])}", human()
+            yield head + v + r.choice(["", ";", '"', ",", ")"]) + " " + right, [(len(head), len(head) + len(v))]
+        elif kind < 0.5:
+            head, v = f"{left} {cue()}{r.choice(['=', ': ', ' ', ' is ', ' = "', '": "', ':', ' was ', ' => ', ' -> '])}", made()
+            yield head + v + r.choice(["", ";", '"', ",", "'"]) + " " + right, [(len(head), len(head) + len(v))]
+        elif kind < 0.56:
+            head, v = f"{left} ", made()
+            if len(v) > 24 and any(c.isdigit() for c in v):
+                yield f"{head}{v} {right}", [(len(head), len(head) + len(v))]
+        elif kind < 0.8:
+            yield f"{left} {name()} {right}", []
+        else:
+            yield f"{left} {about()} {right}", []
+
+
 @lru_cache(maxsize=1)
-def trained(seed: int = 11, n: int = 1200, rounds: int = 6, rate: float = 0.3, penalty: float = 0.003) -> Field:
+def trained(seed: int = 11, n: int = 700, rounds: int = 4, rate: float = 0.3, penalty: float = 0.003) -> Field:
     field, squares = Field(), {}
     data = []
-    for text, gold in [*examples(seed, n), *digitless_examples(seed, n)]:
+    for text, gold in [*examples(seed, n), *digitless_examples(seed, n), *formatted_examples(seed, 2 * n)]:
         for tokens in pieces(text):
             tags = [next((B if k == 0 else I for a, b in gold if a <= s < b for k in [int(s > a)]), O) if ok else O for s, e, ok in tokens]
             data.append((observed(text, tokens, file_features(text)), allowed(tokens), gaps(tokens), tags))
@@ -384,7 +434,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def all_spans(text: str, field: Field) -> tuple[list, list]:
     base = base_spans(text)
-    added = [(s, 3, e) for s, e in field_spans(text, field) if all(e <= a or b <= s for a, _, b in base)]
+    added = [(s, 3, e) for s, e in field_spans(text, field) if not any(a <= s and e <= b for a, _, b in base)]
     return base, sorted(base + added)
 
 
