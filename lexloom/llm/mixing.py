@@ -10,7 +10,8 @@ and no task holds more than one range of one source.
 Defined results: null text has size 0; a null source is a source of its own,
 the last; sources without words have target 0. Rows with the same id are told
 apart by a second hash over their text, and whole repeated rows get equal keys
-in an order that does not matter, as they are alike. Other columns are ignored.
+in an order that does not matter, as they are alike. Rows without an id get keys by
+their text and place in the input. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,11 +57,13 @@ ROW = "__lexloom_row"
 
 def mix(df: DataFrame, seed: int = 17, key: str = "doc_id", source: str = "source", text: str = "text", cap: float = MAX_SHARE, row: str | None = None) -> DataFrame:
     """Per row: key, size, source, source_size, target, taken (words of it in the mix, repeats counted), and the column `row` if one is named."""
+    alone = F.concat_ws("/", F.lit("none"), F.xxhash64(text).cast("string"), (F.col(row) if row else F.monotonically_increasing_id()).cast("string"))
     rows = written(
         df.select(
             (F.col(row) if row else F.lit(None).cast("long")).alias("row"), F.col(key).alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            # the first 32 bits of an md5, which other engines have, too; then a second hash that tells texts of one id apart
-            F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long").alias("k"),
+            # the first 32 bits of an md5, which other engines have, too; then a second hash that tells texts of one id apart.
+            # Rows without an id have keys by their text and place, so that they are not one range
+            F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), alone))), 1, 8), 16, 10).cast("long").alias("k"),
             F.xxhash64(text).alias("k2"),
         ),
         "mix",

@@ -52,6 +52,16 @@ def empty(odd):
     return odd.limit(0)
 
 
+def test_token_counts_of_every_code_point():
+    """Each code point between letters counts as the library counts it: two that only Unicode 16 lower-cases, and unassigned ones, too."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counter, library = token_counts.Counter(open(path, "rb").read()), Tokenizer.from_file(path)
+    texts = [f"a{chr(i)}b!{chr(i)}{chr(i)}1" for i in range(1, 0x40000) if not 0xD800 <= i < 0xE000]
+    assert [t for t, e in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True) if len(e.ids) != counter.count(t)] == []
+
+
 def test_token_counts(spark, odd, empty):
     from tokenizers import Tokenizer
 
