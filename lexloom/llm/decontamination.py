@@ -7,8 +7,10 @@ numbers and names is caught and one that merely has the same frame with mixed-up
 slots is not. Windows need `min_literal` tokens that are no placeholders.
 Beside them the windows of case-folded tokens are hashed and joined, so that a
 copy in other case, whose names are no <name> or whose words all are, is caught too.
-An item of fewer than n tokens but `min_literal` or more is one case-folded window of
-its own length; documents are hashed at such lengths only if the benchmark has them.
+An item of fewer than n tokens is one case-folded window of its own length; documents
+are hashed at such lengths only if the benchmark has them. One of fewer than
+`min_literal` tokens may be a phrase that everyone says, so it counts only if at most
+`COMMON_SHARE` of the rows hold it (or one row does).
 
 The corpus is read twice. A window of n tokens holds, whatever its place, a run of
 `GRAM` tokens at one of every n - GRAM + 1 places, so the first pass hashes only the
@@ -17,8 +19,7 @@ broadcast hashes of all runs in the benchmark's windows, in blocks of at most
 `BLOCK_WINDOWS`). The second reads the documents that had a hit, cuts the windows
 around it, and joins them by the hash of the whole window.
 
-Defined results: null and empty texts, and benchmark items of fewer than
-`min_literal` tokens (every document would have them), match nothing; each input row gives one output row, repeated rows alike;
+Defined results: null and empty texts match nothing; each input row gives one output row, repeated rows alike;
 other columns are ignored. n_windows counts the template windows of an item, and
 the case-folded windows of an item that no template window meets.
 """
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import narrowed, written
 
 WINDOW, MIN_LITERAL, GRAM = 10, 5, 5
+#: Share of the rows that may hold an item of fewer than MIN_LITERAL tokens.
+COMMON_SHARE = 0.01
 #: Windows of the benchmark that one pass over the corpus broadcasts (24 bytes each).
 BLOCK_WINDOWS = 1_000_000
 #: Windows of the benchmark, tokens included (some 300 bytes each), that are broadcast at most.
@@ -106,11 +109,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_literal:
     items = all_.select("item", F.explode(F.transform(starts(n), lambda i: F.struct(F.slice("w", i, F.lit(n)).alias("bw"), F.slice("c", i, F.lit(n)).alias("bc")))).alias("x"))
     items = items.select("item", "x.bw", "x.bc")
     framed = items.where(literal(F.col("bc")) >= min_literal).select("*", hashed(F.col("bc")).alias("h"), F.lit(False).alias("as_folded"))
-    whole = all_.where((F.size("w") >= min_literal) & (F.size("w") < n)).select("item", F.col("w").alias("bw"), F.col("c").alias("bc"))
+    whole = all_.where((F.size("w") > 0) & (F.size("w") < n)).select("item", F.col("w").alias("bw"), F.col("c").alias("bc"))
     items = framed.union(items.union(whole).select("*", hashed(folded("bw")).alias("h"), F.lit(True))).distinct()
     items = written(items, "decontamination-windows")
     gram = min(GRAM, n)
-    short = sorted(r[0] for r in items.where(F.size("bw") < n).select(F.size("bw")).distinct().collect())  # n - min_literal sizes at most
+    short = sorted(r[0] for r in items.where(F.size("bw") < n).select(F.size("bw")).distinct().collect())  # n - 1 sizes at most
     inside = F.transform(F.sequence(F.lit(1), F.lit(n - gram + 1)), lambda i: hashed(F.slice("t", i, F.lit(gram))))
     parts = items.withColumn("t", F.when(F.col("as_folded"), folded("bw")).otherwise(F.col("bc"))).select(F.explode(F.when(F.size("bw") < n, F.array("h")).otherwise(inside)).alias("h"))
     parts = written(parts.distinct(), "decontamination-runs")
@@ -128,14 +131,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_literal:
     again = tokens(narrowed(rows, hits.select("row"), "row").dropDuplicates(["row"]).join(hits, "row"), "t")
     last = F.size("c") - (n - 1)
 
+    # a place is one number, start and size, as Spark finds equal structs in an array by comparing all with all
+    code = lambda at, size: F.shiftleft(at.cast("long"), 32) + size
+
     def around(x: Column) -> Column:
         lo, hi = F.greatest(F.lit(1), x["at"] - (n - gram)), F.least(x["at"], last)
-        wide = F.when(hi >= lo, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"))))
-        return F.when(x["whole"], F.array(F.struct(x["at"].alias("at"), x["size"].alias("size")))).otherwise(F.coalesce(wide, F.array().cast("array<struct<at:int,size:int>>")))
+        wide = F.when(hi >= lo, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda i: code(i, F.lit(n))))
+        return F.when(x["whole"], F.array(code(x["at"], x["size"]))).otherwise(F.coalesce(wide, F.array().cast("array<bigint>")))
 
     places = F.array_distinct(F.flatten(F.transform("x", around)))
     # windows are cut before they become rows: an explode copies what is selected beside it
-    cut = lambda x: F.struct(F.slice("w", x["at"], x["size"]).alias("dw"), F.slice("c", x["at"], x["size"]).alias("dc"))
+    at, size = lambda x: F.shiftright(x, 32).cast("int"), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    cut = lambda x: F.struct(F.slice("w", at(x), size(x)).alias("dw"), F.slice("c", at(x), size(x)).alias("dc"))
     seen = again.select("row", F.explode(F.transform(places, cut)).alias("y")).select("row", "y.dw", "y.dc")
     seen = seen.select("row", "dw", "dc", F.explode(F.array_distinct(F.array(hashed(F.col("dc")), hashed(folded("dw"))))).alias("h"))
     # a passage that very many documents hold is one key: broadcast items need no group of it
@@ -145,6 +152,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_literal:
     met = held(met, "p", pairs)
     side = lambda f: F.size(F.array_distinct(F.transform("p", lambda s: F.struct(s["k"], s[f]))))
     consistent = met.where(F.col("as_folded") | ((side("b") == F.size("p")) & (side("d") == F.size("p"))))
+    if short and short[0] < min_literal:
+        tiny = F.size("bw") < min_literal
+        often = written(consistent.where(tiny).groupBy("item").agg(F.count_distinct("row").alias("n_rows")), "decontamination-tiny")
+        common = often.where(F.col("n_rows") > max(1, COMMON_SHARE * docs.count())).select("item")  # a row an item that short
+        consistent = consistent.where(~tiny).union(consistent.where(tiny).join(common, "item", "left_anti").select(consistent.columns))
     by_item = consistent.groupBy("row", "item").agg(F.count_if(~F.col("as_folded")).alias("framed"), F.count_if("as_folded").alias("folded"))
     return by_item.select("row", "item", F.when(F.col("framed") > 0, F.col("framed")).otherwise(F.col("folded")).alias("n_windows"))
 

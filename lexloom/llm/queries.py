@@ -144,7 +144,7 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 
 def op4_sql() -> str:
-    from lexloom.llm.decontamination import MIN_LITERAL, TOKEN, UNITS, WINDOW
+    from lexloom.llm.decontamination import COMMON_SHARE, MIN_LITERAL, TOKEN, UNITS, WINDOW
 
     units = ", ".join(f"'{u}'" for u in UNITS)
     kind = f"case when t[1] between '0' and '9' then '<num>' when t[1] <> lower(t)[1] and substr(t, 2, 1) = lower(substr(t, 2, 1)) then '<name>' when lower(t) in ({units}) then '<unit>' else lower(t) end"
@@ -158,7 +158,16 @@ def op4_sql() -> str:
         f"bs as (select distinct * from b where len(list_filter(c, lambda t: not starts_with(t, '<'))) >= {MIN_LITERAL}), "
         f"m as (select doc_id, item_id, list_distinct(list_filter(list_transform(range(1, {WINDOW + 1}), lambda i: [bs.c[i], lower(bs.w[i]), lower(d.w[i])]), lambda s: starts_with(s[1], '<'))) p from d join bs on d.c = bs.c), "
         "ok as (select doc_id, item_id, count(*) n from m where len(list_distinct(list_transform(p, lambda s: [s[1], s[2]]))) = len(p) and len(list_distinct(list_transform(p, lambda s: [s[1], s[3]]))) = len(p) group by 1, 2), "
-        "h as (select doc_id, sum(n)::bigint n_windows, list_sort(list(item_id)) items from ok group by 1) "
+        # case-folded windows, and items shorter than a window as one
+        f"bt as materialized (select item_id, regexp_extract_all(coalesce(text, ''), '{token}') w from benchmark), "
+        f"bl as (select item_id, list_transform(w, lambda t: lower(t)) f from (select distinct item_id, w from b) x union all select item_id, list_transform(w, lambda t: lower(t)) from bt where len(w) between 1 and {WINDOW - 1}), "
+        f"dt as materialized (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{token}'), lambda t: lower(t)) w from documents), "
+        "dl as (select doc_id, w[i:i + m - 1] f from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) i from dt cross join (select distinct len(f) m from bl) x where len(w) >= m)), "
+        "fm as materialized (select doc_id, item_id, len(dl.f) m, count(*) n from dl join bl on dl.f = bl.f group by 1, 2, 3), "
+        f"often as (select item_id from fm where m < {MIN_LITERAL} group by 1 having count(distinct doc_id) > greatest(1, {COMMON_SHARE} * (select count(*) from documents))), "
+        "fl as (select doc_id, item_id, n from fm where item_id not in (select item_id from often)), "
+        "both_ as (select coalesce(ok.doc_id, fl.doc_id) doc_id, coalesce(ok.item_id, fl.item_id) item_id, coalesce(ok.n, fl.n) n from ok full join fl on ok.doc_id = fl.doc_id and ok.item_id = fl.item_id), "
+        "h as (select doc_id, sum(n)::bigint n_windows, list_sort(list(item_id)) items from both_ group by 1) "
         "select documents.doc_id, h.doc_id is not null contaminated, coalesce(n_windows, 0)::bigint n_windows, coalesce(items, []) items from documents left join h on h.doc_id = documents.doc_id"
     )
 

@@ -236,14 +236,14 @@ def test_decontamination_finds_other_numbers_and_names(spark, odd, empty):
 
 
 def test_decontamination_of_short_items_nulls_ties_and_long_texts(spark):
-    bench = spark.createDataFrame([(1, "What is the capital of France today please"), (2, "two words"), (3, None), (4, ""), (5, "What is the capital of France today please"), (6, "one two three four five")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "What is the capital of France today please"), (2, "two words"), (3, None), (4, ""), (5, "What is the capital of France today please"), (6, "one two three four five"), (7, "That goes"), (8, "Which planet is largest")], "item_id long, text string")
     long = "filler text that goes on and on " * 20_000
-    texts = [(1, "intro what is the CAPITAL of france today please end"), (2, "two words are here"), (3, None), (4, ""), (5, long + "what is the capital of France today please"), (6, long), (7, "one two three four five one two three four five"), (7, "one two three four five one two three four five"), (None, "and one two three four five")]
+    texts = [(1, "intro what is the CAPITAL of france today please end"), (2, "two words are here"), (3, None), (4, ""), (5, long + "what is the capital of France today please"), (6, long), (7, "one two three four five one two three four five"), (7, "one two three four five one two three four five"), (None, "and one two three four five"), (9, "quiz: which planet is largest? Jupiter")]
     docs = documents(spark, [(i, t, "s") for i, t in texts])
     got = Counter((r.doc_id, r.contaminated, r.n_windows, tuple(r["items"])) for r in decontamination.decontaminate(docs, bench).collect())
-    assert got == Counter({(1, True, 2, (1, 5)): 1, (2, False, 0, ()): 1, (3, False, 0, ()): 1, (4, False, 0, ()): 1, (5, True, 2, (1, 5)): 1, (6, False, 0, ()): 1, (7, True, 2, (6,)): 2, (None, True, 1, (6,)): 1})
+    assert got == Counter({(1, True, 2, (1, 5)): 1, (2, True, 1, (2,)): 1, (9, True, 1, (8,)): 1, (3, False, 0, ()): 1, (4, False, 0, ()): 1, (5, True, 2, (1, 5)): 1, (6, False, 0, ()): 1, (7, True, 2, (6,)): 2, (None, True, 1, (6,)): 1})
     clean = decontamination.without_contaminated(docs, bench)
-    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 6]
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 6]  # two rows hold "that goes": a phrase that everyone says
 
 
 def test_decontamination_finds_copies_in_other_case(spark):
