@@ -31,6 +31,6 @@ def test_sql_rewards_run_nothing_but_queries(spark):
     assert ask("select k, v from t") == ask("SELECT x.k, x.v FROM t AS x WHERE true ORDER BY 1") == ask("with u as (select * from t) select * from u") == sql_rewards.RIGHT
     assert ask("select distinct k, v from t") == ask("select k from t") == ask("select v, k from t") == sql_rewards.WRONG
     assert ask("select k, raise_error('x') v from t") == sql_rewards.NO_RUN
-    assert ask("insert into t values (1, 'a')") == ask("select k from t where order") == sql_rewards.NO_PARSE
+    assert ask("insert into t values (1, 'a')") == ask("select k from (") == sql_rewards.NO_PARSE
     assert ask("select z from t") == sql_rewards.NO_SUCH_NAME
     assert sql_rewards.reward(spark, "```sql\nselect 1\n```\n```sql\nselect 2\n```", wanted, {}) == sql_rewards.NO_QUERY
