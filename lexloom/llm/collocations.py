@@ -9,8 +9,10 @@ any of its phrases, so no frequent phrase can fail. The number of cells follows
 the bytes of the corpus, and blobs of a range hold as many cells at any size.
 
 Second pass: phrases whose cells both passed are counted exactly, by their words.
-The bits are broadcast up to BROADCAST_BYTES; beyond that each batch sends its
-phrases with their cells, and two semi-joins with the passing cells select them.
+The bits are broadcast up to BROADCAST_BYTES; larger ones are folded to that size
+first: cells that agree in their lower digits become one, which passes if any of
+them does. So again no frequent phrase can fail, and the exact counts drop what
+passes besides. Phrases that cannot be frequent are never shuffled.
 
 Then every candidate is cut at each place and looks its two parts up, which are
 frequent as well, and phrases inside a longer one that has most of their count
@@ -41,7 +43,7 @@ ABSORBED, SCORE_UNIT = 80, 2_000_000
 #: Bytes of text (about half as many phrases of one to four words) for each cell of a row of the sketch.
 BYTES_A_CELL = 16
 FEWEST_CELLS_LOG2, RANGE_LOG2 = 20, 20
-#: Bits of passing cells that are sent to every executor at most; with more, phrases are joined with the cells.
+#: Bits of passing cells that are sent to every executor at most; more are folded to that.
 BROADCAST_BYTES = 64 << 20
 #: Text that is hashed at once (sixteen times as much memory), and cells that are counted together.
 BATCH_BYTES, CELLS_AT_ONCE = 2 << 20, 4 << 20
@@ -181,25 +183,41 @@ def sketch(rows: DataFrame, cells_log2: int, range_log2: int) -> DataFrame:
 PARTIAL = "lang string, phrase string, k int, n long"
 
 
+def folded(bits: DataFrame, cells_log2: int, range_log2: int, to_log2: int) -> tuple[DataFrame, int]:
+    """row, range, bits of 2^to_log2 cells a row, and the size of their ranges: a cell passes if one that agrees with it in the lower to_log2 digits does."""
+    if to_log2 >= cells_log2:
+        return bits, range_log2
+    inner = min(range_log2, to_log2)
+
+    def united(frame):
+        import pandas as pd
+
+        total = np.zeros(1 << inner - 3, np.uint8)
+        for raw in frame.bits:
+            total |= np.bitwise_or.reduce(np.frombuffer(raw, np.uint8).reshape(-1, len(total)), axis=0)
+        return pd.DataFrame({"row": frame.row.iloc[:1].to_numpy(), "range": frame.range.iloc[:1].to_numpy(), "bits": [total.tobytes()]})
+
+    dealt = bits.withColumn("range", F.col("range").bitwiseAND(F.lit((1 << to_log2 - inner) - 1).cast("long")))
+    return dealt.groupBy("row", "range").applyInPandas(united, "row int, range long, bits binary"), inner
+
+
 def exact(rows: DataFrame, bits: DataFrame, cells_log2: int, range_log2: int, at_most: int) -> DataFrame:
     """lang, phrase, k, n: exact counts of all phrases that occur MIN_COUNT times; and, as k = 0, of a language's words."""
     import pyarrow as pa
 
-    shared = None
-    if ROWS << max(0, cells_log2 - 3) <= at_most:
-        whole = np.zeros((ROWS, 1 << (cells_log2 - 3)), np.uint8)
-        width = 1 << (range_log2 - 3)
-        for r in bits.toLocalIterator():
-            whole[r.row, r.range * width : (r.range + 1) * width] = np.frombuffer(bytes(r.bits), np.uint8)
-        shared = rows.sparkSession.sparkContext.broadcast(whole)
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64())])
+    to_log2 = min(cells_log2, max(3, (at_most * 8 // ROWS).bit_length() - 1))
+    bits, inner = folded(bits, cells_log2, range_log2, to_log2)
+    whole, width = np.zeros((ROWS, 1 << (to_log2 - 3)), np.uint8), 1 << (inner - 3)
+    for r in bits.toLocalIterator():
+        whole[r.row, r.range * width : (r.range + 1) * width] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(whole)
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
 
     def passes(h):
         held = np.ones(len(h), bool)
-        if shared:
-            for row in range(ROWS):
-                c = cell(h, row, cells_log2)
-                held &= (shared.value[row][c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        for row in range(ROWS):
+            c = cell(h, row, cells_log2) & np.uint64((1 << to_log2) - 1)
+            held &= (shared.value[row][c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return held
 
     def count(batches):
@@ -209,45 +227,20 @@ def exact(rows: DataFrame, bits: DataFrame, cells_log2: int, range_log2: int, at
                 starts, ends, by_length = phrases(x, lang)
                 for k, (i, h) in enumerate(by_length, 1):
                     held = passes(h)
-                    i, h = i[held], h[held]
-                    spans = zip(starts[i].tolist(), ends[i + k - 1].tolist(), strict=True)
-                    if shared:
-                        n = Counter([x[a:b] for a, b in spans])
-                        cells = [[0] * len(n)] * 2
-                    else:
-                        n = Counter(zip([x[a:b] for a, b in spans], *[cell(h, row, cells_log2).tolist() for row in range(ROWS)], strict=True))
-                        cells = [[w[1 + row] for w in n] for row in range(ROWS)]
-                    words = list(n) if shared else [w[0] for w in n]
+                    i = i[held]
+                    n = Counter([x[a:b] for a, b in zip(starts[i].tolist(), ends[i + k - 1].tolist(), strict=True)])
+                    words = list(n)
                     for at in range(0, len(words), 20_000):
                         some = slice(at, at + 20_000)
                         m = len(words[some])
-                        values = [[lang] * m, [w.decode() for w in words[some]], [k] * m, list(n.values())[some], cells[0][some], cells[1][some]]
+                        values = [[lang] * m, [w.decode() for w in words[some]], [k] * m, list(n.values())[some]]
                         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([[lang], [""], [0], [len(starts)], [0], [0]], schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip([[lang], [""], [0], [len(starts)]], schema, strict=True)], schema=schema)
 
-    met = rows.mapInArrow(frugal(count), PARTIAL + ", c0 long, c1 long")
-    if not shared:
-        totals = met.where("k = 0")
-        met = met.where("k > 0")
-        for row in range(ROWS):
-            met = met.join(passing(bits.where(F.col("row") == row), range_log2).withColumnRenamed("cell", f"c{row}"), f"c{row}", "left_semi")
-        met = met.select("lang", "phrase", "k", "n").union(totals.select("lang", "phrase", "k", "n"))
+    met = rows.mapInArrow(frugal(count), PARTIAL)
     return met.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= MIN_COUNT) | (F.col("k") == 0))
 
 
-def passing(bits: DataFrame, range_log2: int) -> DataFrame:
-    """cell: the numbers of the set bits."""
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            for part, raw in zip(f.range, f.bits, strict=True):
-                yield pd.DataFrame({"cell": np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")) + (int(part) << range_log2)})
-
-    return bits.mapInPandas(run, "cell long")
-
-
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", at_most: int = BROADCAST_BYTES) -> DataFrame:
     """lang, phrase, k, n of all phrases of up to LONGEST words that occur MIN_COUNT times in a language; k = 0: all its words."""
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))

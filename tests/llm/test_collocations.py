@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lexloom.llm import collocations
@@ -86,3 +87,17 @@ def test_a_sketch_never_counts_less(spark):
         for row in range(collocations.ROWS):
             for c in collocations.cell(h, row, 16).tolist():
                 assert bits[row, c >> 12][(c & 4095) >> 3] >> (c & 7) & 1
+
+
+def test_folded_bits_lose_no_cell_and_rare_phrases_are_not_shuffled(spark):
+    r = random.Random(6)
+    docs = [("en", " ".join(f"w{r.randrange(20_000)}" for _ in range(200)) + " one two three") for _ in range(200)]
+    rows = spark.createDataFrame(docs, "lang string, text string").repartition(4)
+    bits = collocations.sketch(rows, 18, 12).cache()
+    at = lambda frame, inner: {(x.row, (x.range << inner) + int(c)) for x in frame.collect() for c in np.flatnonzero(np.unpackbits(np.frombuffer(bytes(x.bits), np.uint8), bitorder="little"))}
+    for to_log2 in (15, 10):  # more and fewer cells than a range has
+        fold, inner = collocations.folded(bits, 18, 12, to_log2)
+        assert inner == min(12, to_log2) and at(fold, inner) == {(row, c & ((1 << to_log2) - 1)) for row, c in at(bits, 12)}
+    got = collocations.exact(rows, bits, 18, 12, 2 << 13)  # 2^16 cells a row
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert {"one two three", "one two", "two three"} == {x.phrase for x in got.collect() if x.k >= 2}
