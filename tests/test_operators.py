@@ -283,6 +283,23 @@ def test_nearest_blocks_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("rows", "queries"), [(7, 3), (2, 1)])
+def test_nearest_in_slices_equals_brute_force(spark, monkeypatch, rows, queries):
+    """Products are taken slice by slice, however large a batch is: also slices with fewer rows than neighbours, and equal products."""
+    import numpy as np
+
+    from lexloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "ROWS", rows)
+    monkeypatch.setattr(neighbours, "QUERIES", queries)
+    r = np.random.default_rng(5)
+    x = r.integers(-1, 2, (40, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    got = sorted((row.a, row.b) for row in neighbours.nearest(df, df.where("k % 5 = 0"), "k", "v", 3).collect())
+    want = sorted((a, b) for a in range(0, 40, 5) for b in sorted((b for b in range(40) if b != a), key=lambda b: (-round(x[a] @ x[b], 6), b))[:3])
+    assert got == want
+
+
 def test_streams_filter_and_alert(spark):
     names = ("contamination_stream", "clean_documents_stream")
     bad, good = ({x.doc_id for x in catalogue.queries()[n](spark, "/root/testdata/sf0.001").collect()} for n in names)
