@@ -30,11 +30,9 @@ add("bloom_items_13", lambda s, d: bloom.items_met(docs(s, d), table(s, d, "benc
 def _false_positives(spark, d, n=5):
     """Hashes that no n-gram has (n-grams salted with a mark) against the filter of all n-grams: how many there are, and whether at most one in a hundred passes."""
     f = bloom.ngram_filter(docs(spark, d), n)
-    own = bloom.ngram_hashes(docs(spark, d), n).select(F.explode("hs").alias("h"))
-    absent = own.distinct().select(F.xxhash64("h", F.lit("absent")).alias("h"))
-    passed = bloom.maybe(f, absent).agg(F.count("*").alias("n_passed"))
-    kept = bloom.maybe(f, own).agg(F.count("*").alias("n_kept"))
-    every = absent.agg(F.count("*").alias("n_absent")).crossJoin(passed).crossJoin(kept)  # one row each
+    own = bloom.ngram_hashes(docs(spark, d), n)
+    salted = own.select(F.transform("hs", lambda h: F.xxhash64(h, F.lit("absent"))).alias("hs"))
+    every = bloom.counted(f, own).select(F.col("n").alias("n_absent"), F.col("n_held").alias("n_kept")).crossJoin(bloom.counted(f, salted).select(F.col("n_held").alias("n_passed")))  # one row each
     return every.select("n_absent", (F.col("n_passed") <= F.col("n_absent") * 0.01).alias("few_pass"), (F.col("n_kept") == F.col("n_absent")).alias("all_kept"))
 
 

@@ -97,3 +97,21 @@ def test_next_fit_streams(spark):
     rows = [(0, 5), (1, 5), (2, 1), (3, 11), (4, None), (7, 10), (10, 4), (12, 4), (13, 3), (13, 1)]
     got = sorted(tuple(x) for x in next_fit(spark.createDataFrame(rows, "id long, size int").repartition(3), "id", "size", 10, shard=10).collect())
     assert got == [(0, 0, 0, 0), (0, 1, 0, 5), (0, 2, 1, 0), (0, 7, 2, 0), (1, 10, 0, 0), (1, 12, 0, 4), (1, 13, 0, 8), (1, 13, 1, 0)]
+
+
+def test_probes_meet_one_shard_at_a_time(spark, monkeypatch):
+    """However many shards a filter has, a task holds one of them; hashes are counted by shard."""
+    monkeypatch.setattr(bloom, "SHARD_LOG2", 12)
+    monkeypatch.setattr(bloom, "POSITIONS_AT_ONCE", 50)
+    r = random.Random(5)
+    own = [r.randrange(-(1 << 63), 1 << 63) for _ in range(30_000)]
+    frame = spark.createDataFrame([(own[i : i + 100] + own[:3],) for i in range(0, len(own), 100)], "hs array<long>").repartition(4)
+    f = bloom.build(frame, len(own))
+    assert f.table.count() > 50
+    assert tuple(bloom.counted(f, frame).first()) == (len(set(own)), len(set(own)))
+    absent = spark.createDataFrame([([r.randrange(-(1 << 63), 1 << 63) for _ in range(40_000)],)], "hs array<long>")
+    n, held = bloom.counted(f, absent).first()
+    assert n == 40_000 and held <= 500
+    assert tuple(bloom.counted(f, absent.limit(0)).first()) == (0, 0)
+    plan = bloom.maybe(f, spark.createDataFrame([(h,) for h in own], "h long"))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
