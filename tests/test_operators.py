@@ -27,6 +27,44 @@ def test_minhash_matches_python_integers(spark):
     assert got[2] == got[3] == [dedup.EMPTY_HASH] * 8
 
 
+def test_minima_match_python_integers_at_the_edges():
+    import numpy as np
+
+    x = [0, 1, 2**31 - 1, 2**31, 2**32 - 1, 12345, 987654321]
+    perms = [(1, 0), (dedup.MERSENNE - 1, dedup.MERSENNE - 1), (1 << 60, 5), ((1 << 30) - 1, 0), *dedup.permutations(40, 9)]
+    want = [[min((a * v + b) % dedup.MERSENNE & 0xFFFFFFFF for v in x[lo:hi]) for a, b in perms] for lo, hi in ((0, 3), (3, 7))]
+    assert dedup.minima(np.array(x, np.uint64), np.array([0, 3]), perms).tolist() == want
+
+
+@pytest.mark.parametrize("common", [1, 10**9])
+def test_similar_pairs_equal_brute_force_and_ship_few_sets(spark, monkeypatch, common):
+    """The same pairs whatever shingles count as common; sets of one passage in common are ruled out by their prefixes."""
+    import random
+
+    monkeypatch.setattr(dedup, "COMMON", common)
+    r = random.Random(8)
+    fresh = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    passage, texts = fresh(12), []
+    for size in (6, 20, 60, 150):
+        base = fresh(size)
+        for changes in (0, 0, 1, 2, 5):
+            w = list(base)
+            for _ in range(changes):
+                w[r.randrange(len(w))] = "changed"
+            texts += [w, w[: len(w) * 3 // 4], w + fresh(2)]
+    texts += [fresh(150) + passage + fresh(150) for _ in range(12)] + [["one"], ["one"], ["a", "b"], []]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in texts]
+    want = sorted((i, j, len(x & y), len(x | y)) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x | y and len(x & y) >= 0.7 * len(x | y))
+    tables = []
+    monkeypatch.setattr(dedup, "written", lambda df, f=dedup.written: tables.append(f(df)) or tables[-1])
+    monkeypatch.setattr(dedup, "freed", lambda *t: None)
+    assert sorted(map(tuple, dedup.similar_pairs(docs, 0.7).collect())) == want and len(want) > 30
+    ends = set(range(len(texts) - 16, len(texts) - 4))  # the twelve with the passage
+    met = [(x.a, x.b) for t in tables if t.columns == ["a", "b"] for x in t.collect()]
+    assert met and not [p for p in met if ends & set(p)]
+
+
 def test_best_member_wins_ties_by_smallest_id(spark):
     m = spark.createDataFrame([(5, 1, 0.5), (4, 1, 0.9), (3, 1, 0.9)], "doc_id long, component long, score double")
     assert dedup.keep_best(m, "score").first().doc_id == 3
