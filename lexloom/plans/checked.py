@@ -34,7 +34,7 @@ add("exact_dedup_of_ideal", _exact_recall, f"with recursive {COMPONENTS}, x as (
 # D-13: candidates of banding, verified exactly
 add(
     "lsh_verified",
-    lambda s, d: D.verified(D.written(D.lsh_candidates(D.written(D.signatures(docs(s, d), PERMS)), 4, 4)), D.shingle_sets(docs(s, d)), 0.7),
+    lambda s, d: D.lsh_pairs(docs(s, d), PERMS, 4, 4, 0.7),
     f"with {_sig_sql(PERMS)}, {FULL}, {BANDS.format(r=4)}, c as (select doc_id, count(*) n from sh group by 1), i as (select a, b, count(*) inter from cand join sh x on x.doc_id = a join sh y on y.doc_id = b and x.g = y.g group by 1, 2) select a, b, inter, p.n + q.n - inter uni from i join c p on p.doc_id = a join c q on q.doc_id = b where inter >= 0.7 * (p.n + q.n - inter)",
 )
 

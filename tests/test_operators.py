@@ -65,6 +65,18 @@ def test_similar_pairs_equal_brute_force_and_ship_few_sets(spark, monkeypatch, c
     assert met and not [p for p in met if ends & set(p)]
 
 
+def test_banding_compares_one_document_of_each_set(spark, monkeypatch):
+    """Copies are listed pair by pair, but only their first document is signed; pairs of too different sizes ship no set."""
+    text = "a b c d e f g h i j k l"
+    docs = spark.createDataFrame([(i, text) for i in range(30)] + [(50, text + " m"), (60, ""), (61, None), (70, " ".join(f"v{i}" for i in range(30)))], "doc_id long, text string")
+    signed = []
+    monkeypatch.setattr(dedup, "signatures", lambda df, perms, f=dedup.signatures: signed.append(f(df, perms)) or signed[-1])
+    got = sorted(tuple(x) for x in dedup.lsh_pairs(docs, dedup.permutations(16), 16, 1, 0.7).collect())
+    copies = [(i, j, 8, 8) for i in range(30) for j in range(i + 1, 30)]
+    assert got == sorted(copies + [(i, 50, 8, 9) for i in range(30)])
+    assert {x.doc_id for x in signed[0].collect()} == {0, 50, 60, 61, 70}
+
+
 def test_best_member_wins_ties_by_smallest_id(spark):
     m = spark.createDataFrame([(5, 1, 0.5), (4, 1, 0.9), (3, 1, 0.9)], "doc_id long, component long, score double")
     assert dedup.keep_best(m, "score").first().doc_id == 3
