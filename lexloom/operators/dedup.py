@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import held, md5_bucket, shingles, words
+from lexloom.operators import windows
 from lexloom.operators.shared import freed, small, written
 
 MERSENNE = (1 << 61) - 1
@@ -240,6 +241,19 @@ def keep_first_units(docs: DataFrame, mark: str, least: int = 20, key: str = "do
     return kept.select(key, F.array_join(F.transform("x", lambda v: v["unit"]), mark.replace("[.]", ".")).alias(text), "n_removed")
 
 
+def repeated_windows(docs: DataFrame, n: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """h, n, first_doc: the md5 of each window of n words that the corpus has more than once, its count and the least key that has it. Texts are joined only to the first places of such windows."""
+    first = windows.repeated(docs, n, key, text, firsts=True).groupBy("key").agg(F.collect_list(F.struct("place", "h", "n")).alias("x"))
+    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(windows.NO_KEY)).alias("key"), F.col(key).alias("first_doc"), F.col(text).alias("t"))
+    met = held(texts.join(first, "key"), "w", words(F.col("t"))).where(F.size("w") >= n)
+    several = not texts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    if several:  # of rows that share a key, those that have the window there
+        same = windows.same_windows(n)(F.transform("w", lambda v: F.xxhash64(v)), F.col("x.place"), F.col("x.h"))
+        met = met.withColumn("x", F.transform(F.filter(F.arrays_zip(F.col("x"), same.alias("same")), lambda v: v["same"]), lambda v: v["x"]))
+    out = met.select("first_doc", "w", F.inline("x")).select(F.md5(F.array_join(F.slice("w", F.col("place"), F.lit(n)), " ")).alias("h"), "n", "first_doc")
+    return out.dropDuplicates(["h"]) if several else out
+
+
 def mask_repeated_windows(docs: DataFrame, n: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, words, n_removed: a text's words without those in a window of n words that came before in the corpus (in the order of key and place). Windows are two 64-bit hashes; only repeated ones are joined back."""
     w = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w"))

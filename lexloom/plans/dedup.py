@@ -158,12 +158,9 @@ def _units(mark, joiner):
 
 add("sentence_dedup", *_units("[.]", "'.'"))
 add("paragraph_dedup", *_units("\n", "chr(10)"))
-_WIN = {
-    "spark": "(select doc_id, i, md5(array_join(slice(w, i, 20), ' ')) h from (select doc_id, w, explode(sequence(1, size(w) - 19)) i from (select doc_id, WORDS(text) w from documents) where size(w) >= 20))",
-    "duck": "(select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) h from (select doc_id, w, unnest(range(1, len(w) - 18)) i from (select doc_id, WORDS(text) w from documents)))",
-}
+_WIN = "(select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) h from (select doc_id, w, unnest(range(1, len(w) - 18)) i from (select doc_id, WORDS(text) w from documents)))"
 _RW = "with x as {t}, c as (select h, count(*) n, min(doc_id) first_doc from x group by h having count(*) > 1) select h, n, first_doc from c"
-both("repeated_windows", _RW.format(t=_WIN["duck"]), _RW.format(t=_WIN["spark"]))
+add("repeated_windows", lambda s, d: D.repeated_windows(docs(s, d)), _RW.format(t=_WIN))
 add("repeated_window_docs", lambda s, d: D.mask_repeated_windows(docs(s, d)).select("doc_id", F.md5(F.array_join("words", " ")).alias("kept_md5"), "n_removed"), "with w as materialized (select doc_id, WORDS(coalesce(text, '')) w from documents), x as (select doc_id, i, array_to_string(w[i:i + 19], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 18)) i from w)), r as (select doc_id, i, row_number() over (partition by g order by doc_id, i) rn from x), b as (select distinct doc_id, unnest(range(i, i + 20)) p from r where rn > 1), k as (select doc_id, unnest(w) e, generate_subscripts(w, 1) p from w), m as (select k.doc_id, string_agg(e, ' ' order by k.p) filter (where b.p is null) t, count(b.p) n from k left join b on b.doc_id = k.doc_id and b.p = k.p group by 1) select w.doc_id, md5(coalesce(t, '')) kept_md5, coalesce(n, 0)::bigint n_removed from w left join m on m.doc_id = w.doc_id")
 _SIM = "with w as (select doc_id, EACH(WORDS(text)) w from documents), h as (select doc_id, H32(w) h from w) select doc_id, " + " + ".join(f"case when sum(case when {{t{b}}} then 1 else -1 end) > 0 then {1 << b} else 0 end" for b in range(16)) + " simhash from h group by doc_id"
 both("simhash16", ("select doc_id, BIG(simhash) simhash from (" + _SIM + ") s").format(**{f"t{b}": f"(h >> {b}) & 1 = 1" for b in range(16)}), ("select doc_id, BIG(simhash) simhash from (" + _SIM + ") s").format(**{f"t{b}": f"getbit(h, {b}) = 1" for b in range(16)}))

@@ -1,11 +1,12 @@
 """Windows of words by shard against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 
-from lexloom.operators import windows
+from lexloom.operators import dedup, windows
 
 
 def some_docs(spark):
@@ -46,3 +47,26 @@ def test_hashes_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(windows, "HASHED_AT_ONCE", 9)
     assert all((a == b).all() for a, b in zip(whole, windows.hashed(x, sizes, 4), strict=True))
     assert len(whole[1]) == sum(max(0, s - 3) for s in sizes)
+
+
+@pytest.mark.parametrize("own_keys", [True, False])
+def test_repeated_windows_of_rows_that_share_a_key(spark, monkeypatch, own_keys):
+    monkeypatch.setattr(windows, "WORDS_AT_ONCE", 100)
+    docs, rows = some_docs(spark)
+    if not own_keys:
+        rows = [(None if k is None else k // 2, t) for k, t in rows] + [(None, "new " + rows[9][1])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    met = {}
+    for k, t in rows:
+        for g in grams(t, 4):
+            met.setdefault(hashlib.md5(" ".join(g).encode()).hexdigest(), []).append(k)
+    want = {(h, len(ks), min((k for k in ks if k is not None), default=None)) for h, ks in met.items() if len(ks) > 1}
+    got = [tuple(x) for x in dedup.repeated_windows(docs, 4).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_places_take_few_bytes(spark):
+    """A window is sent with its place in less than the 24 bytes of two hashes and a key."""
+    docs = spark.range(300).selectExpr("id doc_id", "array_join(transform(sequence(1, 2000), i -> md5(concat(id, ':', i))), ' ') text").coalesce(1)
+    blobs = windows.sent(windows.word_hashes(docs, "doc_id", "text"), (20,), True)
+    assert blobs.selectExpr("sum(length(hs) + length(keys) + length(places)) n").first().n < 12 * 300 * 1981
