@@ -255,14 +255,10 @@ def repeated_windows(docs: DataFrame, n: int = 20, key: str = "doc_id", text: st
 
 
 def mask_repeated_windows(docs: DataFrame, n: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, words, n_removed: a text's words without those in a window of n words that came before in the corpus (in the order of key and place). Windows are two 64-bit hashes; only repeated ones are joined back."""
-    w = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    pair = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct(F.xxhash64(F.slice("w", i, F.lit(n))).alias("h"), F.xxhash64(F.lit(n), F.slice("w", i, F.lit(n))).alias("g"), i.alias("i")))
-    each = held(docs.select(key, text), "w", words(F.col(text))).where(F.size("w") >= n).select(key, F.inline(pair))
-    again = each.groupBy("h", "g").agg(F.min(F.struct(key, "i")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    bad = each.join(small(written(again.select("h", "g", "first"))), ["h", "g"]).where(F.struct(key, "i") != F.col("first"))
-    spans = bad.groupBy(key).agg(F.collect_set("i").alias("starts"))
-    out = w.join(spans, key, "left")
+    """key, words, n_removed: a text's words without those in a window of n words that came before in the corpus (in the order of key and place). Keys are whole numbers; only the places of repeated windows are sent back to the texts."""
+    bad = windows.repeated(docs, n, key, text, firsts=False).where(F.col("key") != windows.NO_KEY)
+    spans = bad.groupBy("key").agg(F.collect_set("place").alias("starts")).withColumn("key", F.col("key").cast(docs.schema[key].dataType)).withColumnRenamed("key", key)
+    out = held(docs.select(key, F.col(text).alias("t")).join(spans, key, "left"), "w", words(F.coalesce("t", F.lit(""))))
     # a word goes if a window that starts at it or up to n - 1 words before is bad
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (n - 1)))))
     out = held(out, "gone", F.coalesce(covered, F.array().cast("array<int>")))

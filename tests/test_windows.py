@@ -65,6 +65,21 @@ def test_repeated_windows_of_rows_that_share_a_key(spark, monkeypatch, own_keys)
     assert len(got) == len(want) and set(got) == want
 
 
+def test_masked_words_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(windows, "WORDS_AT_ONCE", 100)
+    docs, rows = some_docs(spark)
+    rows = [(k, t) for k, t in rows if k is not None]
+    seen, want = set(), {}
+    for k, t in sorted(rows, key=lambda x: x[0]):
+        w, gone = [g[0] for g in grams(t, 1)], set()
+        for i, g in enumerate(grams(t, 4)):
+            gone |= set(range(i, i + 4)) if g in seen else set()
+            seen.add(g)
+        want[k] = ([x for i, x in enumerate(w) if i not in gone], len(gone))
+    got = {x.doc_id: (list(x.words), x.n_removed) for x in dedup.mask_repeated_windows(docs.where("doc_id is not null"), 4).collect()}
+    assert got == want
+
+
 def test_places_take_few_bytes(spark):
     """A window is sent with its place in less than the 24 bytes of two hashes and a key."""
     docs = spark.range(300).selectExpr("id doc_id", "array_join(transform(sequence(1, 2000), i -> md5(concat(id, ':', i))), ' ') text").coalesce(1)
