@@ -149,7 +149,9 @@ both(
 # F rows
 _W = "with t as (select doc_id, text, lang, source, WSWORDS(text) w, LINES(text) l from documents) "
 both("filter_word_count", _W + "select doc_id, SIZE(w) n_words from t where SIZE(w) between 50 and 100000")
-both("filter_mean_word_length", _W + "select doc_id, DBL(length(replace(JOINED(w, ' '), ' ', ''))) / SIZE(w) mean_len from t where SIZE(w) > 0 and DBL(length(replace(JOINED(w, ' '), ' ', ''))) / SIZE(w) between 3 and 10")
+# Spark computes the quotient before it asks for SIZE(w) > 0, as it is used more than once: there texts without words divide by null
+_MEAN = "select doc_id, DBL(length(replace(JOINED(w, ' '), ' ', ''))) / SIZE(w) mean_len from t where SIZE(w) > 0 and DBL(length(replace(JOINED(w, ' '), ' ', ''))) / SIZE(w) between 3 and 10"
+both("filter_mean_word_length", _W + _MEAN, _W + _MEAN.replace("/ SIZE(w)", "/ nullif(SIZE(w), 0)"))
 both("filter_symbol_ratio", _W + "select doc_id, DBL(COUNT_RE(text, '[!@#$%^&*()]')) / SIZE(w) ratio from t where SIZE(w) > 0 and COUNT_RE(text, '[!@#$%^&*()]') <= 0.1 * SIZE(w)")
 both("filter_line_punctuation", "select doc_id, BIG(sum(case when MATCHES(line, '[.!?]$') then 1 else 0 end)) n_ended, count(*) n_lines from (select doc_id, EACH(LINES(text)) line from documents) t group by doc_id")
 both("filter_upper_case", "select doc_id, COUNT_RE(text, '\\p{Lu}') * 2 > COUNT_RE(text, '\\p{L}') mostly_upper from documents", "select doc_id, COUNT_RE(text, '\\\\p{Lu}') * 2 > COUNT_RE(text, '\\\\p{L}') mostly_upper from documents")
