@@ -64,8 +64,8 @@ def _langid_filter(spark, d, least=0.1):
     w, lists = language_scores(F.col("text"))
     t = held(table(spark, d, "documents").select("doc_id", "lang", "text"), "w", w).where(F.size("w") > 0)
     inside = lambda v: lambda x: x.isin(v)
-    score = {k: F.size(F.filter("w", inside(v))) / F.size("w") for k, v in lists.items()}
-    t = t.withColumns({f"s_{k}": v for k, v in score.items()})
+    score = [(F.size(F.filter("w", inside(v))) / F.size("w")).alias(f"s_{k}") for k, v in lists.items()]
+    t = held(t, "s", F.struct(*score)).select("doc_id", "lang", "s.*")  # held: else the shares go into the filter, before it asks for words
     top = F.greatest(*[F.col(f"s_{k}") for k in lists])
     best = F.coalesce(*[F.when(F.col(f"s_{k}") == top, F.lit(k)) for k in lists])
     return t.select("doc_id", "lang", best.alias("predicted"), F.round(top, 6).alias("share")).where((F.col("predicted") == F.col("lang")) & (F.col("share") >= least))

@@ -14,7 +14,7 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["filter_mean_word_length"])
+@pytest.mark.parametrize("name", ["filter_mean_word_length", "langid_filter"])
 def test_wordless_texts_are_left_out(spark, folder, name):
     with duckdb.connect() as con:
         con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
