@@ -350,6 +350,23 @@ def test_nearest_in_slices_equals_brute_force(spark, monkeypatch, rows, queries)
     assert got == want
 
 
+def test_embedding_neighbours_has_three_of_every_row(spark, tmp_path):
+    """Every vector is a query; also with many equal products and rows in several blocks."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    x = r.integers(-2, 3, (9000, 64)).astype(np.float32) / 8
+    x[:3000] = x[0]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for row in catalogue.queries()["embedding_neighbours"](spark, str(tmp_path)).collect():
+        got.setdefault(row.a, []).append((-row.dot, row.b))
+    dot = np.round(x.astype(float) @ x.T.astype(float), 6)
+    np.fill_diagonal(dot, -np.inf)
+    best = np.argsort(-dot, axis=1, kind="stable")[:, :3]
+    assert {a: [b for _, b in sorted(v)] for a, v in got.items()} == {a: b.tolist() for a, b in enumerate(best)}
+
+
 def test_streams_filter_and_alert(spark):
     names = ("contamination_stream", "clean_documents_stream")
     bad, good = ({x.doc_id for x in catalogue.queries()[n](spark, "/root/testdata/sf0.001").collect()} for n in names)
