@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import bloom, runs, sketches
 from lexloom.operators.shared import written
+from lexloom.operators.windows import shared_by
 from lexloom.plans.contamination import sides_sql
 from lexloom.plans.dialect import Plans
 from lexloom.sources.tables import table
@@ -65,11 +66,8 @@ for _by in ("source", "lang"):
 def _overlap(spark, d):
     """Distinct 5-grams that each two languages share, exactly, and whether the intersection of sketches is within 3 per cent of the union of them."""
     est = sketches.overlaps(sketches.rolled_up(_kept_sketches(spark, d), ["lang"]), "lang")
-    met = bloom.ngram_hashes(docs(spark, d), 5, "text", ("lang",)).select("lang", F.explode("hs").alias("h")).distinct()
-    langs = met.groupBy("h").agg(F.array_sort(F.collect_set("lang")).alias("ls"))
-    pair = F.explode(F.flatten(F.transform("ls", lambda a: F.transform(F.filter("ls", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
-    exact = langs.where(F.size("ls") > 1).select(pair.alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    sizes = met.groupBy("lang").agg(F.count("*").alias("m"))
+    met = written(shared_by(docs(spark, d), "lang", 5))
+    exact, sizes = met.where("a < b"), met.where("a = b").select(F.col("a").alias("lang"), F.col("n").alias("m"))
     x = est.join(exact, ["a", "b"], "left").na.fill(0, ["n"]).join(sizes.select(F.col("lang").alias("a"), F.col("m").alias("ma")), "a").join(sizes.select(F.col("lang").alias("b"), F.col("m").alias("mb")), "b")
     return x.select("a", "b", "n", (F.abs(F.col("common") - F.col("n")) <= 0.03 * (F.col("ma") + F.col("mb") - F.col("n"))).alias("near"))
 

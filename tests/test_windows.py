@@ -85,3 +85,37 @@ def test_places_take_few_bytes(spark):
     docs = spark.range(300).selectExpr("id doc_id", "array_join(transform(sequence(1, 2000), i -> md5(concat(id, ':', i))), ' ') text").coalesce(1)
     blobs = windows.sent(windows.word_hashes(docs, "doc_id", "text"), (20,), True)
     assert blobs.selectExpr("sum(length(hs) + length(keys) + length(places)) n").first().n < 12 * 300 * 1981
+
+
+def test_windows_shared_by_groups_equal_brute_force(spark, monkeypatch):
+    """Numbers of windows that groups share; with several sends a task, many groups, null ones and texts that are too short."""
+    import random
+    from itertools import combinations
+
+    from lexloom.operators import windows
+
+    monkeypatch.setattr(windows, "WORDS_AT_ONCE", 300)
+    r = random.Random(9)
+    rows = [(r.choice(["en", "fr", "é", "z", "empty", None]), " ".join(r.choice("abc") for _ in range(r.randrange(60)))) for _ in range(150)]
+    rows = [(g, "a b" if g == "empty" else t) for g, t in rows] + [("en", None)]
+    got = {(x.a, x.b): x.n for x in windows.shared_by(spark.createDataFrame(rows, "g string, text string"), "g", 5).collect()}
+    sets = {}
+    for g, t in rows:
+        w = (t or "").split()
+        if g and len(w) >= 5:
+            sets.setdefault(g, set()).update(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {(a, a): len(v) for a, v in sets.items()} | {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_overlap_of_languages_sends_windows_in_blobs(spark, monkeypatch):
+    """The exact counts shuffle sorted hashes in blobs, not a row for each window; only the sketches read these."""
+    from lexloom.operators import bloom
+    from lexloom.plans import catalogue
+
+    def rows(*args):
+        raise AssertionError("a row for each window")
+
+    query = catalogue.queries()["ngram_overlap_by_lang"]
+    monkeypatch.setattr(bloom, "ngram_hashes", rows)  # sketches know the function by a name of their own
+    assert query(spark, "/root/testdata/sf0.001").count() == 6
